@@ -16,7 +16,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import language_id as L
+
+    docs = table(spark, sf_dir, "documents")
+    model = L.fit(L.learnable(docs))
+    rows = docs.select("doc_id", L.held_out("doc_id", 5, 0).alias("held_out"), "text")
+    return L.predict(rows, "text", model)
+
+
 QUERIES = {
+    "op9_language_id": op9_language_id,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}
