@@ -147,10 +147,10 @@ def decide(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pick, fam[np.arange(n), best] * votes[np.arange(n), pick]
 
 
-def predict(df: DataFrame, text_col: str, model: dict | None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """df's columns but the text, then the predicted language and its score."""
+def predict(df: DataFrame, text_col: str, model: dict | None, lang_name: str = "lang_pred", score_name: str = "score", keep_text: bool = False) -> DataFrame:
+    """df's columns (the text, last of them, only if keep_text), then the predicted language and its score."""
     others = [c for c in df.columns if c != text_col]
-    fields = [f for f in df.schema.fields if f.name != text_col]
+    fields = df.select(*others, *[text_col] * keep_text).schema.fields
     from pyspark.sql import types as T
 
     schema = T.StructType([*fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
@@ -168,7 +168,7 @@ def predict(df: DataFrame, text_col: str, model: dict | None, lang_name: str = "
                     pick, score = decide(model, features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
                     names = [model["langs"][p] if good else "und" for p, good in zip(pick, ok, strict=True)]
                     score = np.where(ok, np.clip(score, 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(len(others))], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*others, lang_name, score_name])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(len(fields))], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*[f.name for f in fields], lang_name, score_name])
 
     return df.select(*others, text_col).mapInArrow(run, schema)
 

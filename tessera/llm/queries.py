@@ -22,6 +22,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import mixing as M
 
@@ -40,6 +47,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op9_language_id": op9_language_id,
     "op10_ngram_jaccard": op10_ngram_jaccard,
