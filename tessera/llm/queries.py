@@ -22,6 +22,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_dedup import dedup_lines
 
@@ -36,6 +42,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mix(docs, "doc_id", "source", M.n_words(text), M.quality(text), F.xxhash64("text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import language_id as L
 
@@ -47,9 +59,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_ann": op5_ann,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op9_language_id": op9_language_id,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_language_id": op9_language_id,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}
