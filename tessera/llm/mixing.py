@@ -51,14 +51,18 @@ def targets(sizes: DataFrame, percent: int = 150, most_epochs: int = 2) -> DataF
     return x.select("source", "source_size", "weight", F.when(capped, F.col("cap")).otherwise(F.least("cap", F.col("first") * F.col("weight"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight: Column, tie: Column, percent: int = 150, most_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """df with size, source_size, target (of its source) and taken (words that the mix takes of the row)."""
+def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight: Column, tie: Column, keep: list[str] | None = None, percent: int = 150, most_epochs: int = 2, seed: int = 7) -> DataFrame:
+    """df's columns (or those of keep), size, source_size, target (of its source) and taken (words that the mix takes).
+
+    size, weight and tie are computed once, in the one pass over df; what follows reads the table of kept columns.
+    """
+    keep = df.columns if keep is None else keep
     u = (F.coalesce(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(0)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
     keyed = df.withColumn("size", size).withColumn("_key", -F.log(u) / weight).withColumn("_tie", tie).withColumn("_src", F.struct(F.col(source_col).isNull().alias("n"), F.coalesce(F.col(source_col), F.lit("")).alias("s")))
-    slim = stored(keyed.select("_src", "size", "_key"), "mix-keys")
-    most = F.lit(max(16, slim.count() // 20_000))
+    keyed = stored(keyed.select(*keep, "_src", "size", "_key", "_tie"), "mix-keys")
+    most = F.lit(max(16, keyed.count() // 20_000))
     bucket = F.floor((1 - F.exp(-F.col("_key"))) * most).cast("long")
-    by_bucket = slim.groupBy("_src", bucket.alias("_bucket")).agg(F.sum("size").alias("w"))
+    by_bucket = keyed.groupBy("_src", bucket.alias("_bucket")).agg(F.sum("size").alias("w"))
     by_bucket = stored(by_bucket, "mix-buckets")
     sources = targets(by_bucket.groupBy("_src").agg(F.sum("w").alias("source_size")).withColumn("source", F.when(~F.col("_src.n"), F.col("_src.s"))), percent, most_epochs)
     sources = sources.withColumn("_src", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
@@ -77,4 +81,4 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight: Colum
     at_edge = at_edge.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_done"))))
     other = rows.where(F.coalesce(~here, F.lit(True))).withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0))
     out = at_edge.drop("_done").unionByName(other)
-    return out.select(*df.columns, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"))
+    return out.select(*keep, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"))

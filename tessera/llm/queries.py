@@ -39,7 +39,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import mixing as M
 
     docs, text = table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("text")
-    return M.mix(docs, "doc_id", "source", M.n_words(text), M.quality(text), F.xxhash64("text")).select("doc_id", "size", "source_size", "target", "taken")
+    return M.mix(docs, "doc_id", "source", M.n_words(text), M.quality(text), F.xxhash64("text"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
