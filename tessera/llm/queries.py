@@ -16,6 +16,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import secrets as S
+
+    found = S.find_secrets(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.concat("base", "extra"))
+    counts = [S.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(S.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), S.listed(every).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -58,6 +67,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op5_ann": op5_ann,
     "op6_line_dedup": op6_line_dedup,
