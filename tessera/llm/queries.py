@@ -16,6 +16,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity as X
+    from tessera.llm.language_id import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = X.fit(docs, table(spark, sf_dir, "labels"))
+    out = X.score(docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text"), "text", model)
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import secrets as S
 
@@ -67,6 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op5_ann": op5_ann,
