@@ -1,6 +1,394 @@
-"""Queries of the block-algebra and task-graph operators, with their DuckDB SQL."""
+"""Queries of the block-algebra and task-graph operators over the given tables, with their DuckDB SQL.
+
+Every query reads its whole tables. Numbers are rounded, and 0.0 is added so that no negative zero is left.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import profile
+from tessera.operators import blocks, coo, deps, lowrank, permute
+from tessera.plans import interpreter, schedule, tasks
+from tessera.sources import matrices as M
+from tessera.sources import tables as S
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+DIGITS = 4
+
+
+def register(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def rounded(m: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return m.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("v", digits) + 0.0).alias("v"))
+
+
+def rounded_sql(m: str, digits: int = DIGITS) -> str:
+    return f"SELECT i, j, round(v, {digits}) + 0.0 AS v FROM ({m})"
+
+
+def matrix(name: str, query, sql: str | None = None, digits: int = DIGITS) -> None:
+    register(name, lambda s, d: rounded(query(s, d), digits), None if sql is None else rounded_sql(sql, digits))
+
+
+def f(name: str):
+    return S.FRAMES[name]
+
+
+def flip(m: str) -> str:
+    return f"SELECT j AS i, i AS j, v FROM ({m})"
+
+
+def mul(a: str, b: str) -> str:
+    return f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM ({a}) a JOIN ({b}) b ON a.j = b.i GROUP BY a.i, b.j"
+
+
+def add(m: str, ab: str, alpha: float, beta: float) -> str:
+    return f"SELECT i, j, sum(v) AS v FROM (SELECT i, j, {beta} * v AS v FROM ({m}) UNION ALL SELECT i, j, {alpha} * v AS v FROM ({ab})) GROUP BY i, j"
+
+
+P, R, T, U, D, W, A = (S.SQL[k] for k in "prtudwa")
+
+# ---- products and copies -------------------------------------------------------------------------------------
+
+register("gram_gemm", lambda s, d: rounded(coo.gram(S.table(s, d, "embeddings"), "embedding")), rounded_sql(mul(flip(A), A)))
+matrix("mat_copy_view", lambda s, d: coo.view(f("p")(s, d), 3, 1, 10, 4), f"SELECT i - 3 AS i, j - 1 AS j, v FROM ({P}) WHERE i BETWEEN 3 AND 12 AND j BETWEEN 1 AND 4")
+matrix("mat_copy_packed", lambda s, d: coo.packed_copy(f("p")(s, d), 25, 7, flipped=True)[0], flip(P))
+matrix("mat_transpose", lambda s, d: coo.transpose(f("p")(s, d)), flip(P))
+matrix("gemm", lambda s, d: coo.gemm(f("p")(s, d), f("r")(s, d)), mul(P, R))
+matrix("gemm_at", lambda s, d: coo.gemm(f("r")(s, d), f("d")(s, d), a_t=True), mul(flip(R), D))
+matrix("gemm_bt", lambda s, d: coo.gemm(f("p")(s, d), f("p")(s, d), b_t=True), mul(P, flip(P)))
+matrix("gemm_at_bt", lambda s, d: coo.gemm(f("r")(s, d), f("p")(s, d), a_t=True, b_t=True), mul(flip(R), flip(P)))
+G25, G12 = mul(P, flip(P)), mul(flip(R), R)
+
+
+def g25(s, d):
+    return coo.gemm(f("p")(s, d), f("p")(s, d), b_t=True)
+
+
+def g12(s, d):
+    return coo.gemm(f("r")(s, d), f("r")(s, d), a_t=True)
+
+
+UP = mul(flip(U), flip(T))
+matrix("gemm_minus", lambda s, d: coo.gemm_into(coo.gemm(f("p")(s, d), f("r")(s, d)), f("u")(s, d), f("t")(s, d), -1, 1, True, True), add(mul(P, R), UP, -1, 1))
+matrix("gemm_plus", lambda s, d: coo.gemm_into(coo.gemm(f("p")(s, d), f("r")(s, d)), f("u")(s, d), f("t")(s, d), 1, 1, True, True), add(mul(P, R), UP, 1, 1))
+matrix("gemm_alpha_beta", lambda s, d: coo.gemm_into(coo.gemm(f("p")(s, d), f("r")(s, d)), f("u")(s, d), f("t")(s, d), 2, 0.5, True, True), add(mul(P, R), UP, 2, 0.5))
+matrix("gemm_beta0", lambda s, d: coo.gemm_into(f("p")(s, d), f("u")(s, d), f("t")(s, d), 2, 0, True, True), f"SELECT i, j, 2 * v AS v FROM ({UP})")
+matrix("gemm_alpha0", lambda s, d: coo.gemm_into(f("p")(s, d), f("u")(s, d), f("t")(s, d), 0, 3, True, True), f"SELECT i, j, 3 * v AS v FROM ({P})")
+matrix("gemm3_left", lambda s, d: coo.chain3(f("p")(s, d), f("r")(s, d), f("t")(s, d), 1), mul(mul(P, R), T))
+matrix("gemm3_right", lambda s, d: coo.chain3(f("p")(s, d), f("r")(s, d), f("t")(s, d), 0), mul(P, mul(R, T)))
+for c in range(5):
+    matrix(f"gemm4_c{c}", lambda s, d, c=c: coo.chain4(*(f(k)(s, d) for k in "prtu"), c), mul(mul(P, R), mul(T, U)))
+matrix("gemm_chain_best", lambda s, d: coo.chain([f(k)(s, d) for k in "prtu"], [25, 7, 12, 5, 25]), mul(mul(P, R), mul(T, U)))
+
+
+def sparse(s, d):
+    l = S.table(s, d, "lineitem")
+    return M.cells(l, F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"))
+
+
+def supplier_nation(s, d):
+    return S.table(s, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("long").alias("j"), F.lit(1.0).alias("v"))
+
+
+matrix("sparse_product", lambda s, d: coo.gemm(sparse(s, d), supplier_nation(s, d)), "SELECT l_partkey AS i, CAST(s_nationkey AS BIGINT) AS j, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
+matrix("zero_matrix", lambda s, d: M.zeros(s, 12, 5), "SELECT x.k AS i, y.k AS j, CAST(0 AS DOUBLE) AS v FROM range(0, 12) x(k), range(0, 5) y(k)")
+register("matrix_rows", lambda s, d: M.print_rows(rounded(f("r")(s, d))), f"SELECT i, string_agg(printf('%e', v), ' ' ORDER BY j) AS line FROM ({rounded_sql(R)}) GROUP BY i")
+matrix("tiles_round_trip", lambda s, d: M.from_tiles(M.to_tiles(g12(s, d), 12, 12, 5), 5), G12)
+
+# ---- permutations and reductions -----------------------------------------------------------------------------
+
+register("argmax_abs", lambda s, d: permute.argmax_abs(f("p")(s, d).withColumn("v", F.round("v", 6)), "i", "j"), f"SELECT j, CASE WHEN max(abs(v)) > 0 THEN arg_max(i, (abs(v), -i)) ELSE 0 END AS index FROM (SELECT i, j, round(v, 6) AS v FROM ({P})) GROUP BY j")
+matrix("swap_rows", lambda s, d: permute.swap_rows(f("p")(s, d), 2, 19), f"SELECT CASE i WHEN 2 THEN 19 WHEN 19 THEN 2 ELSE i END AS i, j, v FROM ({P})")
+matrix("swap_cols", lambda s, d: permute.swap_columns(f("p")(s, d), 0, 5), f"SELECT i, CASE j WHEN 0 THEN 5 WHEN 5 THEN 0 ELSE j END AS j, v FROM ({P})")
+
+
+def pivot(s):
+    return s.range(25).select(F.col("id").alias("row"), ((F.col("id") * 7 + 3) % 25).alias("target"))
+
+
+matrix("pivot_apply", lambda s, d: permute.apply_pivot(f("p")(s, d), pivot(s)), f"SELECT q.r AS i, j, v FROM ({P}) p JOIN range(0, 25) q(r) ON p.i = (q.r * 7 + 3) % 25")
+matrix("pivot_recover", lambda s, d: permute.apply_pivot(f("p")(s, d), pivot(s), recover=True), f"SELECT (i * 7 + 3) % 25 AS i, j, v FROM ({P})")
+register("pivot_reset", lambda s, d: permute.reset_pivot(s, 25), "SELECT k AS row, k AS target FROM range(0, 25) q(k)")
+register("allreduce_sum", lambda s, d: permute.sum_to_all(S.table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "n"), "SELECT o_orderpriority, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM orders GROUP BY o_orderpriority")
+register("read_rank", lambda s, d: permute.read_rank(f("p")(s, d), 1.0), f"SELECT count(*) AS rank FROM (SELECT j, sum(v * v) AS n2 FROM ({P}) GROUP BY j) WHERE n2 >= 1.0")
+
+# ---- factorisation and solves --------------------------------------------------------------------------------
+
+SPD, SPD_SQL = (lambda s, d: S.boosted(g12(s, d), 12, 10.0)), S.boosted_sql(G12, 12, 10.0)
+TALL, TALL_SQL = (lambda s, d: S.boosted(f("p")(s, d), 7, 1000.0)), S.boosted_sql(P, 7, 1000.0, (25, 7))
+WIDE, WIDE_SQL = (lambda s, d: S.boosted(f("r")(s, d), 7, 1000.0)), S.boosted_sql(R, 7, 1000.0, (7, 12))
+
+
+def lu_sql(m: str, steps: int) -> str:
+    return (
+        f"WITH RECURSIVE lu AS (SELECT CAST(0 AS BIGINT) AS k, i, j, v FROM ({m}) UNION ALL SELECT a.k + 1, a.i, a.j, CASE WHEN a.i > a.k AND a.j = a.k THEN a.v / p.v WHEN a.i > a.k AND a.j > a.k THEN a.v - c.v / p.v * r.v ELSE a.v END "
+        f"FROM lu a JOIN lu p ON p.i = a.k AND p.j = a.k JOIN lu c ON c.i = a.i AND c.j = a.k JOIN lu r ON r.i = a.k AND r.j = a.j WHERE a.k < {steps}) SELECT i, j, v FROM lu WHERE k = {steps}"
+    )
+
+
+def trsml_sql(b: str, l: str, n: int) -> str:
+    return (
+        f"WITH RECURSIVE l AS (SELECT i, j, v FROM ({l}) WHERE i > j), x AS (SELECT CAST(0 AS BIGINT) AS k, i, j, v FROM ({b}) UNION ALL SELECT a.k + 1, a.i, a.j, CASE WHEN a.i > a.k THEN a.v - l.v * r.v ELSE a.v END "
+        f"FROM x a JOIN x r ON r.i = a.k AND r.j = a.j LEFT JOIN l ON l.i = a.i AND l.j = a.k WHERE a.k < {n}) SELECT i, j, v FROM x WHERE k = {n}"
+    )
+
+
+def trsmr_sql(b: str, u: str, n: int) -> str:
+    return (
+        f"WITH RECURSIVE u AS (SELECT i, j, v FROM ({u}) WHERE i <= j), x AS (SELECT CAST(0 AS BIGINT) AS k, i, j, v FROM ({b}) UNION ALL SELECT a.k + 1, a.i, a.j, CASE WHEN a.j = a.k THEN a.v / p.v WHEN a.j > a.k THEN a.v - c.v / p.v * u.v ELSE a.v END "
+        f"FROM x a JOIN u p ON p.i = a.k AND p.j = a.k JOIN x c ON c.i = a.i AND c.j = a.k LEFT JOIN u ON u.i = a.k AND u.j = a.j WHERE a.k < {n}) SELECT i, j, v FROM x WHERE k = {n}"
+    )
+
+
+def block_query(make, m: int, n: int, expression):
+    def query(s, d):
+        one = M.to_block(make(s, d), m, n).select(expression(F.col("m")).alias("m"))
+        return M.from_block(one, F.col("m"))
+
+    return query
+
+
+def pair_query(b, bm: int, bn: int, factor, fm: int, fn: int, expression):
+    def query(s, d):
+        one = M.to_block(b(s, d), bm, bn, "b").join(F.broadcast(M.to_block(factor(s, d), fm, fn, "f")))  # one row each
+        return M.from_block(one.select(expression(F.col("b"), F.col("f")).alias("m")), F.col("m"))
+
+    return query
+
+
+LU_SQL = lu_sql(SPD_SQL, 12)
+matrix("getrf", block_query(SPD, 12, 12, blocks.getrf), LU_SQL)
+matrix("getrf_rect_tall", block_query(TALL, 25, 7, blocks.getrf), lu_sql(TALL_SQL, 7))
+matrix("getrf_rect_wide", block_query(WIDE, 7, 12, blocks.getrf), lu_sql(WIDE_SQL, 7))
+matrix("getrf_gram", lambda s, d: block_query(lambda s, d: S.boosted(coo.gram(S.table(s, d, "embeddings"), "embedding"), 64, 64.0), 64, 64, blocks.getrf)(s, d), lu_sql(S.boosted_sql(mul(flip(A), A), 64, 64.0), 64))
+matrix("trsml", pair_query(f("w"), 12, 3, SPD, 12, 12, lambda b, m: blocks.trsml(b, blocks.getrf(m))), trsml_sql(S.dense_sql(W, 12, 3), f"SELECT * FROM ({LU_SQL})", 12), 6)
+matrix("trsmr", pair_query(f("u"), 5, 25, lambda s, d: S.boosted(g25(s, d), 25, 10.0), 25, 25, lambda b, m: blocks.trsmr(b, blocks.getrf(m))), trsmr_sql(S.dense_sql(U, 5, 25), f"SELECT * FROM ({lu_sql(S.boosted_sql(G25, 25, 10.0), 25)})", 25), 6)
+matrix("trsmr_bt", pair_query(lambda s, d: coo.transpose(f("u")(s, d)), 25, 5, lambda s, d: S.boosted(g25(s, d), 25, 10.0), 25, 25, lambda b, m: blocks.trsmr_stored_transposed(b, blocks.getrf(m))), flip(trsmr_sql(S.dense_sql(U, 5, 25), f"SELECT * FROM ({lu_sql(S.boosted_sql(G25, 25, 10.0), 25)})", 25)), 6)
+
+
+def lu_product(m):
+    lu = blocks.getrf(m)
+    low, up = blocks.lower(lu), blocks.upper(lu)
+    columns = blocks.transpose(up)
+    return F.transform(low, lambda row: F.transform(columns, lambda c: F.aggregate(F.zip_with(row, c, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)))
+
+
+matrix("lu_reconstruct", block_query(SPD, 12, 12, lu_product), SPD_SQL)
+matrix("getrf_tiled", lambda s, d: M.from_tiles(interpreter.tiled_lu(M.to_tiles(SPD(s, d), 12, 12, 4), 3), 4), LU_SQL)
+matrix("trsml_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_tiles(f("w")(s, d), 12, 3, 4), lu_tiles(s, d), 3, 1, "l"), 4), trsml_sql(S.dense_sql(W, 12, 3), f"SELECT * FROM ({LU_SQL})", 12), 6)
+matrix("trsmr_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_tiles(coo.transpose(f("w")(s, d)), 3, 12, 4), lu_tiles(s, d), 1, 3, "r"), 4), trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12), 6)
+
+
+def lu_tiles(s, d):
+    return interpreter.tiled_lu(M.to_tiles(SPD(s, d), 12, 12, 4), 3)
+
+
+# ---- orthogonal and low-rank ---------------------------------------------------------------------------------
+
+FLAGS = "SELECT l_returnflag AS flag, CAST(s_nationkey AS BIGINT) AS i, CAST(l_linenumber - 1 AS BIGINT) AS j, sum(l_quantity / 997) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3"
+FLAG_GRAM = f"SELECT a.flag, a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM ({FLAGS}) a JOIN ({FLAGS}) b ON a.flag = b.flag AND a.i = b.i GROUP BY 1, 2, 3"
+
+
+def flag_blocks(s, d):
+    l, sup = S.table(s, d, "lineitem"), S.table(s, d, "supplier")
+    x = l.join(sup, l["l_suppkey"] == sup["s_suppkey"]).groupBy(F.col("l_returnflag").alias("flag"), F.col("s_nationkey").cast("long").alias("i"), (F.col("l_linenumber") - 1).cast("long").alias("j")).agg(F.sum(F.col("l_quantity") / 997).alias("v"))
+    return lowrank.blocks_of(x, "flag", 25, 7)
+
+
+def by_flag(a: DataFrame, b: DataFrame) -> DataFrame:
+    """AᵀB of each block's cells."""
+    x, y = a.select("flag", F.col("i").alias("k"), F.col("j").alias("i"), F.col("v").alias("x")), b.select("flag", F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    return x.join(y, ["flag", "k"]).groupBy("flag", "i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), DIGITS) + 0.0).alias("v"))
+
+
+def qr_gram(s, d):
+    r = M.stored(lowrank.givens_qr(flag_blocks(s, d), "flag"), "qr")
+    return by_flag(r, r)
+
+
+def q_gram(s, d):
+    q = M.stored(lowrank.givens_q(flag_blocks(s, d), "flag"), "q")
+    return by_flag(q, q)
+
+
+def qr_product(s, d):
+    b = flag_blocks(s, d)
+    q, r = (M.stored(x, "qr") for x in (lowrank.givens_q(b, "flag"), lowrank.givens_qr(b, "flag")))
+    x = q.select("flag", "i", F.col("j").alias("k"), F.col("v").alias("x")).join(r.select("flag", F.col("i").alias("k"), "j", F.col("v").alias("y")), ["flag", "k"])
+    return x.groupBy("flag", "i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), DIGITS) + 0.0).alias("v"))
+
+
+register("givens_qr", qr_gram, f"SELECT flag, i, j, round(v, {DIGITS}) + 0.0 AS v FROM ({FLAG_GRAM})")
+register("givens_q", q_gram, "SELECT flag, x.k AS i, y.k AS j, CAST(CASE WHEN x.k = y.k THEN 1 ELSE 0 END AS DOUBLE) AS v FROM (SELECT DISTINCT l_returnflag AS flag FROM lineitem), range(0, 7) x(k), range(0, 7) y(k)")
+register("qr_reconstruct", qr_product, f"SELECT f.flag, x.k AS i, y.k AS j, round(coalesce(m.v, 0), {DIGITS}) + 0.0 AS v FROM (SELECT DISTINCT l_returnflag AS flag FROM lineitem) f CROSS JOIN range(0, 25) x(k) CROSS JOIN range(0, 7) y(k) LEFT JOIN ({FLAGS}) m ON m.flag = f.flag AND m.i = x.k AND m.j = y.k")
+
+
+def sv_sums(s, d):
+    v2 = F.col("v") * F.col("v")
+    return lowrank.singular_values(flag_blocks(s, d), "flag").groupBy("flag").agg(F.round(F.sum(v2), 3).alias("sum_s2"), F.round(F.sum(v2 * v2) / F.sum(v2), 3).alias("mean_s2"))
+
+
+register("jacobi_sv", sv_sums, f"SELECT flag, round(sum(CASE WHEN i = j THEN v ELSE 0 END), 3) AS sum_s2, round(sum(v * v) / sum(CASE WHEN i = j THEN v ELSE 0 END), 3) AS mean_s2 FROM ({FLAG_GRAM}) GROUP BY flag")
+register("svd_rank", lambda s, d: lowrank.svd_rank(flag_blocks(s, d), "flag", 1e-9).select("flag", F.col("v").cast("long").alias("rank")), "SELECT l_returnflag AS flag, CAST(count(DISTINCT l_linenumber) AS BIGINT) AS rank FROM lineitem GROUP BY 1")
+
+
+def tall_gram(s, d):
+    r = M.stored(lowrank.tall_r(S.table(s, d, "embeddings"), "embedding"), "tall-r")
+    return coo.gram(r, "row")
+
+
+matrix("tall_qr", tall_gram, mul(flip(A), A))
+
+
+def arrays(m: DataFrame, rows: int, cols: int) -> DataFrame:
+    return M.to_block(m, rows, cols)
+
+
+def low_rank_sum(s, d):
+    p, w = f("p")(s, d), f("w")(s, d)
+    one = F.lit(0).alias("key")
+    a = arrays(p, 25, 7).select(one, F.col("m").alias("u")).join(F.broadcast(arrays(coo.transpose(f("r")(s, d)), 12, 7).select(one, F.col("m").alias("v"))), "key")
+    b = arrays(coo.gemm(p, f("d")(s, d)), 25, 3).select(one, F.col("m").alias("u")).join(F.broadcast(arrays(w, 12, 3).select(one, F.col("m").alias("v"))), "key")
+    return lowrank.accumulate(a, b, "key")
+
+
+matrix("lowrank_accum", low_rank_sum, S.dense_sql(add(mul(P, R), mul(mul(P, D), flip(W)), 1, 1), 25, 12), 3)
+matrix("lowrank_product", lambda s, d: lowrank.low_rank_product(f("p")(s, d), coo.transpose(f("r")(s, d))), mul(P, R))
+
+# ---- regions and dependencies --------------------------------------------------------------------------------
+
+PART_REGIONS = "SELECT p_partkey AS id, p_partkey * 24 AS ptr, CAST(8 + p_size + p_size % 9 AS BIGINT) AS pitch, CAST(8 + p_size AS BIGINT) AS width, CAST(1 + p_size % 5 AS BIGINT) AS height FROM part"
+RUNS = f"SELECT id, ptr + r * pitch AS s, ptr + r * pitch + width AS e FROM ({PART_REGIONS}) JOIN range(0, 5) q(r) ON r < height"
+
+
+def part_regions(s, d):
+    size = F.col("p_size").cast("long")
+    return S.table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 24).alias("ptr"), (8 + size + size % 9).alias("pitch"), (8 + size).alias("width"), (1 + size % 5).alias("height"))
+
+
+register("region_overlap", lambda s, d: deps.overlapping(part_regions(s, d), "id"), f"SELECT DISTINCT x.id AS a, y.id AS b FROM ({RUNS}) x JOIN ({RUNS}) y ON x.s < y.e AND y.s < x.e AND x.id < y.id")
+
+
+def part_operands(s, d):
+    return part_regions(s, d).select(F.expr("id div 4").alias("inst"), (F.col("id") % 4 != 0).alias("is_read"), "ptr", "pitch", "width", "height")
+
+
+PART_DEPS = (
+    f"SELECT x.id // 4 AS inst_from, y.id // 4 AS inst_to, CAST(bit_or(CASE WHEN x.id % 4 <> 0 THEN 2 WHEN y.id % 4 <> 0 THEN 1 ELSE 4 END) AS INTEGER) AS dep FROM ({RUNS}) x JOIN ({RUNS}) y "
+    "ON x.s < y.e AND y.s < x.e AND x.id // 4 < y.id // 4 AND NOT (x.id % 4 <> 0 AND y.id % 4 <> 0) GROUP BY 1, 2"
+)
+register("dep_classify", lambda s, d: deps.classify(part_operands(s, d)), PART_DEPS)
+
+
+def dep_table(s, d):
+    return M.stored(deps.classify(part_operands(s, d)), "deps")
+
+
+def dep_changes(s, d):
+    """Every part gives two changes: first dep 4, then its size mod 5."""
+    x = S.table(s, d, "part").select(F.expr("p_partkey div 4").alias("inst_from"), F.expr("p_partkey div 4 + 1").alias("inst_to"), F.col("p_size"), F.col("p_partkey"))
+    return x.select("inst_from", "inst_to", F.expr("inline(array(struct(4 as dep, p_partkey * 2 as seq), struct(p_size % 5 as dep, p_partkey * 2 + 1 as seq)))"))
+
+
+CHANGED = "SELECT p_partkey // 4 AS inst_from, p_partkey // 4 + 1 AS inst_to, arg_max(p_size % 5, p_partkey) AS new FROM part GROUP BY 1, 2"
+register("dep_update", lambda s, d: deps.update(dep_table(s, d), dep_changes(s, d)), f"SELECT inst_from, inst_to, CAST(coalesce(new, dep) AS INTEGER) AS dep FROM ({PART_DEPS}) FULL JOIN ({CHANGED}) USING (inst_from, inst_to) WHERE coalesce(new, dep) <> 0")
+
+
+def next_pairs(s, d):
+    return S.table(s, d, "part").select(F.expr("p_partkey div 4").alias("inst_from"), F.expr("p_partkey div 4 + 2").alias("inst_to")).distinct()
+
+
+register("dep_lookup", lambda s, d: deps.lookup(dep_table(s, d), next_pairs(s, d)), f"SELECT inst_from, inst_to, CAST(coalesce(dep, 0) AS INTEGER) AS dep FROM (SELECT DISTINCT p_partkey // 4 AS inst_from, p_partkey // 4 + 2 AS inst_to FROM part) LEFT JOIN ({PART_DEPS}) USING (inst_from, inst_to)")
+register("dep_successors", lambda s, d: text_list(deps.successors(dep_table(s, d))), f"SELECT inst_from AS inst, string_agg(CAST(inst_to AS VARCHAR), ',' ORDER BY inst_to) AS others FROM ({PART_DEPS}) GROUP BY 1")
+register("dep_predecessors", lambda s, d: text_list(deps.predecessors(dep_table(s, d))), f"SELECT inst_to AS inst, string_agg(CAST(inst_from AS VARCHAR), ',' ORDER BY inst_from) AS others FROM ({PART_DEPS}) GROUP BY 1")
+
+
+def text_list(x: DataFrame) -> DataFrame:
+    return x.select("inst", F.array_join(F.transform("others", lambda v: v.cast("string")), ",").alias("others"))
+
+
+register("dep_mirrored", lambda s, d: deps.mirrored(dep_table(s, d)), f"SELECT inst_to AS inst_from, inst_from AS inst_to, dep FROM ({PART_DEPS})")
+register("dep_degrees", lambda s, d: deps.degrees(dep_table(s, d), part_operands(s, d).select("inst").distinct()), f"SELECT inst, CAST((SELECT count(*) FROM ({PART_DEPS}) e WHERE e.inst_from = inst) AS BIGINT) AS deps_from, CAST((SELECT count(*) FROM ({PART_DEPS}) e WHERE e.inst_to = inst) AS BIGINT) AS deps_to FROM (SELECT DISTINCT p_partkey // 4 AS inst FROM part)")
+register("dep_clear", lambda s, d: deps.cleared(dep_table(s, d)), f"SELECT * FROM ({PART_DEPS}) WHERE false")
+register("dep_combine", lambda s, d: dep_table(s, d).groupBy("dep").agg(F.count("*").alias("n")).select("dep", deps.combined(F.col("dep"), F.lit(2)).alias("with_anti"), deps.stronger(F.col("dep"), F.lit(1)).alias("above_flow"), "n"), f"SELECT dep, dep | 2 AS with_anti, dep > 1 AS above_flow, count(*) AS n FROM ({PART_DEPS}) GROUP BY dep")
+
+# ---- task graphs ---------------------------------------------------------------------------------------------
+
+GRID = 8
+TASKS = (
+    f"SELECT CAST(row_number() OVER (ORDER BY k, part, i, j) - 1 AS BIGINT) AS inst, op, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE op WHEN 'getrf' THEN 2 WHEN 'gemm' THEN 6 ELSE 3 END AS BIGINT) AS flops FROM (SELECT k, i, j, CASE WHEN i = k AND j = k THEN 'getrf' WHEN i = k THEN 'trsml' WHEN j = k THEN 'trsmr' ELSE 'gemm' END AS op, "
+    f"CASE WHEN i = k AND j = k THEN 0 WHEN i = k THEN 1 WHEN j = k THEN 2 ELSE 3 END AS part FROM range(0, {GRID}) a(k) JOIN range(0, {GRID}) b(i) ON i >= k JOIN range(0, {GRID}) c(j) ON j >= k)"
+)
+TILES = "SELECT inst, i, j, false AS r FROM t UNION ALL SELECT inst, k, k, true FROM t WHERE op IN ('trsml', 'trsmr') UNION ALL SELECT inst, i, k, true FROM t WHERE op = 'gemm' UNION ALL SELECT inst, k, j, true FROM t WHERE op = 'gemm'"
+EDGES = f"WITH t AS ({TASKS}), o AS ({TILES}) SELECT x.inst AS inst_from, y.inst AS inst_to, CAST(bit_or(CASE WHEN x.r THEN 2 WHEN y.r THEN 1 ELSE 4 END) AS INTEGER) AS dep FROM o x JOIN o y ON x.i = y.i AND x.j = y.j AND x.inst < y.inst AND NOT (x.r AND y.r) GROUP BY 1, 2"
+register("lu_tasks", lambda s, d: tasks.lu_tasks(s, GRID), TASKS)
+register("dag_edges", lambda s, d: tasks.dag_edges(s, GRID), EDGES)
+register("dag_density", lambda s, d: tasks.density(tasks.dag_edges(s, GRID), 204).select(F.round("density", 8).alias("density")), f"SELECT round(count(*) / (204 * 203 / 2), 8) AS density FROM ({EDGES})")
+register("dag_levels", lambda s, d: tasks.levels(tasks.dag_edges(s, GRID), tasks.lu_tasks(s, GRID)), f"WITH RECURSIVE e AS ({EDGES}), v AS (SELECT inst_to AS inst, CAST(1 AS BIGINT) AS level FROM e WHERE inst_from NOT IN (SELECT inst_to FROM e) UNION SELECT e.inst_to, v.level + 1 FROM v JOIN e ON e.inst_from = v.inst) SELECT t.inst, coalesce(max(level), 0) AS level FROM ({TASKS}) t LEFT JOIN v ON v.inst = t.inst GROUP BY t.inst")
+register("batch_slices", lambda s, d: tasks.batch_slices(tasks.lu_tasks(s, GRID), 50), f"SELECT inst, inst // 50 AS slice, inst // 50 * 50 AS start FROM ({TASKS})")
+
+
+def graphs(s):
+    """LU graphs of 3, 4 and 8 tiles a side, as (tasks, edges) with the size as dag."""
+    t, e = zip(*((tasks.lu_tasks(s, n).withColumn("dag", F.lit(n).cast("long")), tasks.dag_edges(s, n).withColumn("dag", F.lit(n).cast("long"))) for n in (3, 4, 8)), strict=True)
+    return t[0].unionByName(t[1]).unionByName(t[2]), e[0].unionByName(e[1]).unionByName(e[2])
+
+
+def scheduled(s):
+    t, e = graphs(s)
+    return M.stored(schedule.schedule(t, e, 2), "schedule"), t
+
+
+register("schedule", lambda s, d: scheduled(s)[0])
+register("sched_summary", lambda s, d: schedule.summary(*scheduled(s), 2))
+register("sched_loads", lambda s, d: schedule.loads(*scheduled(s)))
+register("sched_elapsed", lambda s, d: schedule.elapsed(scheduled(s)[0]))
+register("sched_execution_list", lambda s, d: schedule.execution_list(scheduled(s)[0]))
+register("sched_lengths", lambda s, d: schedule.lengths(scheduled(s)[0].where("dag = 8"), 3))
+register("inst_stream", lambda s, d: schedule.instruction_stream(scheduled(s)[0].where("dag = 8"), tasks.lu_tasks(s, GRID), GRID, 4))
+
+# ---- profile -------------------------------------------------------------------------------------------------
+
+register(
+    "timer_elapsed",
+    lambda s, d: profile.timer_elapsed(S.table(s, d, "events"), "event_type", "ts", "event_id"),
+    "SELECT event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type) AS elapsed_us FROM events QUALIFY n > 0",
+)
+TICK, MINUTE = F.unix_micros(F.col("ts").cast("timestamp")), 60_000_000
+register(
+    "clock_cells",
+    lambda s, d: profile.clock_cells(S.table(s, d, "events"), "event_type", TICK, F.floor("value").cast("long") % 2, 60 * MINUTE),
+    f"SELECT event_type AS worker, CAST((epoch_us(ts) - t0) // {60 * MINUTE} AS BIGINT) AS cell, CAST(floor(value) AS BIGINT) % 2 AS kind, count(*) AS n FROM events JOIN (SELECT event_type, min(epoch_us(ts)) AS t0 FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2, 3",
+)
+KIND = F.when(F.col("value") >= 10, "execute").otherwise("wait")
+register(
+    "clock_strip",
+    lambda s, d: profile.clock_strip(profile.clock_cells(S.table(s, d, "events"), "event_type", TICK, KIND, 60 * MINUTE), 24),
+    f"WITH c AS (SELECT event_type AS worker, (epoch_us(ts) - t0) // {60 * MINUTE} AS cell, CASE WHEN value >= 10 THEN 'execute' ELSE 'wait' END AS kind, count(*) AS n FROM events JOIN (SELECT event_type, min(epoch_us(ts)) AS t0 FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2, 3), "
+    "m AS (SELECT worker, cell, arg_max(kind, (n, kind)) AS kind FROM c GROUP BY 1, 2) SELECT worker, CAST(cell // 24 AS BIGINT) AS row, string_agg(kind[1], '' ORDER BY cell) AS strip FROM m GROUP BY 1, 2",
+)
+register("total_ticks", lambda s, d: profile.total_ticks(S.table(s, d, "events"), "event_type", TICK), "SELECT event_type AS worker, max(epoch_us(ts)) - min(epoch_us(ts)) AS ticks FROM events GROUP BY 1")
+
+
+def flop_rows(s, d):
+    """A run for each brand: n from its parts, work from their sizes, milliseconds from their prices."""
+    x = S.table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), (F.sum("p_size") * 1000.0).alias("flops"), F.sum("p_retailprice").alias("ms"))
+    x = profile.flop_report(x.withColumn("dense", profile.dense_lu_flops(F.col("n").cast("double"))), "flops", "dense", "ms")
+    value, unit = profile.scaled_unit(F.col("dense"))
+    return x.select("p_brand", F.round("dense", 4).alias("dense"), F.round("ratio_percent", 4).alias("ratio_percent"), F.round("rate", 4).alias("rate"), F.round("dense_rate", 4).alias("dense_rate"), F.round(value, 4).alias("dense_scaled"), unit.alias("dense_unit"))
+
+
+register(
+    "flop_report",
+    flop_rows,
+    "WITH b AS (SELECT p_brand, CAST(count(*) AS DOUBLE) AS n, sum(p_size) * 1000.0 AS flops, sum(p_retailprice) AS ms FROM part GROUP BY 1), x AS (SELECT *, 2.0 * n * n * n / 3.0 AS dense FROM b), y AS (SELECT *, CAST(100.0 * flops / dense AS DOUBLE) AS ratio, CAST(1000.0 * flops / ms AS DOUBLE) AS rt, least(4, greatest(0, CAST(floor(log10(greatest(dense, 1.0)) / 3) AS INTEGER))) AS step FROM x) "
+    "SELECT p_brand, round(CAST(dense AS DOUBLE), 4) AS dense, round(ratio, 4) AS ratio_percent, round(rt, 4) AS rate, round(rt * 100.0 / ratio, 4) AS dense_rate, round(CAST(dense AS DOUBLE) / pow(1000.0, step), 4) AS dense_scaled, ['', 'K', 'M', 'G', 'T'][step + 1] AS dense_unit FROM y",
+)
