@@ -56,9 +56,8 @@ def _matches(text: Column, pattern: str, group: int, least: int, hint: str) -> C
     return F.when(text.rlike(hint), found).otherwise(none)
 
 
-def _upper_tail(z: Column) -> Column:
-    """1 - Phi(z), by Zelen and Severo's polynomial."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
+def _upper_tail(z: Column, t: Column) -> Column:
+    """1 - Phi(z), by Zelen and Severo's polynomial in t = 1 / (1 + 0.2316419 * |z|)."""
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     p = poly * F.exp(-z * z / 2) * 0.3989422804014327
     return F.greatest(F.lit(1e-300), F.when(z >= 0, p).otherwise(1 - p))
@@ -77,6 +76,11 @@ def prose_p(tok: Column) -> Column:
     return F.when(r > CHANGES, F.exp(-F.least(n * kl, F.lit(600.0)))).otherwise(1.0)
 
 
+def _bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, computed once however often what follows names them (one generated row for each)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def random_p(df: DataFrame, tok: str) -> DataFrame:
     """df with random_p: Fisher's combination of uniformity, runs and serial correlation."""
     t = F.col(tok)
@@ -88,28 +92,32 @@ def random_p(df: DataFrame, tok: str) -> DataFrame:
         .when(t.rlike("^[a-z]+$"), "abcdefghijklmnopqrstuvwxyz")
         .otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
     )
-    x = df.withColumn("_abc", alphabet).withColumn("_m", F.length("_abc").cast("double"))
+    x = _bind(_bind(df, _abc=alphabet), _m=F.length("_abc").cast("double"))
     plain = F.translate(F.regexp_replace(t, "=+$", ""), "-_", "+/")
-    x = x.withColumn("_v", F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.col("_abc"), c).cast("double") - 1)).withColumn("_n", F.size("_v").cast("double"))
+    x = _bind(x, _v=F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.col("_abc"), c).cast("double") - 1))
+    x = _bind(x, _n=F.size("_v").cast("double")).where("_n >= 8")  # less than that tells nothing
+    x = _bind(x, _hi=F.transform("_v", lambda y: y >= F.col("_m") / 2), _mean=F.aggregate("_v", F.lit(0.0), lambda a, y: a + y) / F.col("_n"))
     expected = F.col("_n") / F.col("_m")
-    x = x.withColumn("_chi", F.aggregate(F.array_distinct("_v"), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter("_v", lambda y: y == c)), F.lit(2.0))) / expected - F.col("_n"))
+    chi = F.aggregate(F.array_distinct("_v"), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter("_v", lambda y: y == c)), F.lit(2.0))) / expected - F.col("_n")
     df_ = F.col("_m") - 1
     z1 = (F.pow(F.greatest(F.col("_chi"), F.lit(0.0)) / df_, F.lit(1 / 3)) - (1 - 2 / (9 * df_))) / F.sqrt(2 / (9 * df_))
-    x = x.withColumn("_hi", F.transform("_v", lambda y: y >= F.col("_m") / 2)).withColumn("_n1", F.size(F.filter("_hi", lambda b: b)).cast("double"))
     rest, lead = F.slice("_hi", 2, F.greatest(F.size("_hi") - 1, F.lit(1))), F.slice("_hi", 1, F.greatest(F.size("_hi") - 1, F.lit(1)))
-    x = x.withColumn("_runs", 1.0 + F.size(F.filter(F.zip_with(lead, rest, lambda a, b: a != b), lambda b: b)))
+    runs = 1.0 + F.size(F.filter(F.zip_with(lead, rest, lambda a, b: a != b), lambda b: b))
     n, n1, n2 = F.col("_n"), F.col("_n1"), F.col("_n") - F.col("_n1")
     mean = 2 * n1 * n2 / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
     z2 = F.when(var > 0, (F.col("_runs") - mean) / F.sqrt(var)).otherwise(9.0)
-    x = x.withColumn("_mean", F.aggregate("_v", F.lit(0.0), lambda a, y: a + y) / n)
-    x = x.withColumn("_ss", F.aggregate("_v", F.lit(0.0), lambda a, y: a + (y - F.col("_mean")) * (y - F.col("_mean"))))
+    ss = F.aggregate("_v", F.lit(0.0), lambda a, y: a + (y - F.col("_mean")) * (y - F.col("_mean")))
     vlead, vrest = F.slice("_v", 1, F.greatest(F.size("_v") - 1, F.lit(1))), F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(1)))
     lag = F.aggregate(F.zip_with(vlead, vrest, lambda a, b: (a - F.col("_mean")) * (b - F.col("_mean"))), F.lit(0.0), lambda a, y: a + y)
-    z3 = F.when(F.col("_ss") > 0, lag / F.col("_ss") * F.sqrt(n)).otherwise(9.0)
-    s = -F.log(_upper_tail(z1)) - F.log(2 * _upper_tail(F.abs(z2))) - F.log(2 * _upper_tail(F.abs(z3)))
-    s = F.greatest(s, F.lit(0.0))
-    return x.withColumn("random_p", F.exp(-s) * (1 + s + s * s / 2)).drop("_abc", "_m", "_v", "_n", "_chi", "_hi", "_n1", "_runs", "_mean", "_ss")
+    z3 = F.when(F.col("_ss") > 0, F.col("_lag") / F.col("_ss") * F.sqrt(n)).otherwise(9.0)
+    x = _bind(x, _chi=chi, _runs=runs, _ss=ss, _lag=lag, _n1=F.size(F.filter("_hi", lambda b: b)).cast("double"))
+    x = _bind(x, _z1=z1, _z2=F.abs(z2), _z3=F.abs(z3))
+    x = _bind(x, **{f"_t{k}": 1 / (1 + 0.2316419 * F.abs(f"_z{k}")) for k in (1, 2, 3)})
+    x = _bind(x, **{f"_p{k}": _upper_tail(F.col(f"_z{k}"), F.col(f"_t{k}")) for k in (1, 2, 3)})
+    x = _bind(x, _s=F.greatest(F.lit(0.0), -F.log("_p1") - F.log(2 * F.col("_p2")) - F.log(2 * F.col("_p3"))))
+    x = x.withColumn("random_p", F.exp(-F.col("_s")) * (1 + F.col("_s") + F.col("_s") * F.col("_s") / 2))
+    return x.select(*df.columns, "random_p")
 
 
 def _ranked(kind: str, rank: int) -> Column:
@@ -128,7 +136,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     runs = scan.where(F.size("run") > 0).select("row", F.explode("run").alias("r")).select("row", "r.*").withColumn("p", prose_p(F.col("tok"))).withColumn("lengths", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
     runs = stored(runs.withColumn("bin", F.floor(-4 * F.log("p")).cast("int")), "secret-runs")
-    live = random_p(runs.where("p < 1"), "tok").where(F.col("random_p") >= ALPHA)
+    live = stored(random_p(runs.where("p < 1"), "tok").where(F.col("random_p") >= ALPHA), "secret-live")
     total = runs.groupBy("lengths").agg(F.count("*").alias("all"))
     counts = live.groupBy("lengths", "bin").agg(F.count("*").alias("n"), F.max("p").alias("p"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("lengths").orderBy(F.desc("bin"))))
