@@ -142,7 +142,7 @@ class Automaton:
                 if stems:  # whatever follows: a state of its own
                     t = min(stems)
                     if t not in found_stem:
-                        found_stem[t] = len(ids) + 1_000_000 + t
+                        found_stem[t] = 1_000_000 + t
                     row[ch] = found_stem[t]
                     continue
                 if new not in ids:
