@@ -5,7 +5,7 @@ signature with odds of about n*n / 2**65). Texts with equal sets are one class.
 
 * A global order puts frequent shingles last (a fixed-size table of counts over all shingles marks them), then
   sorts by hash. Two sets that reach the threshold share one of the first ``n - ceil(t*n) + 1`` shingles of each.
-* Every class is first compared with the least and the greatest class of each of its tiles; within tiles that
+* Every class is first compared with the least, the greatest and the next class of each of its tiles; within tiles that
   still hold several components, all classes of near sizes are compared with each other by their bitmaps
   (``(n1 + n2 - hamming) / 2`` bounds the overlap from above) inside the join's condition, so no row is made for
   a pair that the bound rejects. A pair that is already connected needs no comparison.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, components, mix, shingles, stored, text_bytes, words
@@ -37,8 +37,8 @@ def _sets(texts: pa.Array, k: int):
         wh, woff, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         h, off = shingles(wh, woff, k)
         doc = np.repeat(np.arange(j - i), np.diff(off))
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
+        for d in range(j - i):
+            h[off[d] : off[d + 1]].sort()
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         h, doc = h[keep], doc[keep]
@@ -55,6 +55,35 @@ def _signatures(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(sig).view(np.int64)
 
 
+def _wide(h: np.ndarray) -> bytes | None:
+    """A bitmap of at least 4 bits for each hash; None where BITS are as many."""
+    if 4 * len(h) <= BITS:
+        return None
+    bits = np.zeros(1 << int(4 * len(h) - 1).bit_length(), bool)
+    bits[(h >> np.uint64(20)).astype(np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _wide_bound(percent: int):
+    """Of pairs (a, b, na, nb, wa, wb), those whose wide bitmaps don't rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = np.ones(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                wa, wb = batch.column(4)[r], batch.column(5)[r]
+                if wa.is_valid and wb.is_valid:
+                    x, y = np.frombuffer(wa.as_buffer(), np.uint64), np.frombuffer(wb.as_buffer(), np.uint64)
+                    x, y = (y, x) if len(x) > len(y) else (x, y)
+                    y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)  # folded to the shorter width
+                    ham, total = int(np.bitwise_count(x ^ y).sum()), int(na[r] + nb[r])
+                    keep[r] = (100 + percent) * ((total - ham) // 2) >= percent * total
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
+
+
 def _describe(k: int, id_type: pa.DataType):
     """Rows of texts (kind 0: id, n, sig, bitmap) and of counters (kind 1: segment, counts)."""
 
@@ -70,12 +99,13 @@ def _describe(k: int, id_type: pa.DataType):
                 bits = np.zeros((j - i, BITS), bool)
                 bits[np.repeat(np.arange(j - i), n), (h >> np.uint64(40)).astype(np.int64) & (BITS - 1)] = True
                 longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                cols = [pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i).cast(id_type), pa.array(n.astype(np.int64)), pa.array(_signatures(h, off)), *[pa.array(np.ascontiguousarray(longs[:, c])) for c in range(len(_LONGS))], pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["kind", "id", "n", "sig", *_LONGS, "segment", "counts"])
+                wide = [_wide(h[off[d] : off[d + 1]]) for d in range(j - i)]
+                cols = [pa.array(np.zeros(j - i, np.int32)), ids.slice(i, j - i).cast(id_type), pa.array(n.astype(np.int64)), pa.array(_signatures(h, off)), *[pa.array(np.ascontiguousarray(longs[:, c])) for c in range(len(_LONGS))], pa.array(wide, pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["kind", "id", "n", "sig", *_LONGS, "wide", "segment", "counts"])
         if table.any():
             parts = table.reshape(SEGMENTS, SEGMENT)
             nul = [pa.nulls(SEGMENTS, pa.int64())] * (2 + len(_LONGS))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), pa.nulls(SEGMENTS, id_type), *nul, pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], names=["kind", "id", "n", "sig", *_LONGS, "segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), pa.nulls(SEGMENTS, id_type), *nul, pa.nulls(SEGMENTS, pa.binary()), pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], names=["kind", "id", "n", "sig", *_LONGS, "wide", "segment", "counts"])
 
     return run
 
@@ -130,27 +160,31 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def _wanted_sets(k: int, wanted: np.ndarray):
+def _wanted_sets(k: int, sigs: np.ndarray, ids: np.ndarray):
+    """(sig, hashes) of the rows whose signature and id hash both pass the filters."""
+
     def run(batches):
-        bits = np.unpackbits(wanted, bitorder="little").astype(bool)
-        seen: set[int] = set()
+        sig_bits, id_bits = (np.unpackbits(x, bitorder="little").astype(bool) for x in (sigs, ids))
         for batch in batches:
-            for i, j, h, off in _sets(batch.column(0), k):
-                sig, out = _signatures(h, off), []
-                hit = bits[sig.view(np.uint64) & np.uint64(FILTER_BITS - 1)] & (np.diff(off) > 0)
-                for d in np.flatnonzero(hit):
-                    if (s := int(sig[d])) in seen:
-                        continue
-                    if len(seen) > 1 << 18:
-                        seen.clear()
-                    seen.add(s)
-                    out.append((s, h[off[d] : off[d + 1]].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["sig", "hashes"])
+            own = id_bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)]
+            for i, j, h, off in _sets(batch.column(1).filter(pa.array(own)), k):
+                sig = _signatures(h, off)
+                hit = np.flatnonzero(sig_bits[sig.view(np.uint64) & np.uint64(FILTER_BITS - 1)] & (np.diff(off) > 0))
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[hit]), pa.array([h[off[d] : off[d + 1]].tobytes() for d in hit], pa.binary())], names=["sig", "hashes"])
 
     return run
 
 
+def _marks(values: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits of a column of longs, whatever their number."""
+    bit = values.select(F.col(values.columns[0]).bitwiseAND(FILTER_BITS - 1).alias("bit"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, m in bit.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).collect():  # at most FILTER_BITS / 64 rows
+        out[w] = m
+    return out.view(np.uint8)
+
+
 def _exact(percent: int):
     def run(batches):
         for batch in batches:
@@ -172,8 +206,13 @@ def _exact(percent: int):
 
 def _may_reach(percent: int, x: str, y: str):
     """Size and bitmap bounds of a pair: x.n, x.b0 ... and y.n, y.b0 ..."""
+    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * (({_most_common(x, y)})) >= {percent} * ({x}.n + {y}.n)")
+
+
+def _most_common(x: str, y: str) -> str:
+    """The overlap that the bitmaps allow at most."""
     ham = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _LONGS)
-    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * ((({x}.n + {y}.n) - ({ham})) div 2) >= {percent} * ({x}.n + {y}.n)")
+    return f"(({x}.n + {y}.n) - ({ham})) div 2"
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -185,63 +224,75 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_sql = dict(df.dtypes)[id_col]
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     longs = "".join(f", {c} bigint" for c in _LONGS)
-    described = stored(texts.mapInArrow(_describe(k, id_type), f"kind int, id {id_sql}, n bigint, sig bigint{longs}, segment int, counts binary"), "ngram-described")
+    described = stored(texts.mapInArrow(_describe(k, id_type), f"kind int, id {id_sql}, n bigint, sig bigint{longs}, wide binary, segment int, counts binary"), "ngram-described")
     docs = described.where("kind = 0").select("id", "n", "sig")
     classes = described.where("kind = 0 and n > 0").groupBy("sig").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *_LONGS)])
+    wides = described.where("kind = 0 and wide is not null").groupBy("sig").agg(F.first("wide").alias("wide"))
     frequent = _frequent(described)
 
     tiles = texts.select("text").mapInArrow(_prefixes(k, percent, frequent), "h bigint, sig bigint")
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tiles = tiles.repartition(parts, "h")
-    ends = tiles.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
+    ends = tiles.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     tiles = stored(tiles.join(ends.hint("shuffle_hash"), "h").distinct(), "ngram-tiles")
     bounds = classes.select("sig", "n", *_LONGS)
 
     def passing(pairs: DataFrame) -> DataFrame:
         x = bounds.select(F.col("sig").alias("a"), *[c for c in bounds.columns if c != "sig"]).alias("x")
         y = bounds.select(F.col("sig").alias("b"), *[c for c in bounds.columns if c != "sig"]).alias("y")
-        return pairs.alias("p").join(x, F.col("p.a") == F.col("x.a")).join(y, F.col("p.b") == F.col("y.b")).where(_may_reach(percent, "x", "y")).select("p.a", "p.b", "p.shared")
+        return pairs.alias("p").join(x, F.col("p.a") == F.col("x.a")).join(y, F.col("p.b") == F.col("y.b")).where(_may_reach(percent, "x", "y")).select("p.a", "p.b")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs (a, b) that reach the threshold."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).select((F.col("s").bitwiseAND(FILTER_BITS - 1)).alias("bit"))
-        marks = ids.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).collect()  # at most FILTER_BITS / 64 rows
-        wanted = np.zeros(FILTER_BITS // 64, np.int64)
-        for w, m in marks:
-            wanted[w] = m
-        if not marks:
-            return pairs.select("a", "b").limit(0)
-        sets = stored(texts.select("text").mapInArrow(_wanted_sets(k, wanted.view(np.uint8)), "sig bigint, hashes binary").groupBy("sig").agg(F.first("hashes").alias("hashes")), "ngram-sets")
-        joined = pairs.select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb")
-        return stored(joined.mapInArrow(_exact(percent), "a bigint, b bigint"), tag)
-
-    # Each class against the ends of its tiles: first with the class that it shares most tiles with.
-    ends_of = tiles.select(F.col("sig"), F.explode(F.array("lo", "hi")).alias("end")).where("sig <> end").select(F.least("sig", "end").alias("a"), F.greatest("sig", "end").alias("b"))
-    pairs = stored(passing(ends_of.groupBy("a", "b").agg(F.count("*").alias("shared"))), "ngram-pairs")
-    best = pairs.groupBy("b").agg(F.expr("max_by(a, struct(shared, a))").alias("a")).union(pairs.groupBy("a").agg(F.expr("max_by(b, struct(shared, b))").alias("b")).select("b", "a")).select("a", "b").distinct()
-    links = verified(stored(best, "ngram-best"), "ngram-links")
+        """The pairs (a, b) that reach the threshold. One row of each class brings its set."""
+        wanted = stored(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(classes.select("sig", F.xxhash64("id").alias("idh")), "sig"), tag + "-wanted")
+        sets = texts.select(F.xxhash64("id").alias("idh"), "text").mapInArrow(_wanted_sets(k, _marks(wanted.select("sig")), _marks(wanted.select("idh"))), "sig bigint, hashes binary").repartition(parts, "sig")
+        joined = pairs.select("a", "b").join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").select("a", "b", "ha", "hb")
+        return stored(joined.mapInArrow(_exact(percent), "a bigint, b bigint").distinct(), tag)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Without the pairs that the wide bitmaps rule out."""
+        x, y = (bounds.select(F.col("sig").alias(c), F.col("n").alias("n" + c)).join(wides.withColumnRenamed("sig", c).withColumnRenamed("wide", "w" + c), c, "left") for c in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_wide_bound(percent), "a bigint, b bigint")
+
+    # Each class against the ends of its tiles and its follower there.
+    ends_of = tiles.select(F.col("sig"), F.explode(F.array("lo", "hi")).alias("end"))
+    following = tiles.where("size > 3").select("sig", F.lead("sig").over(Window.partitionBy("h").orderBy("sig")).alias("end")).where("end is not null")
+    ends_of = ends_of.union(following).where("sig <> end").select(F.least("sig", "end").alias("a"), F.greatest("sig", "end").alias("b"))
+    pairs = stored(passing(ends_of.distinct()), "ngram-pairs")
+    pairs = stored(near(pairs), "ngram-near")
+    links = verified(pairs, "ngram-links")
 
     def labels(links: DataFrame) -> DataFrame:
         return stored(components(links, "a", "b", "ngram-cc"), "ngram-labels")
 
-    def labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        return pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-
     comp = labels(links)
-    rest = stored(labelled(pairs.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "ngram-rest")
-    if not rest.isEmpty():
-        links = links.union(verified(rest, "ngram-links2"))
-        comp = labels(links)
 
     # Tiles that still hold several components: all pairs across components, within the join's condition.
     own = tiles.select("h", "sig").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     mixed = own.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    members = stored(own.join(mixed, "h").join(bounds, "sig"), "ngram-members")
-    across = members.alias("x").hint("merge").join(members.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _may_reach(percent, "x", "y"))
-    across = across.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    across = stored(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "ngram-across")
-    if not across.isEmpty():
-        links = links.union(verified(across, "ngram-links3"))
+    heads = tiles.groupBy("sig").agg(F.array_sort(F.collect_list("h")).alias("head"))  # at most a text's prefix
+    heads = bounds.join(heads, "sig").withColumn("head", F.slice("head", 1, F.when(F.col("n") < 1024, 12).otherwise(24)))
+    members = stored(own.join(mixed, "h").join(heads, "sig"), "ngram-members")
+    # A pair whose least tiles overlap is made in the least of these alone.
+    first = F.expr("coalesce(array_min(array_intersect(x.head, y.head)) = x.h, true)")
+    across = members.alias("x").hint("merge").join(members.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _may_reach(percent, "x", "y") & first)
+    close = F.expr(f"({_most_common('x', 'y')}) / (x.n + y.n)")
+    across = across.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), close.alias("close")).distinct()
+    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "ngram-across")
+    rest = stored(across.join(near(across), ["a", "b"]), "ngram-rest")
+    for turn in range(2):
+        if rest.count() < 4 * classes.count() ** 0.5:
+            break
+        # One link joins a class to a whole component, so the closest pair of each class goes first.
+        first = rest.groupBy("a").agg(F.max_by("b", "close").alias("b")).union(rest.groupBy("b").agg(F.max_by("a", "close").alias("a")).select("a", "b")).distinct()
+        first = stored(first, f"ngram-first{turn}")
+        links = links.union(verified(first, f"ngram-links-first{turn}"))
+        comp = labels(links)
+        ca, cb = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"now_{c}")) for c in "ab")
+        rest = rest.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
+        rest = stored(rest.select("a", "b", "close").join(first, ["a", "b"], "left_anti"), f"ngram-rest{turn}")
+    if not rest.isEmpty():
+        links = links.union(verified(rest, "ngram-links-rest"))
         comp = labels(links)
 
     least = classes.select("sig", "id").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
