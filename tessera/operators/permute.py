@@ -22,7 +22,8 @@ def reset_pivot(spark: SparkSession, n: int) -> DataFrame:
 def apply_pivot(m: DataFrame, pivot: DataFrame, recover: bool = False) -> DataFrame:
     """Row r of the result is row target(r) of M; recover undoes that."""
     here, there = ("row", "target") if recover else ("target", "row")
-    return m.join(pivot, m["i"] == pivot[here]).select(pivot[there].cast("long").alias("i"), "j", "v")
+    moves = pivot.select(F.col(here).cast("long").alias("i"), F.col(there).cast("long").alias("moved"))
+    return m.join(moves, "i").select(F.col("moved").alias("i"), "j", "v")
 
 
 def argmax_abs(m: DataFrame, by: str, within: str | None = None) -> DataFrame:
