@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import profile
-from tessera.operators import blocks, coo, deps, lowrank, permute
+from tessera.operators import blocks, coo, deps, hierarchical, lowrank, permute
 from tessera.plans import interpreter, schedule, tasks
 from tessera.sources import matrices as M
 from tessera.sources import tables as S
@@ -263,6 +263,28 @@ def low_rank_sum(s, d):
 matrix("lowrank_accum", low_rank_sum, S.dense_sql(add(mul(P, R), mul(mul(P, D), flip(W)), 1, 1), 25, 12), 3)
 matrix("lowrank_product", lambda s, d: lowrank.low_rank_product(f("p")(s, d), coo.transpose(f("r")(s, d))), mul(P, R))
 
+# ---- hierarchical --------------------------------------------------------------------------------------------
+
+
+def kernel(s, d):
+    """K, 25 by 25 with separable parts off the diagonal: G = PPᵀ has rank 7, and 10 I is added."""
+    return S.boosted(g25(s, d), 25, 10.0)
+
+
+def kernel_leaves(s, d):
+    return M.stored(hierarchical.leaves(M.to_tiles(M.stored(kernel(s, d), "kernel"), 25, 25, 7), 1e-12), "leaves")
+
+
+def reconstructed(s, d):
+    """L U of the factored leaves."""
+    lu = M.stored(M.from_tiles(hierarchical.expand(hierarchical.hlu(kernel_leaves(s, d), 4, 1e-13)), 7), "hlu")
+    low = lu.where("i > j").unionByName(M.identity(s, 25))
+    return coo.gemm(low, lu.where("i <= j"))
+
+
+register("hlu_leaf_table", lambda s, d: hierarchical.leaf_table(kernel_leaves(s, d), 7, 2).select("i0", "j0", "ny", "nx"), "SELECT x.k * 7 AS i0, y.k * 7 AS j0, CAST(least(7, 25 - x.k * 7) AS INTEGER) AS ny, CAST(least(7, 25 - y.k * 7) AS INTEGER) AS nx FROM range(0, 4) x(k), range(0, 4) y(k)")
+matrix("hlu_factor", reconstructed, S.boosted_sql(G25, 25, 10.0), 3)
+
 # ---- regions and dependencies --------------------------------------------------------------------------------
 
 PART_REGIONS = "SELECT p_partkey AS id, p_partkey * 24 AS ptr, CAST(8 + p_size + p_size % 9 AS BIGINT) AS pitch, CAST(8 + p_size AS BIGINT) AS width, CAST(1 + p_size % 5 AS BIGINT) AS height FROM part"

@@ -131,3 +131,18 @@ def test_permute(spark):
     assert permute.argmax_abs(spark.createDataFrame([(0, 0, -2.0), (1, 0, 2.0), (2, 0, 1.0)], "i long, j long, v double"), "i").first()[0] == 0
     assert permute.argmax_abs(spark.createDataFrame([(3, 0, 0.0), (4, 0, 0.0)], "i long, j long, v double"), "i").first()[0] == 0
     assert array(M.zeros(spark, 2, 3), 2, 3).sum() == 0
+
+
+def test_hierarchical_lu(spark):
+    from tessera.operators import hierarchical as H
+
+    u, v = RNG.standard_normal((16, 2)), RNG.standard_normal((16, 2))
+    a = 0.1 * u @ v.T + 20 * np.eye(16)
+    leaf = M.stored(H.leaves(M.to_tiles(frame(spark, a), 16, 16, 8)), "leaf")
+    assert {r["kind"] for r in leaf.where("bi <> bj").collect()} == {"lowrank"}
+    assert np.allclose(array(M.from_tiles(H.expand(leaf), 8), 16, 16), a)
+    done = M.stored(H.hlu(leaf, 2), "done")
+    assert {r["kind"] for r in done.where("bi <> bj").collect()} == {"lowrank"}
+    assert np.allclose(array(M.from_tiles(H.expand(done), 8), 16, 16), interpreter.lu(a))
+    table = H.leaf_table(leaf, 8, 1).collect()
+    assert sorted((r["path"], r["i0"], r["j0"]) for r in table) == [([0], 0, 0), ([1], 0, 8), ([2], 8, 0), ([3], 8, 8)]
