@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import blocks, mix, text_bytes, words
 
 DIMS = 2048
-SAMPLE = 8000  # labelled rows that the models are fitted on, at most
+SAMPLE = 3000  # labelled rows that the models are fitted on, at most
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
@@ -110,6 +110,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
     x, y = np.zeros((len(kept), DIMS), np.float32), np.array([langs.index(r[1]) for r in kept])
     for i, r in enumerate(kept):
         x[i, np.frombuffer(r[2], "<u2")] = np.frombuffer(r[3], "<f4")
+    del rows, kept
     means = np.stack([x[y == i].mean(0) for i in range(len(langs))])
     means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
     groups = families(means)
