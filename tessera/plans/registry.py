@@ -384,20 +384,29 @@ register(
     lambda s, d: profile.timer_elapsed(S.table(s, d, "events"), "event_type", "ts", "event_id"),
     "SELECT event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type) AS elapsed_us FROM events QUALIFY n > 0",
 )
-TICK, MINUTE = F.unix_micros(F.col("ts").cast("timestamp")), 60_000_000
+MINUTE = 60_000_000
+
+
+def tick():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def kind():
+    return F.when(F.col("value") >= 10, "execute").otherwise("wait")
+
+
 register(
     "clock_cells",
-    lambda s, d: profile.clock_cells(S.table(s, d, "events"), "event_type", TICK, F.floor("value").cast("long") % 2, 60 * MINUTE),
+    lambda s, d: profile.clock_cells(S.table(s, d, "events"), "event_type", tick(), F.floor("value").cast("long") % 2, 60 * MINUTE),
     f"SELECT event_type AS worker, CAST((epoch_us(ts) - t0) // {60 * MINUTE} AS BIGINT) AS cell, CAST(floor(value) AS BIGINT) % 2 AS kind, count(*) AS n FROM events JOIN (SELECT event_type, min(epoch_us(ts)) AS t0 FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2, 3",
 )
-KIND = F.when(F.col("value") >= 10, "execute").otherwise("wait")
 register(
     "clock_strip",
-    lambda s, d: profile.clock_strip(profile.clock_cells(S.table(s, d, "events"), "event_type", TICK, KIND, 60 * MINUTE), 24),
+    lambda s, d: profile.clock_strip(profile.clock_cells(S.table(s, d, "events"), "event_type", tick(), kind(), 60 * MINUTE), 24),
     f"WITH c AS (SELECT event_type AS worker, (epoch_us(ts) - t0) // {60 * MINUTE} AS cell, CASE WHEN value >= 10 THEN 'execute' ELSE 'wait' END AS kind, count(*) AS n FROM events JOIN (SELECT event_type, min(epoch_us(ts)) AS t0 FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2, 3), "
     "m AS (SELECT worker, cell, arg_max(kind, (n, kind)) AS kind FROM c GROUP BY 1, 2) SELECT worker, CAST(cell // 24 AS BIGINT) AS row, string_agg(kind[1], '' ORDER BY cell) AS strip FROM m GROUP BY 1, 2",
 )
-register("total_ticks", lambda s, d: profile.total_ticks(S.table(s, d, "events"), "event_type", TICK), "SELECT event_type AS worker, max(epoch_us(ts)) - min(epoch_us(ts)) AS ticks FROM events GROUP BY 1")
+register("total_ticks", lambda s, d: profile.total_ticks(S.table(s, d, "events"), "event_type", tick()), "SELECT event_type AS worker, max(epoch_us(ts)) - min(epoch_us(ts)) AS ticks FROM events GROUP BY 1")
 
 
 def flop_rows(s, d):
