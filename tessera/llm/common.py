@@ -90,7 +90,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(offs: np.ndarray, most: int = 1 << 20):
+def blocks(offs: np.ndarray, most: int = 1 << 19):
     """Row ranges (i, j) of about `most` bytes; a longer text is a range of its own."""
     i, n = 0, len(offs) - 1
     while i < n:

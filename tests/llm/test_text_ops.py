@@ -279,3 +279,15 @@ def test_toxicity(spark):
     assert got[900]["n_quoted"] == 1 and got[900]["score"] < got[903]["score"]
     assert toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int")) is None
     assert {r["score"] for r in toxicity.score(df.select("doc_id", "text"), "text", None).collect()} == {0.0}
+
+
+def test_without_repeats(spark):
+    rng = random.Random(12)
+    passage = " ".join(prose(rng, 9)).split()[:60]
+    own = [" ".join(prose(rng, 3)).split() for _ in range(4)]
+    rows = [(0, " ".join(own[0] + passage)), (1, " ".join(passage) + "\n" + " ".join(own[1])), (2, " ".join(own[2])), (3, None)]
+    df = docs(spark, rows)
+    found = substring_dedup.repeated_passages(df)
+    got = {r["doc_id"]: (r["text"], r["n_words_removed"]) for r in substring_dedup.without_repeats(df, found).collect()}
+    assert got[0] == (rows[0][1], 0) and got[2] == (rows[2][1], 0) and got[3] == (None, 0)
+    assert got[1] == ("\n" + " ".join(own[1]), 60)
