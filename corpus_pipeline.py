@@ -48,9 +48,9 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; the one at a source's budget once more with its first words."""
     text = F.col("text")
-    mixed = mixing.mix(docs, "doc_id", "source", mixing.n_words(text), mixing.quality(text), F.xxhash64("text")).where("taken > 0")
-    whole = mixed.withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(taken div size as int))")))
-    some = mixed.where("taken % size > 0").withColumn("text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.expr("cast(taken % size as int)")), ""))
+    mixed = mixing.mix(docs, "doc_id", "source", mixing.n_words(text), mixing.quality(text), F.xxhash64("text"), prefix="_mix_").where("_mix_taken > 0")
+    whole = mixed.withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_mix_taken div _mix_size as int))")))
+    some = mixed.where("_mix_taken % _mix_size > 0").withColumn("text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.expr("cast(_mix_taken % _mix_size as int)")), ""))
     return whole.select(*docs.columns).union(_with_text(docs, some))
 
 

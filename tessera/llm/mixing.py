@@ -51,34 +51,35 @@ def targets(sizes: DataFrame, percent: int = 150, most_epochs: int = 2) -> DataF
     return x.select("source", "source_size", "weight", F.when(capped, F.col("cap")).otherwise(F.least("cap", F.col("first") * F.col("weight"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight: Column, tie: Column, keep: list[str] | None = None, percent: int = 150, most_epochs: int = 2, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight: Column, tie: Column, keep: list[str] | None = None, prefix: str = "", percent: int = 150, most_epochs: int = 2, seed: int = 7) -> DataFrame:
     """df's columns (or those of keep), size, source_size, target (of its source) and taken (words that the mix takes).
 
+    prefix goes before the four new names, for tables that have columns of those names.
     size, weight and tie are computed once, in the one pass over df; what follows reads the table of kept columns.
     """
     keep = df.columns if keep is None else keep
     u = (F.coalesce(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(0)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-    keyed = df.withColumn("size", size).withColumn("_key", -F.log(u) / weight).withColumn("_tie", tie).withColumn("_src", F.struct(F.col(source_col).isNull().alias("n"), F.coalesce(F.col(source_col), F.lit("")).alias("s")))
-    keyed = stored(keyed.select(*keep, "_src", "size", "_key", "_tie"), "mix-keys")
+    keyed = df.withColumn("_mix_size", size).withColumn("_mix_key", -F.log(u) / weight).withColumn("_mix_tie", tie).withColumn("_mix_src", F.struct(F.col(source_col).isNull().alias("n"), F.coalesce(F.col(source_col), F.lit("")).alias("s")))
+    keyed = stored(keyed.select(*keep, "_mix_src", "_mix_size", "_mix_key", "_mix_tie"), "mix-keys")
     most = F.lit(max(16, keyed.count() // 20_000))
-    bucket = F.floor((1 - F.exp(-F.col("_key"))) * most).cast("long")
-    by_bucket = keyed.groupBy("_src", bucket.alias("_bucket")).agg(F.sum("size").alias("w"))
+    bucket = F.floor((1 - F.exp(-F.col("_mix_key"))) * most).cast("long")
+    by_bucket = keyed.groupBy("_mix_src", bucket.alias("_mix_bucket")).agg(F.sum("_mix_size").alias("w"))
     by_bucket = stored(by_bucket, "mix-buckets")
-    sources = targets(by_bucket.groupBy("_src").agg(F.sum("w").alias("source_size")).withColumn("source", F.when(~F.col("_src.n"), F.col("_src.s"))), percent, most_epochs)
-    sources = sources.withColumn("_src", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
-    sources = sources.withColumn("_words", F.least(F.round("target").cast("long"), F.col("source_size") * most_epochs))
-    sources = sources.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("_words") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = sources.withColumn("_rest", F.col("_words") - F.col("_epochs") * F.col("source_size"))
-    running = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = by_bucket.withColumn("_before", F.coalesce(F.sum("w").over(running), F.lit(0)).cast("long")).join(sources, "_src").where("_before <= _rest and _rest < _before + w")
-    edge = edge.groupBy("_src").agg(F.min("_bucket").alias("_edge"), F.min_by("_before", "_bucket").alias("_before"))
-    sources = stored(sources.drop("source", "weight").join(edge, "_src", "left"), "mix-sources")
-
-    rows = keyed.withColumn("_bucket", bucket).join(sources, "_src")
-    here = F.col("_bucket") == F.col("_edge")  # no edge: the rest is 0
-    inside = Window.partitionBy("_src").orderBy("_key", id_col, "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = rows.where(here).withColumn("_done", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    at_edge = at_edge.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_done"))))
-    other = rows.where(F.coalesce(~here, F.lit(True))).withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0))
-    out = at_edge.drop("_done").unionByName(other)
-    return out.select(*keep, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"))
+    sources = targets(by_bucket.groupBy("_mix_src").agg(F.sum("w").alias("source_size")).withColumn("source", F.when(~F.col("_mix_src.n"), F.col("_mix_src.s"))), percent, most_epochs)
+    sources = sources.withColumn("_mix_src", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
+    sources = sources.withColumn("_mix_words", F.least(F.round("target").cast("long"), F.col("source_size") * most_epochs))
+    sources = sources.withColumn("_mix_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("_mix_words") / F.col("source_size"))).otherwise(0).cast("long"))
+    sources = sources.withColumn("_mix_rest", F.col("_mix_words") - F.col("_mix_epochs") * F.col("source_size"))
+    running = Window.partitionBy("_mix_src").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = by_bucket.withColumn("_mix_before", F.coalesce(F.sum("w").over(running), F.lit(0)).cast("long")).join(sources, "_mix_src").where("_mix_before <= _mix_rest and _mix_rest < _mix_before + w")
+    edge = edge.groupBy("_mix_src").agg(F.min("_mix_bucket").alias("_mix_edge"), F.min_by("_mix_before", "_mix_bucket").alias("_mix_before"))
+    sources = stored(sources.select("_mix_src", *[F.col(c).alias("_mix_" + c.removeprefix("_mix_")) for c in ("source_size", "target", "_mix_epochs", "_mix_rest")]).join(edge, "_mix_src", "left"), "mix-sources")
+
+    rows = keyed.withColumn("_mix_bucket", bucket).join(sources, "_mix_src")
+    here = F.col("_mix_bucket") == F.col("_mix_edge")  # no edge: the rest is 0
+    inside = Window.partitionBy("_mix_src").orderBy("_mix_key", id_col, "_mix_tie").rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = rows.where(here).withColumn("_mix_done", F.col("_mix_before") + F.coalesce(F.sum("_mix_size").over(inside), F.lit(0)))
+    at_edge = at_edge.withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("_mix_size"), F.col("_mix_rest") - F.col("_mix_done"))))
+    other = rows.where(F.coalesce(~here, F.lit(True))).withColumn("_mix_part", F.when(F.col("_mix_bucket") < F.col("_mix_edge"), F.col("_mix_size")).otherwise(0))
+    out = at_edge.drop("_mix_done").unionByName(other)
+    return out.select(*keep, *[F.col("_mix_" + c).alias(prefix + c) for c in ("size", "source_size", "target")], (F.col("_mix_epochs") * F.col("_mix_size") + F.col("_mix_part")).cast("long").alias(prefix + "taken"))
