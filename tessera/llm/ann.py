@@ -64,13 +64,22 @@ def centroids(x: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
 
 
 def neighbour_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
+    """Each centroid's nearest ones and those that it is nearest to, and the next in a ring; padded with itself.
+
+    Edges go both ways, so a cluster far from all others is reached from the ones nearest to it.
+    """
+    n = len(c)
     d = _distances(c, c)
     np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1)[:, : min(degree, len(c) - 1)]
-    if near.shape[1] < 2:
-        return near
-    near[:, -1] = (np.arange(len(c)) + 1) % len(c)  # a ring keeps every centroid reachable
-    return near
+    near = np.argsort(d, axis=1)[:, : min(degree, n - 1)]
+    own = [{(i + 1) % n, *near[i].tolist()} for i in range(n)]
+    for i in range(n):
+        for j in near[i].tolist():
+            own[j].add(i)
+    out = np.repeat(np.arange(n)[:, None], max(map(len, own)), axis=1)
+    for i, to in enumerate(own):
+        out[i, : len(to)] = sorted(to)
+    return out
 
 
 def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, ratio: float) -> np.ndarray:
