@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.interpreter import TILE, lu, lu_reads, solve_lower, solve_upper
+from tessera.plans.interpreter import TILE, lu, lu_reads, replaced, solve_lower, solve_upper
 from tessera.plans.tasks import dag_edges, levels, lu_tasks
 from tessera.sources.matrices import stored
 
@@ -122,5 +122,5 @@ def hlu(leaf: DataFrame, t: int, eps: float = 1e-10) -> DataFrame:
         wanted = planned.where(F.col("level") == level).select("inst", "op", "i", "j", F.posexplode(roles).alias("role", "t"))
         fetched = wanted.join(leaf, (F.col("t.i") == F.col("bi")) & (F.col("t.j") == F.col("bj"))).drop("t", "bi", "bj")
         new = stored(fetched.groupBy("inst").applyInPandas(work, LEAF), "h-written")
-        leaf = stored(leaf.join(new.select("bi", "bj"), ["bi", "bj"], "left_anti").select(*[c.split()[0] for c in LEAF.split(", ")]).union(new), "h-leaves")
+        leaf = replaced(leaf, new, level)
     return leaf

@@ -1,7 +1,8 @@
 """Runs a task graph on a tiled matrix, a job for each level of the graph.
 
-A level's tasks do not depend on each other. Each joins the tiles it reads and writes one tile; the tiles of the
-next level are a written table, so a lost executor repeats one level at most and the plan stays short.
+A level's tasks do not depend on each other. Each joins the tiles it reads and writes one tile. What a level writes
+is a written table, so a lost executor repeats one level at most; the whole matrix is written every eighth level, so
+that plans stay short.
 """
 
 from __future__ import annotations
@@ -63,6 +64,12 @@ def execute(op: str, own: np.ndarray, *read: np.ndarray, b_t: bool = False) -> n
     raise ValueError(f"unknown operation {op}")
 
 
+def replaced(tiles: DataFrame, new: DataFrame, level: int) -> DataFrame:
+    """tiles with those of new in their places. Untouched tiles are written again only every eighth level."""
+    tiles = tiles.join(new.select("bi", "bj"), ["bi", "bj"], "left_anti").select(*new.columns).union(new)
+    return stored(tiles, "tiles") if level % 8 == 7 else tiles
+
+
 def run_levels(tiles: DataFrame, tasks: DataFrame, levels: DataFrame) -> DataFrame:
     """tiles after all tasks. tasks: (inst, op, i, j, reads array<struct<i,j>>); levels: (inst, level)."""
     planned = stored(tasks.join(levels, "inst"), "planned")
@@ -81,7 +88,7 @@ def run_levels(tiles: DataFrame, tasks: DataFrame, levels: DataFrame) -> DataFra
         wanted = now.select("inst", "op", "i", "j", F.posexplode(roles).alias("role", "t"))
         fetched = wanted.join(tiles, (F.col("t.i") == F.col("bi")) & (F.col("t.j") == F.col("bj"))).select("inst", "op", "role", "i", "j", "ny", "nx", "data")
         new = stored(fetched.groupBy("inst").applyInPandas(work, TILE), "written")
-        tiles = stored(tiles.join(new.select("bi", "bj"), ["bi", "bj"], "left_anti").select("bi", "bj", "ny", "nx", "data").union(new), "tiles")
+        tiles = replaced(tiles, new, level)
     return tiles
 
 
