@@ -158,7 +158,8 @@ def block_query(make, m: int, n: int, expression):
 
 def pair_query(b, bm: int, bn: int, factor, fm: int, fn: int, expression):
     def query(s, d):
-        one = M.to_block(b(s, d), bm, bn, "b").join(F.broadcast(M.to_block(factor(s, d), fm, fn, "f")))  # one row each
+        lu = M.to_block(factor(s, d), fm, fn).select(blocks.getrf(F.col("m")).alias("f"))  # below the join, so it is computed once
+        one = M.to_block(b(s, d), bm, bn, "b").join(F.broadcast(lu))  # one row each
         return M.from_block(one.select(expression(F.col("b"), F.col("f")).alias("m")), F.col("m"))
 
     return query
@@ -169,9 +170,9 @@ matrix("getrf", block_query(SPD, 12, 12, blocks.getrf), LU_SQL)
 matrix("getrf_rect_tall", block_query(TALL, 25, 7, blocks.getrf), lu_sql(TALL_SQL, 7))
 matrix("getrf_rect_wide", block_query(WIDE, 7, 12, blocks.getrf), lu_sql(WIDE_SQL, 7))
 matrix("getrf_gram", lambda s, d: block_query(lambda s, d: S.boosted(coo.gram(S.table(s, d, "embeddings"), "embedding"), 64, 64.0), 64, 64, blocks.getrf)(s, d), lu_sql(S.boosted_sql(mul(flip(A), A), 64, 64.0), 64))
-matrix("trsml", pair_query(f("w"), 12, 3, SPD, 12, 12, lambda b, m: blocks.trsml(b, blocks.getrf(m))), trsml_sql(S.dense_sql(W, 12, 3), f"SELECT * FROM ({LU_SQL})", 12), 6)
-matrix("trsmr", pair_query(f("u"), 5, 25, lambda s, d: S.boosted(g25(s, d), 25, 10.0), 25, 25, lambda b, m: blocks.trsmr(b, blocks.getrf(m))), trsmr_sql(S.dense_sql(U, 5, 25), f"SELECT * FROM ({lu_sql(S.boosted_sql(G25, 25, 10.0), 25)})", 25), 6)
-matrix("trsmr_bt", pair_query(lambda s, d: coo.transpose(f("u")(s, d)), 25, 5, lambda s, d: S.boosted(g25(s, d), 25, 10.0), 25, 25, lambda b, m: blocks.trsmr_stored_transposed(b, blocks.getrf(m))), flip(trsmr_sql(S.dense_sql(U, 5, 25), f"SELECT * FROM ({lu_sql(S.boosted_sql(G25, 25, 10.0), 25)})", 25)), 6)
+matrix("trsml", pair_query(f("w"), 12, 3, SPD, 12, 12, blocks.trsml), trsml_sql(S.dense_sql(W, 12, 3), f"SELECT * FROM ({LU_SQL})", 12), 6)
+matrix("trsmr", pair_query(f("u"), 5, 25, lambda s, d: S.boosted(g25(s, d), 25, 10.0), 25, 25, blocks.trsmr), trsmr_sql(S.dense_sql(U, 5, 25), f"SELECT * FROM ({lu_sql(S.boosted_sql(G25, 25, 10.0), 25)})", 25), 6)
+matrix("trsmr_bt", pair_query(lambda s, d: coo.transpose(f("u")(s, d)), 25, 5, lambda s, d: S.boosted(g25(s, d), 25, 10.0), 25, 25, blocks.trsmr_stored_transposed), flip(trsmr_sql(S.dense_sql(U, 5, 25), f"SELECT * FROM ({lu_sql(S.boosted_sql(G25, 25, 10.0), 25)})", 25)), 6)
 
 
 def lu_product(m):
