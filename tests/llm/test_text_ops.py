@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, mixing, ngram_join, packing, secrets, substring_dedup, toxicity
-from tessera.llm.common import components, shingles, words
+from tessera.llm.common import components, mix, shingles, words
 
 DOCS = "doc_id long, text string, lang string, source string, size int, target string, sig int, h string, id string"
 
@@ -219,6 +219,33 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
+def found_in(x, y, least=50, percent=80):
+    """Passages of two texts of word numbers, without Spark: every shared winnowed seed is a link."""
+    S, sides = substring_dedup, []
+    for w in (x, y):
+        h, off = shingles(mix(np.array(w, np.uint64)), np.array([0, len(w)]), S.K, whole_if_short=False)
+        at = S.winnow(h, off, S.WINDOW)
+        sides.append((S.numbered(h[at], np.zeros(len(at), np.int64)), at))
+    (hx, px), (hy, py) = sides
+    links = np.array([(a, b) for v, a in zip(hx, px) for b in py[hy == v]], np.int64).reshape(-1, 2)
+    out = []
+    for c in S.chains(links[:, 0], links[:, 1], S.SCORE) if len(links) > 1 else []:
+        out += S.align(mix(np.array(x, np.uint64)), mix(np.array(y, np.uint64)), links[c, 0], links[c, 1], least, percent)
+    return out
+
+
+def test_passages_around_large_gaps():
+    a, other = list(range(400)), list(range(1000, 2600))
+    inserted = found_in(a, a[:200] + other[:150] + a[200:])
+    assert sorted(p[:4] for p in inserted) == [(0, 200, 0, 200), (200, 400, 350, 550)]
+    unlike = found_in(a[:300] + other[:300] + a[300:], a[:300] + other[300:600] + a[300:])
+    assert sorted(p[:4] for p in unlike) == [(0, 300, 0, 300), (600, 700, 600, 700)]
+    far = found_in(a[:200] + other[:700] + a[200:], a[:200] + other[800:1550] + a[200:])
+    assert sorted(p[:4] for p in far) == [(0, 200, 0, 200), (900, 1100, 950, 1150)]
+    shifted = np.array(other[:700]), np.array([*other[50:350], *range(9000, 9020), *other[350:700]])
+    assert substring_dedup._gap_matches(*shifted) == 650
+
+
 def test_chains():
     x = np.array([0, 5, 9, 9, 14, 200, 205])
     y = np.array([10, 15, 3, 19, 24, 0, 5])
