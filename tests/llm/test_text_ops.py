@@ -246,6 +246,19 @@ def test_passages_around_large_gaps():
     assert substring_dedup._gap_matches(*shifted) == 650
 
 
+@pytest.mark.parametrize(("n", "percent_changed", "least_recall"), [(60, 10, 0.9), (60, 15, 0.8), (100, 18, 0.95), (200, 18, 1.0)])
+def test_recall_of_changed_passages(n, percent_changed, least_recall):
+    rng, hits = random.Random(n + percent_changed), 0
+    for _ in range(60):
+        passage = [rng.randrange(10**6) for _ in range(n)]
+        changed = passage[:]
+        for i in rng.sample(range(n), n * percent_changed // 100):
+            changed[i] = 10**7 + rng.randrange(10**6)
+        own = [[rng.randrange(2 * 10**7, 3 * 10**7) for _ in range(m)] for m in (60, 60, 90, 40)]
+        hits += bool(found_in(own[0] + passage + own[1], own[2] + changed + own[3]))
+    assert hits >= 60 * least_recall
+
+
 def test_chains():
     x = np.array([0, 5, 9, 9, 14, 200, 205])
     y = np.array([10, 15, 3, 19, 24, 0, 5])
