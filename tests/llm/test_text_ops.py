@@ -225,7 +225,7 @@ def found_in(x, y, least=50, percent=80):
     for w in (x, y):
         h, off = shingles(mix(np.array(w, np.uint64)), np.array([0, len(w)]), S.K, whole_if_short=False)
         at = S.winnow(h, off, S.WINDOW)
-        sides.append((S.numbered(h[at], np.zeros(len(at), np.int64)), at))
+        sides.append((S.numbered(h[at], np.zeros(len(at), np.int64))[0], at))
     (hx, px), (hy, py) = sides
     links = np.array([(a, b) for v, a in zip(hx, px) for b in py[hy == v]], np.int64).reshape(-1, 2)
     out = []
@@ -259,6 +259,22 @@ def test_recall_of_changed_passages(n, percent_changed, least_recall):
     assert hits >= 60 * least_recall
 
 
+def test_passages_whose_seeds_have_other_ends(spark):
+    rng = random.Random(31)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, q, again = new(60), new(60), new(20)
+    rows = [(5, p), (6, p), (1, p[:40]), (9, p[20:])]
+    # A run of 105 and 108, of which the documents before, between and after hold other parts.
+    rows += [(105, q), (108, q), (101, q[:22]), (106, q[15:37]), (107, q[30:52]), (109, q[40:]), (102, q[8:30]), (110, q[22:44]), (104, q[36:]), (111, q[:18])]
+    # What a text has before, alone, doesn't keep it from matching where it comes again; runs of one word in other places.
+    rows += [(203, again + new(40) + again + p[::-1][:40]), (204, again + p[::-1][:40]), (301, ["z"] * 60 + new(9) + ["z"] * 8), (302, ["z"] * 8 + new(9) + ["z"] * 60)]
+    rows = [(i, " ".join(new(15) + w + new(15))) for i, w in rows]
+    got = {(r["doc_id"], r["other_doc_id"]): r for r in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert all(i > j for i, j in got)
+    assert {(6, 5), (108, 105), (204, 203), (302, 301)} <= set(got)
+    assert (got[6, 5]["start"], got[6, 5]["end"], got[108, 105]["start"], got[108, 105]["end"]) == (15, 75, 15, 75)
+
+
 def test_chains():
     x = np.array([0, 5, 9, 9, 14, 200, 205])
     y = np.array([10, 15, 3, 19, 24, 0, 5])
