@@ -2,10 +2,12 @@
 
 Lines are what lies between line feeds. A line of at least ``least`` characters is described by one-permutation
 MinHash of its shingles of ``width`` characters (``BANDS * ROWS`` bins, empty ones filled by rotation). Distinct
-lines that agree in a band are compared, by exact Jaccard similarity of their shingle sets, with the least and the
-greatest line of that band's bucket: as many comparisons as bucket entries, never all pairs. Links of ``percent`` %
-or more make components, and each component keeps its first line by (id, line number). 12 bands of 5 rows meet a
-pair of similarity 0.8 with odds of 0.99.
+lines that agree in a band are compared, by exact Jaccard similarity of their shingle sets, first with the least and the
+greatest line of that band's bucket: as many comparisons as bucket entries. Links of ``percent`` % or more make
+components. Buckets of four or more lines that still hold several components then compare all lines of different
+components, by bitmaps that bound the overlap from above within the join's condition, and exactly where that may reach.
+Each component keeps its first line by (id, line number). 12 bands of 5 rows meet a pair of similarity 0.8 with odds of
+0.99.
 
 Shorter lines stay as they are. A null text stays null; an empty text is one empty line. Rows with equal id and
 text are one document (they keep the same lines); rows with null ids come first. All of df's columns stay.
@@ -23,6 +25,8 @@ from tessera.llm.common import blocks, components, mix, powers, stored, text_byt
 BANDS, ROWS = 12, 5
 WIDTH, LEAST, PERCENT = 8, 20, 80
 FILTER_BITS = 1 << 23
+BITS = 512  # of a line's bitmap
+_LONGS = [f"b{i}" for i in range(BITS // 64)]
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -181,6 +185,27 @@ def _similar(width: int, percent: int):
     return run
 
 
+def _bitmaps(width: int):
+    """(lh, line) to (lh, different shingles, their bitmap in longs)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 20_000):
+                part = batch.slice(i, 20_000)
+                data, offs = text_bytes(part.column(1))
+                cut = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+                h = _shingles(np.frombuffer(bytes(data).decode().encode("utf-32-le"), np.uint32), width)
+                n, bits = np.zeros(part.num_rows, np.int32), np.zeros((part.num_rows, BITS), bool)
+                for r in range(part.num_rows):
+                    own = np.unique(h[cut[r] : cut[r + 1] - width + 1])
+                    n[r] = len(own)
+                    bits[r, (own >> np.uint64(32)).astype(np.int64) % BITS] = True
+                longs = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *[pa.array(np.ascontiguousarray(longs[:, c])) for c in range(len(_LONGS))]], names=["lh", "n", *_LONGS])
+
+    return run
+
+
 def _drop_lines(batches):
     """(..., text, lines to drop) to (..., text, lines, lines removed)."""
     for batch in batches:
@@ -206,8 +231,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     lines = stored(texts.where("text is not null").mapInArrow(_describe(width, least), f"key bigint, id {id_sql}, line int, lh bigint, bands array<bigint>"), "lines")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     banded = lines.select("lh", F.explode("bands").alias("band")).repartition(parts, "band")
-    ends = banded.groupBy("band").agg(F.min("lh").alias("lo"), F.max("lh").alias("hi")).where("lo <> hi")
-    met = banded.join(ends.hint("shuffle_hash"), "band").select("lh", F.explode(F.array("lo", "hi")).alias("end")).where("lh <> end")
+    ends = banded.groupBy("band").agg(F.min("lh").alias("lo"), F.max("lh").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    shared = stored(banded.join(ends.hint("shuffle_hash"), "band").select("lh", "band", "lo", "hi", "size"), "line-shared")
+    met = shared.select("lh", F.explode(F.array("lo", "hi")).alias("end")).where("lh <> end")
     pairs = stored(met.select(F.least("lh", "end").alias("a"), F.greatest("lh", "end").alias("b")).distinct(), "line-pairs")
 
     marks = np.zeros(FILTER_BITS // 64, np.int64)
@@ -216,10 +242,42 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         marks[w] = m
     bodies = texts.where("text is not null").select("text").mapInArrow(_wanted_lines(marks.view(np.uint8), least), "lh bigint, body string").groupBy("lh").agg(F.first("body").alias("body"))
     bodies = stored(bodies, "line-bodies")
-    joined = pairs.join(bodies.select(F.col("lh").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("lh").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-    links = stored(joined.mapInArrow(_similar(width, percent), "a bigint, b bigint"), "line-links")
+
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        joined = pairs.join(bodies.select(F.col("lh").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("lh").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+        return stored(joined.mapInArrow(_similar(width, percent), "a bigint, b bigint"), tag)
+
+    links = verified(pairs, "line-links")
     comp = stored(components(links, "a", "b", "line-cc"), "line-comps")
 
+    # Of three lines in a bucket all pairs are compared; of more, those of different components are left.
+    own = shared.where("size > 3").select("lh", "band").distinct().join(comp.withColumnRenamed("node", "lh"), "lh", "left").withColumn("comp", F.coalesce("comp", "lh"))
+    own = stored(own, "line-many")
+    mixed = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 3").select("band")
+    open_ = stored(own.join(mixed, "band"), "line-open")
+    if not open_.isEmpty():
+        maps = bodies.join(open_.select("lh").distinct(), "lh").select("lh", "body").mapInArrow(_bitmaps(width), f"lh bigint, n int{''.join(f', {c} bigint' for c in _LONGS)}")
+        members = stored(open_.join(maps, "lh"), "line-members")
+        ham = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _LONGS)
+        near = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * (((x.n + y.n) - ({ham})) div 2) >= {percent} * (x.n + y.n)")
+        across = members.alias("x").hint("merge").join(members.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.lh") < F.col("y.lh")) & (F.col("x.comp") != F.col("y.comp")) & near)
+        close = F.expr(f"(((x.n + y.n) - ({ham})) div 2) / (x.n + y.n)")
+        across = across.select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b"), close.alias("close")).distinct().join(pairs, ["a", "b"], "left_anti")
+        rest, turn = stored(across, "line-across"), 0
+        while not rest.isEmpty():
+            # One link joins a line to a whole component, so the closest pair of each line goes first, then all that are left.
+            now = rest.select("a", "b")
+            if turn < 2:
+                now = rest.groupBy("a").agg(F.max_by("b", "close").alias("b")).union(rest.groupBy("b").agg(F.max_by("a", "close").alias("a")).select("a", "b")).distinct()
+            now = stored(now, f"line-now{turn}")
+            more = verified(now, f"line-links{turn}")
+            if not more.isEmpty():
+                links = links.union(more)
+                comp = stored(components(links, "a", "b", "line-cc"), "line-comps")
+            ca, cb = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"now_{c}")) for c in "ab")
+            rest = rest.join(now, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
+            rest, turn = stored(rest.select("a", "b", "close"), f"line-rest{turn}"), turn + 1
+
     place = F.struct(F.col("id").isNotNull().alias("g"), "id", "key", "line")
     of_line = lines.groupBy("lh").agg(F.min(place).alias("p"), F.count("*").alias("n")).join(comp.withColumnRenamed("node", "lh"), "lh", "left").withColumn("comp", F.coalesce("comp", "lh"))
     of_line = of_line.select("lh", "comp", "p", "n")

@@ -113,6 +113,29 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, EDGES)).columns == [*docs(spark, []).columns, "n_lines", "n_removed"]
 
 
+def test_line_dedup_within_buckets(spark):
+    rng, lines, close = random.Random(17), [], 0
+    new = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for _ in range(150):  # lines with one beginning, of similarity 0.77 to each other, and a copy of one with 0.86
+        begin = new(107)
+        own = [begin + new(15) for _ in range(8)]
+        lines += [*own, own[3][:-8] + new(8)]
+    text = "".join(lines)
+    points, first = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.cumsum([0] + [len(x) for x in lines])
+    bands = line_dedup._bands(points, first[:-1], first[1:], 8)
+    cut = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    want = []
+    for f in range(0, len(lines), 9):
+        same = [[100 * len(cut[a] & cut[b]) >= 80 * len(cut[a] | cut[b]) and (bands[a] == bands[b]).any() for b in range(f, f + 9)] for a in range(f, f + 9)]
+        group = list(range(9))
+        for _ in range(9):
+            group = [min(group[b] for b in range(9) if b == a or same[a][b]) for a in range(9)]
+        want.append(9 - len(set(group)))
+    rows = [(f, "\n".join(lines[f : f + 9])) for f in range(0, len(lines), 9)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert [got[f] for f, _ in rows] == want and sum(want) > 100
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_mixing(spark, seed):
     rng = random.Random(seed)
