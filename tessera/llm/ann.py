@@ -144,10 +144,13 @@ def _search(dim: int, k: int):
         if len(rows) and len(asks):
             ids, x = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.float64)
             qids, q = asks["id"].to_numpy(), np.stack(asks["v"].to_numpy()).astype(np.float64)
+            order = np.argsort(ids, kind="stable")
+            each = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))  # an id's rows count once
             for i in range(0, len(qids), 256):
                 s = q[i : i + 256] @ x.T
                 s[qids[i : i + 256, None] == ids[None, :]] = -np.inf
-                keep = np.partition(s, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
+                top = s if len(each) == len(ids) else np.maximum.reduceat(s[:, order], each, axis=1)
+                keep = np.partition(top, max(len(each) - k, 0), axis=1)[:, max(len(each) - k, 0)]
                 slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(keep), keep, 0)))
                 for r in range(len(s)):
                     c = np.flatnonzero((s[r] >= keep[r] - slack[r]) & np.isfinite(s[r]))

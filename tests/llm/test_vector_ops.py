@@ -1,6 +1,7 @@
 """Vector searches against brute force, and the pipeline's contract."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,15 @@ def test_nearest(spark):
     assert ann.nearest(vectors(spark, x[:3]), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).count() == 2
 
 
+def test_search_counts_a_repeated_id_once():
+    rng = np.random.default_rng(4)
+    x, ids = rng.standard_normal((60, 8)), np.arange(60)
+    want = [int(j) for j in np.lexsort((ids, -(x * x[0]).sum(1))) if j != 0][:20]
+    at = np.concatenate([ids, ids, np.repeat(want[0], 100)])
+    got = ann._search(8, 20)((0, 0, 0), pd.DataFrame({"id": ids[at], "v": list(x[at])}), pd.DataFrame({"id": [0], "v": [x[0]]}))
+    assert got["vec_id"].tolist() == want
+
+
 def test_walk_visits_near_centroids():
     rng = np.random.default_rng(3)
     c = rng.standard_normal((300, 8))
