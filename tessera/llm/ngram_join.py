@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: size bands, prefix tiles, hashed bitmaps, exact sorted-array intersection.
+"""N-gram Jaccard self-join: prefix tiles, bounds by size and hashed bitmaps, exact sorted-array intersection.
 
 Every text becomes its sorted set of 64-bit hashes of k-word shingles (two different sets share a 64-bit
 signature with odds of about n*n / 2**65). Texts with equal sets are one class. Classes meet in tiles:
