@@ -3,13 +3,16 @@
 Base spans are leftmost non-overlapping matches of each kind (assign, access, hex) that reach their least length.
 Positions come from the lengths of the pieces between matches, so they are code points.
 
-The battery looks at every run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that no base span overlaps:
+The battery looks at every run of 20 or more characters of ``[A-Za-z0-9+/_=-]``, and where base spans overlap one, at
+what they leave of it to either side:
 
 * the encoding is inferred (decimal, hex, base32, lower case, base64) and gives the alphabet;
 * uniformity over that alphabet (chi-squared), runs above and below the alphabet's middle, and lag-1 serial
   correlation give three p-values under randomness, combined by Fisher's method; below ``ALPHA`` a run is not random;
 * against prose speaks the number of changes between lower case, upper case, digits and signs. Under prose a change
-  has odds of at most ``CHANGES``; the Chernoff bound of so many changes is a p-value that knows the length;
+  has odds of at most ``CHANGES``; the Chernoff bound of so many changes is a p-value that knows the length. For letters
+  of one case, so do the letters: their likelihood in prose over that of random letters. Twice the lesser p counts;
+* digits alone are not told from numbers, which may be as random, and are no secret by themselves;
 * Benjamini-Hochberg at ``FDR`` within each class of lengths (powers of two) decides, over all runs of the table.
 
 Null and empty texts have no spans. Repeated rows get a result each.
@@ -17,6 +20,8 @@ Null and empty texts have no spans. Repeated rows get a result each.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +39,14 @@ KINDS = (
 SIGN = "A-Za-z0-9+/_=-"
 LEAST = 20
 CHANGES, ALPHA, FDR = 0.1, 0.001, 0.01
+#: Per mille of the letters a to z in prose: English, German, French, Spanish, Italian (at least 1 each).
+LETTERS = (
+    (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 1),
+    (65, 19, 27, 51, 164, 17, 30, 46, 66, 2.7, 14, 34, 25, 98, 26, 7, 1, 70, 73, 62, 42, 8, 19, 1, 1, 11),
+    (76, 9, 33, 37, 147, 11, 9, 7, 75, 6, 1, 55, 30, 71, 58, 25, 14, 67, 79, 72, 63, 18, 1, 4, 1.3, 3),
+    (115, 22, 40, 50, 122, 7, 18, 7, 62, 5, 1, 50, 32, 67, 87, 25, 9, 69, 80, 46, 29, 11, 1, 2, 10, 4.7),
+    (117, 9, 45, 37, 118, 11, 16, 6, 101, 1, 1, 65, 25, 69, 98, 30, 5, 64, 50, 56, 30, 21, 1, 1, 1, 12),
+)
 SPAN = "array<struct<start:bigint,end:bigint,tok:string>>"
 
 
@@ -76,6 +89,32 @@ def prose_p(tok: Column) -> Column:
     return F.when(r > CHANGES, F.exp(-F.least(n * kl, F.lit(600.0)))).otherwise(1.0)
 
 
+def letters_p(tok: Column) -> Column:
+    """Likelihood of a run of letters of one case in prose, of the likeliest language, over that of random letters: by Markov a p-value under prose."""
+    counts = F.array(*[F.regexp_count(tok, F.lit(f"[{c}{c.upper()}]")).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    odds = F.array(*[F.array(*[F.lit(math.log(26 * v / sum(own))) for v in own]) for own in LETTERS])
+    total = F.array_max(F.transform(odds, lambda w: F.aggregate(F.zip_with(counts, w, lambda n, y: n * y), F.lit(0.0), lambda x, y: x + y)))
+    return F.when(tok.rlike("^([a-z]+|[A-Z]+)$"), F.exp(F.greatest(F.least(total, F.lit(0.0)), F.lit(-600.0)))).otherwise(1.0)
+
+
+def _parts(run: Column, base: Column) -> Column:
+    """The parts of a run that base spans leave, of at least LEAST characters."""
+    cut = F.array_sort(F.transform(F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    start = F.struct(run["start"].cast("long").alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+
+    def piece(begin, end):
+        return F.struct(begin.alias("start"), end.alias("end"), F.substring(run["tok"], (begin - run["start"] + 1).cast("int"), (end - begin).cast("int")).alias("tok"))
+
+    def step(acc, b):
+        more = F.when(b["start"] - acc["at"] >= LEAST, F.concat(acc["out"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).cast("long").alias("at"), more.cast(SPAN).alias("out"))
+
+    def last(acc):
+        return F.when(run["end"] - acc["at"] >= LEAST, F.concat(acc["out"], F.array(piece(acc["at"], run["end"])))).otherwise(acc["out"]).cast(SPAN)
+
+    return F.aggregate(cut, start, step, last)
+
+
 def _bind(df: DataFrame, **columns: Column) -> DataFrame:
     """df with further columns, computed once however often what follows names them (one generated row for each)."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
@@ -88,6 +127,7 @@ def random_p(df: DataFrame, tok: str) -> DataFrame:
         F.when(t.rlike("^[0-9]+$"), "0123456789")
         .when(t.rlike("^[0-9a-f]+$"), "0123456789abcdef")
         .when(t.rlike("^[0-9A-F]+$"), "0123456789ABCDEF")
+        .when(t.rlike("^[A-Z]{33,}$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")  # shorter ones may be base32 that has no digit
         .when(t.rlike("^[A-Z2-7]+=*$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
         .when(t.rlike("^[a-z]+$"), "abcdefghijklmnopqrstuvwxyz")
         .otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -131,10 +171,10 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scan = rows.select("id", F.monotonically_increasing_id().alias("row"), *[_matches(F.col("text"), p, g, n, hint).alias(k) for k, p, g, n, hint in KINDS], _matches(F.col("text"), f"[{SIGN}]+", 0, LEAST, f"(?<![{SIGN}])[{SIGN}]{{{LEAST}}}").alias("run"))
     base = F.array_sort(F.concat(*[_ranked(k, i) for i, (k, *_) in enumerate(KINDS)]))
     scan = scan.withColumn("base", base)
-    free = F.filter("run", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.flatten(F.transform("run", lambda r: _parts(r, F.col("base")))).cast(SPAN)
     scan = stored(scan.select("id", "row", "base", free.alias("run")), "secret-scan")
 
-    runs = scan.where(F.size("run") > 0).select("row", F.explode("run").alias("r")).select("row", "r.*").withColumn("p", prose_p(F.col("tok"))).withColumn("lengths", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
+    runs = scan.where(F.size("run") > 0).select("row", F.explode("run").alias("r")).select("row", "r.*").withColumn("p", F.least(F.lit(1.0), 2 * F.least(prose_p(F.col("tok")), letters_p(F.col("tok"))))).withColumn("lengths", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
     runs = stored(runs.withColumn("bin", F.floor(-4 * F.log("p")).cast("int")), "secret-runs")
     live = stored(random_p(runs.where("p < 1"), "tok").where(F.col("random_p") >= ALPHA), "secret-live")
     total = runs.groupBy("lengths").agg(F.count("*").alias("all"))

@@ -223,6 +223,15 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_one_case_and_beside_patterns(spark):
+    rng = random.Random(5)
+    draw = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    low, up, key = draw("abcdefghijklmnopqrstuvwxyz", 60), draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 60), draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 44)
+    rows = [(1, f"a {low} b"), (2, f"a {up} b"), (3, f"x/{'deadbeef' * 4}/{key} y"), (4, "donaudampfschifffahrtsgesellschaftskapitaen INTERNATIONALIZATIONISTHEWORDHERE")]
+    got = {r["doc_id"]: r["extra"] for r in secrets.find_secrets(docs(spark, rows)).select("doc_id", secrets.listed(F.col("extra")).alias("extra")).collect()}
+    assert got == {1: "random:2:62", 2: "random:2:62", 3: "random:34:79", 4: ""}
+
+
 def test_substring_dedup(spark):
     rng = random.Random(6)
     passage = " ".join(prose(rng, 9)).split()[:70]
