@@ -33,7 +33,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and return the table as read back."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables. Only for those whose every reader has been stored, so that no lost task needs them again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused_name(df: DataFrame, base: str) -> str:
@@ -146,8 +156,77 @@ def shingles(wh: np.ndarray, woff: np.ndarray, k: int, whole_if_short: bool = Tr
     return out, off
 
 
+# ---- filters -------------------------------------------------------------------------------------------------
+
+
+def marks(hashes: DataFrame) -> np.ndarray:
+    """A filter of a column of hashes, as bytes: 16 bits a value, 2 ** 26 at most.
+
+    Beyond some millions of values it lets more through and saves less; it never holds a value back.
+    """
+    name = hashes.columns[0]
+    bits = 1 << min(26, max(16, (16 * max(1, hashes.count()) - 1).bit_length()))
+    bit = hashes.select(F.col(name).bitwiseAND(bits - 1).alias("bit"))
+    words_ = bit.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("m")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[words_.column(0).to_numpy()] = words_.column(1).to_numpy()
+    return out.view(np.uint8)
+
+
+def marked(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
+    at = hashes.view(np.uint64) & np.uint64(8 * len(filter_) - 1)
+    return (filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 # ---- connected components ------------------------------------------------------------------------------------
 
+FEW = 1 << 20  # links (16 MB) that one task joins by itself
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node that links u - v reach from each)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        la, lb = label[a], label[b]
+        open_ = la != lb
+        if not open_.any():
+            return nodes, nodes[label]
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+
+
+def _stars(batches):
+    """Links (u, v) to as few that connect the same nodes: each node of the task's links to the least it reaches."""
+
+    def star(held):
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, low = least_reachable(u, v)
+        far = nodes != low
+        return nodes[far], low[far]
+
+    def rows(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size > FEW:
+            held = [star(held)]
+            size = len(held[0][0])
+            if 2 * size > FEW:
+                yield rows(*held[0])
+                held, size = [], 0
+    if size:
+        yield rows(*star(held))
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
@@ -157,20 +236,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, tag: str = "cc", most_rounds: int = 40) -> DataFrame:
-    """(node, comp): comp is the least node that links reach. Nodes without a link are absent.
+def components(edges: DataFrame, a: str, b: str, tag: str = "cc", few: int = FEW) -> DataFrame:
+    """(node, comp) of links between longs: comp is the least node that links reach. Nodes without a link are absent.
 
-    Alternating large-star and small-star steps; each round is a written table, no group is gathered.
+    Every task first reduces its links to stars. If at most `few` remain, one task joins them; otherwise large-star
+    and small-star steps alternate until nothing changes, each round a written table, so no group is gathered.
+    Both steps lower the least label that each node sees, so the rounds end; they are as many as the logarithm of the
+    longest path, as a rule.
     """
-    u, v = F.col(a), F.col(b)
-    now = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
-    seen = None
-    for _ in range(most_rounds):
-        now = stored(_star(_star(now, True), False), tag)
-        print_ = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if tuple(print_) == seen:
-            break
-        seen = tuple(print_)
+    u, v = F.col(a).cast("long"), F.col(b).cast("long")
+    now = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(u.alias("u"), v.alias("v"))
+    now, seen = stored(now.mapInArrow(_stars, "u bigint, v bigint"), tag), None
+    if now.count() <= few:
+        now, before = stored(now.repartition(1).mapInArrow(_stars, "u bigint, v bigint"), tag), now
+        drop(before)
     else:
-        raise RuntimeError("components didn't settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+        while True:
+            now, before = stored(_star(_star(now, True), False), tag), now
+            drop(before)
+            print_ = tuple(now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first())
+            if print_ == seen:
+                break
+            seen = print_
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
