@@ -18,14 +18,19 @@ def transpose(m: Column) -> Column:
     return F.transform(_steps(_width(m)), lambda j: F.transform(m, lambda row: F.get(row, j)))
 
 
+def _divisor(pivot: Column) -> Column:
+    """pivot, failing at run time on 0."""
+    return F.when(pivot == 0, F.raise_error(F.lit("a pivot is 0")).cast("double")).otherwise(pivot)
+
+
 def getrf(m: Column) -> Column:
-    """LU without pivoting, in place: L strictly below the diagonal (its own is 1), U on and above it."""
+    """LU without pivoting, in place: L strictly below the diagonal (its own is 1), U on and above it. A pivot of 0 fails."""
 
     def eliminate(acc, k):
         pivot = F.get(acc, k)
 
         def below(row, i):
-            f = F.get(row, k) / F.get(pivot, k)
+            f = F.get(row, k) / _divisor(F.get(pivot, k))
             return F.when(i <= k, row).otherwise(F.transform(row, lambda x, j: F.when(j < k, x).when(j == k, f).otherwise(x - f * F.get(pivot, j))))
 
         return F.transform(acc, below)
@@ -44,13 +49,13 @@ def trsml(b: Column, l: Column) -> Column:
 
 
 def trsmr(b: Column, u: Column) -> Column:
-    """X of X U = B, U upper triangular with its own diagonal."""
+    """X of X U = B, U upper triangular with its own diagonal. A pivot of 0 fails."""
 
     def step(acc, k):
         pivot = F.get(u, k)
 
         def solve(row):
-            x = F.get(row, k) / F.get(pivot, k)
+            x = F.get(row, k) / _divisor(F.get(pivot, k))
             return F.transform(row, lambda v, j: F.when(j < k, v).when(j == k, x).otherwise(v - x * F.get(pivot, j)))
 
         return F.transform(acc, solve)

@@ -25,29 +25,39 @@ def runs(regions: DataFrame, *keep: str) -> DataFrame:
     return x.select(*keep, (F.col("ptr") + F.col("r") * F.col("pitch")).alias("start"), (F.col("ptr") + F.col("r") * F.col("pitch") + F.col("width")).alias("end"))
 
 
-def interval_join(a: DataFrame, b: DataFrame, condition: Column | None = None, bin_width: int = 64) -> DataFrame:
+def interval_join(a: DataFrame, b: DataFrame, condition: Column | None = None) -> DataFrame:
     """Pairs (x.*, y.*) of overlapping intervals [start, end), each once, by an equi-join on bins.
 
-    A pair that shares several bins is made in the first of them alone: the bin where the later one starts.
+    Intervals fall into classes by length, powers of two, and a class has bins as wide as its longest interval. So an
+    interval lies in two bins at most of its own class, and of each longer class that occurs. A pair meets in the longer
+    one's class, and is made in the bin where the later one starts.
     """
-    bins = lambda d: d.withColumn("bin", F.explode(F.expr(f"sequence(start div {bin_width}, (end - 1) div {bin_width})")))
+    size = F.ceil(F.log2(F.col("end") - F.col("start"))).cast("int")
+    some = a.select(size.alias("size")).union(b.select(size.alias("size"))).distinct().collect()  # 64 at most
+    classes = F.array(*[F.lit(r[0]) for r in some]) if some else F.array(F.lit(0))
+
+    def bins(d):
+        d = d.withColumn("size", size).withColumn("scale", F.explode(F.filter(classes, lambda c: c >= F.col("size"))))
+        return d.withColumn("bin", F.explode(F.expr("sequence(shiftright(start, scale), shiftright(end - 1, scale))")))
+
     x, y = bins(a).alias("x"), bins(b).alias("y")
-    on = (F.col("x.bin") == F.col("y.bin")) & (F.col("x.start") < F.col("y.end")) & (F.col("y.start") < F.col("x.end")) & (F.col("x.bin") == F.expr(f"greatest(x.start, y.start) div {bin_width}"))
+    on = (F.col("x.scale") == F.col("y.scale")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.start") < F.col("y.end")) & (F.col("y.start") < F.col("x.end"))
+    on = on & F.expr("x.scale = greatest(x.size, y.size) and x.bin = shiftright(greatest(x.start, y.start), x.scale)")
     return x.join(y, on if condition is None else on & condition)
 
 
-def overlapping(regions: DataFrame, key: str, bin_width: int = 64) -> DataFrame:
+def overlapping(regions: DataFrame, key: str) -> DataFrame:
     """(a, b), a < b: keys of the regions that share a byte."""
     r = runs(regions, key)
-    pairs = interval_join(r, r, F.col(f"x.{key}") < F.col(f"y.{key}"), bin_width)
+    pairs = interval_join(r, r, F.col(f"x.{key}") < F.col(f"y.{key}"))
     return pairs.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
 
 
-def classify(operands: DataFrame, bin_width: int = 64) -> DataFrame:
+def classify(operands: DataFrame) -> DataFrame:
     """(inst_from, inst_to, dep) of instructions in program order, from operands (inst, is_read, region)."""
     r = runs(operands, "inst", "is_read")
     either_writes = ~(F.col("x.is_read") & F.col("y.is_read"))
-    pairs = interval_join(r, r, (F.col("x.inst") < F.col("y.inst")) & either_writes, bin_width)
+    pairs = interval_join(r, r, (F.col("x.inst") < F.col("y.inst")) & either_writes)
     kind = F.when(F.col("x.is_read"), ANTI).when(F.col("y.is_read"), FLOW).otherwise(OUT)
     return pairs.groupBy(F.col("x.inst").alias("inst_from"), F.col("y.inst").alias("inst_to")).agg(F.bit_or(kind).cast("int").alias("dep"))
 
@@ -64,18 +74,41 @@ def update(table: DataFrame, changes: DataFrame) -> DataFrame:
     return both.where("dep <> 0")
 
 
+def replayed(changes: DataFrame) -> DataFrame:
+    """(inst_from, inst_to, dep, seq) that changes leave: the last one of a pair decides, seq is when it was put in.
+
+    A pair that is there already keeps its place; one that was deleted and put in again gets a new one.
+    """
+    pair = ["inst_from", "inst_to"]
+    gone = changes.groupBy(*pair).agg(F.max(F.when(F.col("dep") == 0, F.col("seq"))).alias("gone"), F.max_by("dep", "seq").cast("int").alias("last")).where("last <> 0")
+    since = changes.join(gone, pair).where("gone is null or seq > gone")
+    return since.groupBy(*pair, F.col("last").alias("dep")).agg(F.min("seq").alias("seq"))
+
+
+def dump(table: DataFrame) -> DataFrame:
+    """(inst_from, inst_to, dep), sorted."""
+    return table.select("inst_from", "inst_to", "dep").orderBy("inst_from", "inst_to")
+
+
 def lookup(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs with their dep, 0 for none."""
     return pairs.join(table, ["inst_from", "inst_to"], "left").withColumn("dep", F.coalesce("dep", F.lit(0)))
 
 
+def _others(table: DataFrame, inst: str, other: str) -> DataFrame:
+    order = F.col("seq") if "seq" in table.columns else F.col(other)
+    held = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.col(other).alias("other"))))
+    return table.groupBy(F.col(inst).alias("inst")).agg(F.transform(held, lambda x: x["other"]).alias("others"))
+
+
 def successors(table: DataFrame) -> DataFrame:
-    """(inst, others): what depends on each instruction, ascending."""
-    return table.groupBy(F.col("inst_from").alias("inst")).agg(F.array_sort(F.collect_list("inst_to")).alias("others"))
+    """(inst, others): what depends on each instruction, in the order of insertion if table has seq, or else ascending."""
+    return _others(table, "inst_from", "inst_to")
 
 
 def predecessors(table: DataFrame) -> DataFrame:
-    return table.groupBy(F.col("inst_to").alias("inst")).agg(F.array_sort(F.collect_list("inst_from")).alias("others"))
+    """(inst, others): what each instruction depends on, in the same order."""
+    return _others(table, "inst_to", "inst_from")
 
 
 def degrees(table: DataFrame, insts: DataFrame) -> DataFrame:

@@ -83,12 +83,12 @@ def jacobi_sweep(us: np.ndarray, v: np.ndarray, eps: float) -> bool:
 
 
 def jacobi_svd(a: np.ndarray, eps: float, most_sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(US, V): A = US Vᵀ with orthogonal columns of US, whose norms are the singular values."""
+    """(US, V): A = US Vᵀ with orthogonal columns of US, whose norms are the singular values. Raises if sweeps don't suffice."""
     us, v = a.astype(np.float64).copy(), np.eye(a.shape[1])
     for _ in range(most_sweeps):
         if not jacobi_sweep(us, v, eps):
-            break
-    return us, v
+            return us, v
+    raise ArithmeticError(f"columns are not orthogonal to {eps} after {most_sweeps} sweeps")
 
 
 def column_rank(us: np.ndarray, eps: float) -> int:
@@ -173,7 +173,8 @@ def accumulate(low1: DataFrame, low2: DataFrame, key: str) -> DataFrame:
 def tall_r(df: DataFrame, vector: str) -> DataFrame:
     """R of a tall matrix with a row in each record: QR of each task's rows, then of the stacked triangles.
 
-    The stacked triangles of tasks are reduced in groups of 64 until one is left, so no task gathers the table.
+    Triangles are dealt out to a 64th of the tasks and reduced there, again and again until one task is left. Only
+    triangles are shuffled, and the rows themselves are factored where they are read.
     """
     import pyarrow as pa
 
@@ -191,12 +192,10 @@ def tall_r(df: DataFrame, vector: str) -> DataFrame:
     parts = df.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // 64)
-        out = out.coalesce(parts).mapInArrow(triangle, "row array<double>")
+        out = out.repartition(parts).mapInArrow(triangle, "row array<double>")
     return out
 
 
-
-
 def low_rank_product(u: DataFrame, v: DataFrame) -> DataFrame:
     """The cells of U Vᵀ; expand only what is read."""
     return coo.gemm(u, v, b_t=True)

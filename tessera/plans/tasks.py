@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import deps
 from tessera.sources.matrices import stored
 
+LEVELS = 4  # of a graph, found in one job
 #: Weight of each operation in units of tile**3 / 3. Fixed values.
 WEIGHTS = {"getrf": 2, "trsml": 3, "trsmr": 3, "gemm": 6}
 
@@ -49,7 +52,7 @@ def operands(tasks: DataFrame, t: int, tile: int = 4) -> DataFrame:
 
 
 def dag_edges(spark: SparkSession, t: int, tile: int = 4) -> DataFrame:
-    return deps.classify(operands(lu_tasks(spark, t), t, tile), bin_width=tile)
+    return deps.classify(operands(lu_tasks(spark, t), t, tile))
 
 
 def density(edges: DataFrame, n: int) -> DataFrame:
@@ -60,16 +63,21 @@ def density(edges: DataFrame, n: int) -> DataFrame:
 def levels(edges: DataFrame, insts: DataFrame) -> DataFrame:
     """(inst, level): the longest chain of dependencies before each instruction.
 
-    A round for each level keeps the instructions that have a predecessor in the last one's frontier.
+    Each level keeps the instructions that have a predecessor in the one before; a job takes LEVELS of them.
     """
     edges = stored(edges.select("inst_from", "inst_to"), "edges")
     frontier, level, found = insts.select("inst"), 0, None
     while True:
-        here = stored(frontier.select("inst", F.lit(level).alias("level")), "level")
-        if here.isEmpty():
+        steps = [frontier.select("inst", F.lit(level).alias("level"))]
+        for n in range(1, LEVELS):
+            after = edges.join(steps[-1].select(F.col("inst").alias("inst_from")), "inst_from", "left_semi").select(F.col("inst_to").alias("inst")).distinct()
+            steps.append(after.withColumn("level", F.lit(level + n)))
+        here = stored(reduce(DataFrame.union, steps), "level")
+        found, level = here if found is None else found.union(here), level + LEVELS
+        last = here.where(F.col("level") == level - 1)
+        if last.isEmpty():
             break
-        found = here if found is None else found.union(here)
-        frontier, level = edges.join(here, edges["inst_from"] == here["inst"], "left_semi").select(F.col("inst_to").alias("inst")).distinct(), level + 1
+        frontier = edges.join(last.select(F.col("inst").alias("inst_from")), "inst_from", "left_semi").select(F.col("inst_to").alias("inst")).distinct()
     return found.groupBy("inst").agg(F.max("level").cast("long").alias("level")) if found is not None else insts.select("inst", F.lit(0).cast("long").alias("level"))
 
 
