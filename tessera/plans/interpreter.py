@@ -18,10 +18,20 @@ from tessera.sources.matrices import stored
 TILE = "bi int, bj int, ny int, nx int, data array<double>"
 
 
+class ZeroPivot(ArithmeticError):
+    """LU without pivoting met a pivot of 0."""
+
+
+def _pivot(m: np.ndarray, k: int) -> float:
+    if m[k, k] == 0:
+        raise ZeroPivot(f"pivot {k} is 0")
+    return m[k, k]
+
+
 def lu(m: np.ndarray) -> np.ndarray:
     m = m.copy()
-    for k in range(min(m.shape)):
-        m[k + 1 :, k] /= m[k, k]
+    for k in range(min(m.shape[0] - 1, m.shape[1])):
+        m[k + 1 :, k] /= _pivot(m, k)
         m[k + 1 :, k + 1 :] -= np.outer(m[k + 1 :, k], m[k, k + 1 :])
     return m
 
@@ -36,31 +46,45 @@ def solve_lower(b: np.ndarray, l: np.ndarray) -> np.ndarray:
 def solve_upper(b: np.ndarray, u: np.ndarray) -> np.ndarray:
     b = b.copy()
     for k in range(b.shape[1]):
-        b[:, k] /= u[k, k]
+        b[:, k] /= _pivot(u, k)
         b[:, k + 1 :] -= np.outer(b[:, k], u[k, k + 1 : b.shape[1]])
     return b
 
 
-def execute(op: str, own: np.ndarray, *read: np.ndarray, b_t: bool = False) -> np.ndarray:
-    """The tile that an operation writes. read: its other operands in order."""
+#: How the products of three and four factors are grouped, by control.
+GROUPS = {3: {0: (0, (1, 2)), 1: ((0, 1), 2)}, 4: {0: (((0, 1), 2), 3), 1: ((0, (1, 2)), 3), 2: (0, ((1, 2), 3)), 3: (0, (1, (2, 3))), 4: ((0, 1), (2, 3))}}
+
+
+def product(read, flags=(), control: int | None = None) -> np.ndarray:
+    """The product of the factors, transposed where flagged, grouped as control says (None: as costs least)."""
+    m = [x.T if t else x for x, t in zip(read, [*flags, *[False] * len(read)], strict=False)]
+    if len(m) < 3 or control is None:
+        return np.linalg.multi_dot(m) if len(m) > 1 else m[0]
+    control = int(control != 0) if len(m) == 3 else control
+    if control not in GROUPS[len(m)]:
+        raise ValueError(f"unknown control {control}")
+    group = lambda g: m[g] if isinstance(g, int) else group(g[0]) @ group(g[1])
+    return group(GROUPS[len(m)][control])
+
+
+def execute(op: str, own: np.ndarray | None = None, *read: np.ndarray, flags=(), control: int | None = None):
+    """What an operation writes: a matrix, or U and V of accum. read: its other operands in order."""
     if op == "nop":
-        return own
+        return own if own is not None else ()
     if op == "getrf":
         return lu(own)
     if op == "trsml":
-        if b_t:
+        if any(flags):
             raise ValueError("trsml takes no transposed B")
         return solve_lower(own, read[0])
     if op == "trsmr":
-        return solve_upper(own.T, read[0]).T if b_t else solve_upper(own, read[0])
+        return solve_upper(own.T, read[0]).T if any(flags) else solve_upper(own, read[0])
     if op in ("gemm", "gemm_3x", "gemm_4x"):
-        return own - (np.linalg.multi_dot(read) if len(read) > 1 else read[0])
+        return own - product(read, flags, control)
     if op == "gemm_plus":
-        return own + np.linalg.multi_dot(read)
-    if op == "accum":  # own holds U1 beside V1, the others are U2 and V2
-        n = own.shape[0] // 2
-        u, v = recompress(own[:n], own[n:], *read)
-        return np.vstack([u, v])
+        return own + product(read, flags, control)
+    if op == "accum":
+        return recompress(own, *read)
     raise ValueError(f"unknown operation {op}")
 
 
@@ -71,7 +95,9 @@ def replaced(tiles: DataFrame, new: DataFrame, level: int) -> DataFrame:
 
 
 def run_levels(tiles: DataFrame, tasks: DataFrame, levels: DataFrame) -> DataFrame:
-    """tiles after all tasks. tasks: (inst, op, i, j, reads array<struct<i,j>>); levels: (inst, level)."""
+    """tiles after all tasks. tasks: (inst, op, i, j, reads array<struct<i,j>>, perhaps flags array<boolean>); levels: (inst, level)."""
+    if "flags" not in tasks.columns:
+        tasks = tasks.withColumn("flags", F.expr("cast(array() as array<boolean>)"))
     planned = stored(tasks.join(levels, "inst"), "planned")
     last = planned.agg(F.max("level")).first()[0]
     tiles = stored(tiles, "tiles")
@@ -79,14 +105,14 @@ def run_levels(tiles: DataFrame, tasks: DataFrame, levels: DataFrame) -> DataFra
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = pdf.sort_values("role").to_dict("records")
         m = [np.asarray(p["data"], np.float64).reshape(int(p["ny"]), int(p["nx"])) for p in parts]
-        out = execute(parts[0]["op"], *m)
+        out = execute(parts[0]["op"], *m, flags=list(parts[0]["flags"]))
         return pd.DataFrame({"bi": [parts[0]["i"]], "bj": [parts[0]["j"]], "ny": [out.shape[0]], "nx": [out.shape[1]], "data": [out.ravel().tolist()]})
 
     for level in range(0 if last is None else last + 1):
         now = planned.where(F.col("level") == level)
         roles = F.concat(F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j"))), F.col("reads"))
-        wanted = now.select("inst", "op", "i", "j", F.posexplode(roles).alias("role", "t"))
-        fetched = wanted.join(tiles, (F.col("t.i") == F.col("bi")) & (F.col("t.j") == F.col("bj"))).select("inst", "op", "role", "i", "j", "ny", "nx", "data")
+        wanted = now.select("inst", "op", "flags", "i", "j", F.posexplode(roles).alias("role", "t"))
+        fetched = wanted.join(tiles, (F.col("t.i") == F.col("bi")) & (F.col("t.j") == F.col("bj"))).select("inst", "op", "flags", "role", "i", "j", "ny", "nx", "data")
         new = stored(fetched.groupBy("inst").applyInPandas(work, TILE), "written")
         tiles = replaced(tiles, new, level)
     return tiles
@@ -108,25 +134,32 @@ def tiled_lu(tiles: DataFrame, t: int) -> DataFrame:
     return run_levels(tiles, lu_reads(tasks), levels(dag_edges(spark, t), tasks))
 
 
-def tiled_solve(tiles: DataFrame, factor: DataFrame, rows: int, cols: int, side: str) -> DataFrame:
+def tiled_solve(tiles: DataFrame, factor: DataFrame, rows: int, cols: int, side: str, transposed: bool = False) -> DataFrame:
     """X of L X = B (side "l") or X U = B (side "r") for tiles of B (rows by cols) and of the factor.
 
-    The factor's tiles are operands beside B's; they get block rows below B's.
+    transposed: B and X of X U = B are stored transposed, so their tiles are cols by rows of the unknown's. The factor's
+    tiles are operands beside B's; they get block rows below B's. Step k solves block k, then takes its part from the
+    blocks after it; the tasks are made in place, none on the driver.
     """
-    spark = tiles.sparkSession
-    steps = rows if side == "l" else cols
-    other = cols if side == "l" else rows
-    out = []
-    for k in range(steps):  # task descriptions only, (steps ** 2 * other) / 2 of them
-        for o in range(other):
-            own = (k, o) if side == "l" else (o, k)
-            out.append((len(out), 2 * k, "trsml" if side == "l" else "trsmr", *own, [(rows + k, k)]))
-        for r in range(k + 1, steps):
-            for o in range(other):
-                own = (r, o) if side == "l" else (o, r)
-                reads = [(rows + r, k), (k, o)] if side == "l" else [(o, k), (rows + k, r)]
-                out.append((len(out), 2 * k + 1, "gemm", *own, reads))
-    df = spark.createDataFrame(out, "inst long, level int, op string, i int, j int, reads array<struct<i:int,j:int>>")
+    if transposed and side != "r":
+        raise ValueError("only X U = B has a transposed form")
+    spark, down = tiles.sparkSession, side == "l" or transposed  # down: the blocks that are solved one by one are rows
+    steps, others = (rows, cols) if down else (cols, rows)
+    cell = lambda a, b: F.struct(a.cast("int").alias("i"), b.cast("int").alias("j"))
+    k, r, o = F.col("k"), F.col("r"), F.col("o")
+    grid = spark.range(steps).select(F.col("id").alias("k"), F.explode(F.sequence(F.col("id"), F.lit(steps - 1).cast("long"))).alias("r"))
+    grid = grid.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+    first, own = k == r, (lambda b: cell(b, o) if down else cell(o, b))
+    solved, part = own(k), cell(r + rows, k) if side == "l" else cell(k + rows, r)  # of a gemm: X's block and the factor's
+    pair = F.array(part, solved) if side == "l" else F.array(part, solved) if transposed else F.array(solved, part)
+    none = F.expr("cast(array() as array<boolean>)")
+    flags = F.when(first, F.array(F.lit(True)) if transposed else none).otherwise(F.array(F.lit(True), F.lit(False)) if transposed else none)
+    tasks = grid.select(
+        ((k * steps + r) * others + o).alias("inst"), (2 * k + F.when(first, 0).otherwise(1)).alias("level"),
+        F.when(first, "trsml" if side == "l" else "trsmr").otherwise("gemm").alias("op"), own(r).getField("i").alias("i"), own(r).getField("j").alias("j"),
+        F.when(first, F.array(cell(k + rows, k))).otherwise(pair).alias("reads"), flags.alias("flags"),
+    )
     both = tiles.union(factor.select((F.col("bi") + rows).cast("int").alias("bi"), "bj", "ny", "nx", "data"))
-    done = run_levels(both, df.drop("level"), df.select("inst", "level"))
+    tasks = stored(tasks, "solve-tasks")
+    done = run_levels(both, tasks.drop("level"), tasks.select("inst", "level"))
     return done.where(F.col("bi") < rows)

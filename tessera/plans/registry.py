@@ -1,6 +1,6 @@
 """Queries of the block-algebra and task-graph operators over the given tables, with their DuckDB SQL.
 
-Every query reads its whole tables. Numbers are rounded, and 0.0 is added so that no negative zero is left.
+Queries over tables read them whole; those of the task graphs make their graphs from a size and read none. Numbers are rounded, and 0.0 is added so that no negative zero is left.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import profile
-from tessera.operators import blocks, coo, deps, hierarchical, lowrank, permute
-from tessera.plans import interpreter, schedule, tasks
+from tessera.operators import blocks, coo, deps, hierarchical, lowrank, nested, permute
+from tessera.plans import interpreter, machine, schedule, tasks
 from tessera.sources import matrices as M
 from tessera.sources import tables as S
 
@@ -188,6 +188,9 @@ matrix("trsml_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_til
 matrix("trsmr_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_tiles(coo.transpose(f("w")(s, d)), 3, 12, 4), lu_tiles(s, d), 1, 3, "r"), 4), trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12), 6)
 
 
+matrix("trsmr_bt_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_tiles(f("w")(s, d), 12, 3, 4), lu_tiles(s, d), 3, 1, "r", transposed=True), 4), flip(trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12)), 6)
+
+
 def lu_tiles(s, d):
     return interpreter.tiled_lu(M.to_tiles(SPD(s, d), 12, 12, 4), 3)
 
@@ -286,6 +289,49 @@ def reconstructed(s, d):
 register("hlu_leaf_table", lambda s, d: hierarchical.leaf_table(kernel_leaves(s, d), 7, 2).select("i0", "j0", "ny", "nx"), "SELECT x.k * 7 AS i0, y.k * 7 AS j0, CAST(least(7, 25 - x.k * 7) AS INTEGER) AS ny, CAST(least(7, 25 - y.k * 7) AS INTEGER) AS nx FROM range(0, 4) x(k), range(0, 4) y(k)")
 matrix("hlu_factor", reconstructed, S.boosted_sql(G25, 25, 10.0), 3)
 
+
+
+def falling(i, j):
+    """A kernel whose blocks off the diagonal have low rank; its diagonal is large, so that LU needs no pivoting."""
+    import numpy as np
+
+    return 100.0 / (3.0 * (1.0 + np.abs(i - j))) + 1000.0 * (i == j)
+
+
+def nested_matrices(s, *sizes):
+    return s.createDataFrame([(n, n) for n in sizes], "key long, n long")
+
+
+def residual(m):
+    """Whether L U times some vectors is the matrix times them, to six digits; and what dense LU would cost."""
+    import numpy as np
+    import pandas as pd
+
+    x, step = np.random.default_rng(2).standard_normal((m.n, 4)), 512
+    want = np.vstack([falling(np.arange(a, min(a + step, m.n))[:, None], np.arange(m.n)[None, :]) @ x for a in range(0, m.n, step)])
+    off = np.abs(m.lower_times(m.upper_times(x)) - want).max() / np.abs(want).max()
+    return pd.DataFrame({"levels": [m.depth], "leaves": [len(m.leaves)], "accurate": [bool(off < 1e-6)]})
+
+
+register(
+    "hlu_nested",
+    lambda s, d: nested.factored(nested_matrices(s, 150), falling, 20, 16, nested.product, "i long, j long, v double").select("key", "i", "j", (F.round("v", 3) + 0.0).alias("v")),
+    "SELECT CAST(150 AS BIGINT) AS key, a.i AS i, b.j AS j, round(100 / (3 * (CAST(1 AS DOUBLE) + abs(a.i - b.j))) + CASE WHEN a.i = b.j THEN 1000 ELSE 0 END, 3) + 0.0 AS v FROM range(0, 150) a(i), range(0, 150) b(j)",
+)
+#: Of a tree of d levels: a task for each dense leaf, two solves for each inner node, then a task for each leaf of a node's last quadrant.
+register(
+    "hlu_nested_tasks",
+    lambda s, d: nested.factored(nested_matrices(s, 64, 128, 256), falling, 16, 8, nested.task_list, nested.TASK).groupBy("key", "op").agg(F.count("*").alias("n")),
+    "WITH d AS (SELECT CAST(n AS BIGINT) AS key, d FROM (VALUES (64, 2), (128, 3), (256, 4)) v(n, d)), l AS (SELECT key, d, k, CAST(pow(2, k) AS BIGINT) AS nodes, CAST(pow(2, d - k - 1) AS BIGINT) AS half FROM d, range(0, 4) q(k) WHERE k < d) "
+    "SELECT key, 'getrf' AS op, CAST(pow(2, d) AS BIGINT) AS n FROM d UNION ALL SELECT key, 'trsml', CAST(sum(nodes) AS BIGINT) FROM l GROUP BY key UNION ALL SELECT key, 'trsmr', CAST(sum(nodes) AS BIGINT) FROM l GROUP BY key "
+    "UNION ALL SELECT key, 'gemm', CAST(sum(nodes * half) AS BIGINT) FROM l GROUP BY key UNION ALL SELECT key, 'accum', CAST(sum(nodes * 2 * (half - 1)) AS BIGINT) FROM l GROUP BY key",
+)
+register(
+    "hlu_sizes",
+    lambda s, d: nested.factored(nested_matrices(s, 1024, 2048, 4096), falling, 128, 16, residual, "levels int, leaves int, accurate boolean"),
+    "SELECT CAST(n AS BIGINT) AS key, CAST(d AS INTEGER) AS levels, CAST(pow(2, d) + 2 * (pow(2, d) - 1) AS INTEGER) AS leaves, true AS accurate FROM (VALUES (1024, 3), (2048, 4), (4096, 5)) v(n, d)",
+)
+
 # ---- regions and dependencies --------------------------------------------------------------------------------
 
 PART_REGIONS = "SELECT p_partkey AS id, p_partkey * 24 AS ptr, CAST(8 + p_size + p_size % 9 AS BIGINT) AS pitch, CAST(8 + p_size AS BIGINT) AS width, CAST(1 + p_size % 5 AS BIGINT) AS height FROM part"
@@ -338,6 +384,20 @@ def text_list(x: DataFrame) -> DataFrame:
     return x.select("inst", F.array_join(F.transform("others", lambda v: v.cast("string")), ",").alias("others"))
 
 
+def all_changes(s, d):
+    """A change of a pair for every line of an order: dep is its number mod 4, so some delete."""
+    x = S.table(s, d, "lineitem")
+    return x.select((F.col("l_suppkey") % 40).alias("inst_from"), (40 + F.col("l_partkey") % 60).alias("inst_to"), (F.col("l_linenumber") % 4).cast("int").alias("dep"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+
+
+CHANGES = "SELECT l_suppkey % 40 AS inst_from, 40 + l_partkey % 60 AS inst_to, CAST(l_linenumber % 4 AS INTEGER) AS dep, l_orderkey * 8 + l_linenumber AS seq FROM lineitem"
+REPLAYED = (
+    f"SELECT inst_from, inst_to, arg_max(dep, seq) AS dep, min(seq) FILTER (seq > gone) AS seq FROM (SELECT *, coalesce(max(CASE WHEN dep = 0 THEN seq END) OVER (PARTITION BY inst_from, inst_to), -1) AS gone FROM ({CHANGES})) "
+    "GROUP BY inst_from, inst_to HAVING arg_max(dep, seq) <> 0"
+)
+register("dep_inserted", lambda s, d: text_list(deps.successors(deps.replayed(all_changes(s, d)))), f"SELECT inst_from AS inst, string_agg(CAST(inst_to AS VARCHAR), ',' ORDER BY seq, inst_to) AS others FROM ({REPLAYED}) GROUP BY 1")
+register("dep_inserted_before", lambda s, d: text_list(deps.predecessors(deps.replayed(all_changes(s, d)))), f"SELECT inst_to AS inst, string_agg(CAST(inst_from AS VARCHAR), ',' ORDER BY seq, inst_from) AS others FROM ({REPLAYED}) GROUP BY 1")
+register("dep_dump", lambda s, d: deps.dump(deps.replayed(all_changes(s, d))), f"SELECT inst_from, inst_to, dep FROM ({REPLAYED}) ORDER BY 1, 2")
 register("dep_mirrored", lambda s, d: deps.mirrored(dep_table(s, d)), f"SELECT inst_to AS inst_from, inst_from AS inst_to, dep FROM ({PART_DEPS})")
 register("dep_degrees", lambda s, d: deps.degrees(dep_table(s, d), part_operands(s, d).select("inst").distinct()), f"SELECT inst, CAST((SELECT count(*) FROM ({PART_DEPS}) e WHERE e.inst_from = inst) AS BIGINT) AS deps_from, CAST((SELECT count(*) FROM ({PART_DEPS}) e WHERE e.inst_to = inst) AS BIGINT) AS deps_to FROM (SELECT DISTINCT p_partkey // 4 AS inst FROM part)")
 register("dep_clear", lambda s, d: deps.cleared(dep_table(s, d)), f"SELECT * FROM ({PART_DEPS}) WHERE false")
@@ -346,12 +406,24 @@ register("dep_combine", lambda s, d: dep_table(s, d).groupBy("dep").agg(F.count(
 # ---- task graphs ---------------------------------------------------------------------------------------------
 
 GRID = 8
-TASKS = (
-    f"SELECT CAST(row_number() OVER (ORDER BY k, part, i, j) - 1 AS BIGINT) AS inst, op, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE op WHEN 'getrf' THEN 2 WHEN 'gemm' THEN 6 ELSE 3 END AS BIGINT) AS flops FROM (SELECT k, i, j, CASE WHEN i = k AND j = k THEN 'getrf' WHEN i = k THEN 'trsml' WHEN j = k THEN 'trsmr' ELSE 'gemm' END AS op, "
-    f"CASE WHEN i = k AND j = k THEN 0 WHEN i = k THEN 1 WHEN j = k THEN 2 ELSE 3 END AS part FROM range(0, {GRID}) a(k) JOIN range(0, {GRID}) b(i) ON i >= k JOIN range(0, {GRID}) c(j) ON j >= k)"
-)
+
+
+def tasks_sql(n: int) -> str:
+    return (
+        f"SELECT CAST(row_number() OVER (ORDER BY k, part, i, j) - 1 AS BIGINT) AS inst, op, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE op WHEN 'getrf' THEN 2 WHEN 'gemm' THEN 6 ELSE 3 END AS BIGINT) AS flops FROM (SELECT k, i, j, CASE WHEN i = k AND j = k THEN 'getrf' WHEN i = k THEN 'trsml' WHEN j = k THEN 'trsmr' ELSE 'gemm' END AS op, "
+        f"CASE WHEN i = k AND j = k THEN 0 WHEN i = k THEN 1 WHEN j = k THEN 2 ELSE 3 END AS part FROM range(0, {n}) a(k) JOIN range(0, {n}) b(i) ON i >= k JOIN range(0, {n}) c(j) ON j >= k)"
+    )
+
+
+TASKS = tasks_sql(GRID)
 TILES = "SELECT inst, i, j, false AS r FROM t UNION ALL SELECT inst, k, k, true FROM t WHERE op IN ('trsml', 'trsmr') UNION ALL SELECT inst, i, k, true FROM t WHERE op = 'gemm' UNION ALL SELECT inst, k, j, true FROM t WHERE op = 'gemm'"
-EDGES = f"WITH t AS ({TASKS}), o AS ({TILES}) SELECT x.inst AS inst_from, y.inst AS inst_to, CAST(bit_or(CASE WHEN x.r THEN 2 WHEN y.r THEN 1 ELSE 4 END) AS INTEGER) AS dep FROM o x JOIN o y ON x.i = y.i AND x.j = y.j AND x.inst < y.inst AND NOT (x.r AND y.r) GROUP BY 1, 2"
+
+
+def edges_sql(tasks_: str) -> str:
+    return f"WITH t AS ({tasks_}), o AS ({TILES}) SELECT x.inst AS inst_from, y.inst AS inst_to, CAST(bit_or(CASE WHEN x.r THEN 2 WHEN y.r THEN 1 ELSE 4 END) AS INTEGER) AS dep FROM o x JOIN o y ON x.i = y.i AND x.j = y.j AND x.inst < y.inst AND NOT (x.r AND y.r) GROUP BY 1, 2"
+
+
+EDGES = edges_sql(TASKS)
 register("lu_tasks", lambda s, d: tasks.lu_tasks(s, GRID), TASKS)
 register("dag_edges", lambda s, d: tasks.dag_edges(s, GRID), EDGES)
 register("dag_density", lambda s, d: tasks.density(tasks.dag_edges(s, GRID), 204).select(F.round("density", 8).alias("density")), f"SELECT round(count(*) / (204 * 203 / 2), 8) AS density FROM ({EDGES})")
@@ -359,24 +431,163 @@ register("dag_levels", lambda s, d: tasks.levels(tasks.dag_edges(s, GRID), tasks
 register("batch_slices", lambda s, d: tasks.batch_slices(tasks.lu_tasks(s, GRID), 50), f"SELECT inst, inst // 50 AS slice, inst // 50 * 50 AS start FROM ({TASKS})")
 
 
+SIZES, WORKERS = (3, 4, 8), 2
+
+
 def graphs(s):
-    """LU graphs of 3, 4 and 8 tiles a side, as (tasks, edges) with the size as dag."""
-    t, e = zip(*((tasks.lu_tasks(s, n).withColumn("dag", F.lit(n).cast("long")), tasks.dag_edges(s, n).withColumn("dag", F.lit(n).cast("long"))) for n in (3, 4, 8)), strict=True)
+    """LU graphs of several sizes (tiles a side), as (tasks, edges) with the size as dag."""
+    t, e = zip(*((tasks.lu_tasks(s, n).withColumn("dag", F.lit(n).cast("long")), tasks.dag_edges(s, n).withColumn("dag", F.lit(n).cast("long"))) for n in SIZES), strict=True)
     return t[0].unionByName(t[1]).unionByName(t[2]), e[0].unionByName(e[1]).unionByName(e[2])
 
 
 def scheduled(s):
     t, e = graphs(s)
-    return M.stored(schedule.schedule(t, e, 2), "schedule"), t
+    return M.stored(schedule.schedule(t, e, WORKERS), "schedule"), t
+
+
+def union_sql(make) -> str:
+    return " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS dag, * FROM ({make(tasks_sql(n))})" for n in SIZES)
+
+
+ALL_TASKS = union_sql(lambda t: t)
+#: The policy of schedule.py for two workers, a decision in each step of the recursion. Lists count from 1.
+STATE = "STRUCT(t BIGINT, a BIGINT, v BIGINT)[]"
+SCHEDULE = f"""
+WITH RECURSIVE task AS ({ALL_TASKS}), edge AS ({union_sql(edges_sql)}),
+graph AS (
+    SELECT dag, list(flops ORDER BY inst) AS flops, list(after ORDER BY inst) AS after, list(before ORDER BY inst) AS before FROM (
+        SELECT dag, inst, flops, coalesce((SELECT list(inst_to ORDER BY inst_to) FROM edge e WHERE e.dag = t.dag AND e.inst_from = t.inst), CAST([] AS BIGINT[])) AS after,
+            coalesce((SELECT list(inst_from ORDER BY inst_from) FROM edge e WHERE e.dag = t.dag AND e.inst_to = t.inst), CAST([] AS BIGINT[])) AS before
+        FROM task t) GROUP BY dag
+), state AS (
+    SELECT dag, len(list_filter(before, lambda b: len(b) = 0)) AS arrived,
+        CAST(list_transform(list_reverse_sort(list_filter(range(len(flops)), lambda v: len(before[v + 1]) = 0)), lambda v, n: {{'t': 0, 'a': n - 1, 'v': v}}) AS {STATE}) AS ready,
+        CAST([0, 0] AS BIGINT[]) AS load, CAST([0, 0] AS BIGINT[]) AS waited, list_transform(before, lambda b: CAST(len(b) AS BIGINT)) AS missing,
+        list_transform(flops, lambda f: CAST(0 AS BIGINT)) AS ends, list_transform(flops, lambda f: CAST(-1 AS BIGINT)) AS ran,
+        CAST([] AS STRUCT(worker BIGINT, inst BIGINT, is_exec BOOLEAN, start_flops BIGINT)[]) AS done
+    FROM graph
+    UNION ALL
+    SELECT dag, arrived + len(free), list_concat(list_filter(ready, lambda x: x.a <> pick.a), CAST(list_transform(free, lambda v, n: {{'t': list_max(list_transform(before[v + 1], lambda p: ends2[p + 1])), 'a': arrived + n - 1, 'v': v}}) AS {STATE})),
+        list_transform(load, lambda x, n: CASE WHEN n = mine + 1 THEN start_ + greatest(flops[pick.v + 1], 1) ELSE x END),
+        list_transform(waited, lambda x, n: CASE WHEN n = mine + 1 AND needs THEN until ELSE x END), missing2, ends2,
+        list_transform(ran, lambda x, n: CASE WHEN n = pick.v + 1 THEN mine ELSE x END),
+        list_concat(list_concat(done, CASE WHEN needs THEN [{{'worker': mine, 'inst': last, 'is_exec': false, 'start_flops': load[mine + 1]}}] ELSE [] END), [{{'worker': mine, 'inst': pick.v, 'is_exec': true, 'start_flops': start_}}])
+    FROM (
+        SELECT *, list_reverse_sort(list_filter(after[pick.v + 1], lambda v: missing2[v + 1] = 0)) AS free FROM (
+            SELECT *, list_transform(ends, lambda x, n: CASE WHEN n = pick.v + 1 THEN start_ + greatest(flops[pick.v + 1], 1) ELSE x END) AS ends2,
+                list_transform(missing, lambda x, n: x - CASE WHEN list_contains(after[pick.v + 1], n - 1) THEN 1 ELSE 0 END) AS missing2
+            FROM (SELECT *, CASE WHEN needs THEN greatest(load[mine + 1], until) ELSE load[mine + 1] END AS start_ FROM (
+                SELECT *, ends[last + 1] AS until, last IS NOT NULL AND ends[last + 1] > waited[mine + 1] AS needs FROM (
+                    SELECT *, list_sort(list_transform(list_filter(before[pick.v + 1], lambda p: ran[p + 1] = 1 - mine), lambda p: {{'e': -ends[p + 1], 'p': p}}))[1].p AS last FROM (
+                        SELECT *, CASE WHEN load[1] <= pick.t AND load[2] <= pick.t THEN CASE WHEN load[2] > load[1] THEN 1 ELSE 0 END WHEN load[1] <= pick.t THEN 0 WHEN load[2] <= pick.t THEN 1 WHEN load[2] < load[1] THEN 1 ELSE 0 END AS mine FROM (
+                            SELECT s.*, g.flops, g.after, g.before, coalesce(
+                                list_sort(list_transform(list_filter(s.ready, lambda x: x.t <= list_min(s.load)), lambda x: {{'f': -len(g.after[x.v + 1]), 't': x.t, 'a': x.a, 'v': x.v}}))[1],
+                                list_sort(list_transform(s.ready, lambda x: {{'f': CAST(0 AS BIGINT), 't': x.t, 'a': x.a, 'v': x.v}}))[1]) AS pick
+                            FROM state s JOIN graph g ON g.dag = s.dag WHERE len(s.ready) > 0
+    )))))))
+), flat AS (SELECT dag, unnest(done) AS x, generate_subscripts(done, 1) AS n FROM state WHERE len(ready) = 0)
+SELECT dag, CAST(x.worker AS INTEGER) AS worker, CAST(row_number() OVER (PARTITION BY dag, x.worker ORDER BY n) - 1 AS INTEGER) AS seq, x.inst AS inst, x.is_exec AS is_exec, x.start_flops AS start_flops FROM flat"""
+LOADS = f"SELECT dag, worker, max(start_flops + flops) AS load FROM ({SCHEDULE}) s JOIN ({ALL_TASKS}) t USING (dag, inst) WHERE is_exec GROUP BY dag, worker"
+register("schedule", lambda s, d: scheduled(s)[0], SCHEDULE)
+register(
+    "sched_summary",
+    lambda s, d: schedule.summary(*scheduled(s), WORKERS).select("dag", "instructions", *[F.round(c, 6).alias(c) for c in ("heaviest_percent", "utilisation_percent", "waits_per_instruction")]),
+    f"SELECT l.dag, n AS instructions, round(100.0 * top / total, 6) AS heaviest_percent, round(CAST(100.0 AS DOUBLE) * total / top / {WORKERS}, 6) AS utilisation_percent, round(CAST(waits AS DOUBLE) / n, 6) AS waits_per_instruction "
+    f"FROM (SELECT dag, max(load) AS top FROM ({LOADS}) GROUP BY dag) l JOIN (SELECT dag, sum(flops) AS total, count(*) AS n FROM ({ALL_TASKS}) GROUP BY dag) USING (dag) JOIN (SELECT dag, count(*) FILTER (NOT is_exec) AS waits FROM ({SCHEDULE}) GROUP BY dag) USING (dag)",
+)
+register("sched_loads", lambda s, d: schedule.loads(*scheduled(s)), LOADS)
+register("sched_smallest_load", lambda s, d: schedule.smallest_load(*scheduled(s), WORKERS), f"SELECT dag, min(load) AS load FROM ({LOADS}) GROUP BY dag")
+register("sched_elapsed", lambda s, d: schedule.elapsed(scheduled(s)[0]), f"SELECT *, lead(start_flops) OVER (PARTITION BY dag, worker ORDER BY seq) - start_flops AS elapsed_flops FROM ({SCHEDULE})")
+register("sched_execution_list", lambda s, d: schedule.execution_list(scheduled(s)[0]).withColumn("insts", F.array_join(F.transform("insts", lambda v: v.cast("string")), ",")), f"SELECT dag, worker, string_agg(CAST(inst AS VARCHAR), ',' ORDER BY seq) AS insts FROM ({SCHEDULE}) WHERE is_exec GROUP BY dag, worker")
+register("sched_lengths", lambda s, d: schedule.lengths(scheduled(s)[0].where("dag = 8"), 3), f"SELECT CAST(w AS INTEGER) AS worker, count(x.worker) AS length FROM range(0, 3) q(w) LEFT JOIN ({SCHEDULE}) x ON x.worker = w AND x.dag = 8 GROUP BY w")
+
+
+def lu_program(s, t: int, tile: int):
+    return machine.lu_streams(scheduled(s)[0].where(F.col("dag") == t), tasks.lu_tasks(s, t), t, tile)
+
+
+def words_sql(t: int, tile: int) -> str:
+    """Words of tiled LU as text: opcode, signal, operation, operands."""
+    n = t * tile
+    at = lambda i, j: f"{i} * {tile * n} + {j} * {tile}"
+    words = {
+        "getrf": [1, 0, at("k", "k"), tile, tile, n], "trsml": [2, 0, 0, at("k", "j"), at("k", "k"), tile, tile, tile, n, n, 0],
+        "trsmr": [3, 0, 0, at("i", "k"), at("k", "k"), tile, tile, tile, n, n, 0], "gemm": [4, 0, 0, 0, at("i", "j"), at("i", "k"), at("k", "j"), tile, tile, tile, n, n, n, 0, 0],
+    }
+    text = " ".join(f"WHEN op = '{op}' THEN concat_ws(',', 0, inst, {', '.join(map(str, w))})" for op, w in words.items())
+    return (
+        f"WITH p AS (SELECT worker, seq, inst, is_exec FROM ({SCHEDULE}) WHERE dag = {t}) SELECT worker, seq, CASE WHEN NOT is_exec THEN concat_ws(',', 1, inst, 0) {text} END AS words FROM p JOIN ({tasks_sql(t)}) USING (inst) "
+        "UNION ALL SELECT worker, max(seq) + 1, '2' FROM p GROUP BY worker"
+    )
+
+
+register("inst_stream", lambda s, d: lu_program(s, GRID, 4).withColumn("words", F.array_join(F.transform("words", lambda v: v.cast("string")), ",")), words_sql(GRID, 4))
+
+
+def memory(*parts) -> DataFrame:
+    """(m, pos, v) of matrices (number, cells, columns)."""
+    out = [c.select(F.lit(m).alias("m"), (F.col("i") * n + F.col("j")).alias("pos"), "v") for m, c, n in parts]
+    return out[0] if len(out) == 1 else out[0].union(memory(*parts[1:]))
+
+
+def read_back(mem: DataFrame, columns: int) -> DataFrame:
+    return mem.select(F.expr(f"pos div {columns}").alias("i"), (F.col("pos") % columns).alias("j"), "v")
+
+
+matrix("inst_run", lambda s, d: read_back(machine.run(memory((0, SPD(s, d), 12)), lu_program(s, 3, 4)), 12), LU_SQL)
+
+
+def program(s, streams) -> DataFrame:
+    """Streams of instructions, a list for each worker, with their ends."""
+    return s.createDataFrame([(w, n, x) for w, own in enumerate(streams) for n, x in enumerate([*own, [machine.FINISH]])], machine.STREAM)
+
+
+def every_operation(s, d):
+    """Matrices 10 to 16, each written by an instruction of another kind; worker 1 waits for what worker 0 wrote."""
+    e = machine.encode
+    mem = memory((0, f("p")(s, d), 7), (1, f("r")(s, d), 12), (2, f("t")(s, d), 5), (3, f("u")(s, d), 25), (13, f("w")(s, d), 3), (4, S.boosted(g12(s, d), 12, 10.0), 12), (5, f("d")(s, d), 3))
+    p, r, t, u = (0, 0, 7), (1, 0, 12), (2, 0, 5), (3, 0, 25)
+    first = [
+        e(0, "nop"),
+        e(1, "gemm_plus", [(10, 0, 12), p, r], [25, 12, 7], [0, 0]),
+        e(2, "gemm_3x", [(11, 0, 5), p, r, t], [25, 5, 7, 12], [0, 0, 0], 1),
+        e(3, "getrf", [(4, 0, 12)], [12, 12]),
+    ]
+    second = [
+        e(4, "gemm_4x", [(12, 0, 25), p, r, t, u], [25, 25, 7, 12, 5], [0, 0, 0, 0], 4),
+        [machine.SIGNAL_WAIT, 3, 0],
+        e(5, "trsmr", [(13, 0, 3), (4, 0, 12)], [12, 3, 12], [1]),  # matrix 13 holds B transposed
+        [machine.SIGNAL_WAIT, 1, 0],
+        e(6, "gemm", [(14, 0, 25), (10, 0, 12), (10, 0, 12)], [25, 25, 12], [0, 1]),
+        e(7, "gemm_3x", [(15, 0, 3), r, p, (16, 0, 3)], [12, 3, 7, 25], [1, 1, 0], 0),
+    ]
+    mem = mem.union(memory((16, coo.gemm(f("p")(s, d), f("d")(s, d)), 3)))
+    out = machine.run(mem, program(s, [first, second])).where("m >= 10 and m < 16")
+    columns = {10: 12, 11: 5, 12: 25, 13: 3, 14: 25, 15: 3}
+    n = F.element_at(F.create_map(*[F.lit(x) for p in columns.items() for x in p]), F.col("m"))
+    return out.select("m", F.floor(F.col("pos") / n).cast("long").alias("i"), (F.col("pos") % n).cast("long").alias("j"), (F.round("v", 3) + 0.0).alias("v"))
+
+
+def minus(m: str) -> str:
+    return f"SELECT i, j, -v AS v FROM ({m})"
+
+
+WRITTEN = {
+    10: mul(P, R), 11: minus(mul(mul(P, R), T)), 12: minus(mul(mul(P, R), mul(T, U))), 13: flip(trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12)),
+    14: minus(mul(mul(P, R), flip(mul(P, R)))), 15: minus(mul(flip(R), mul(flip(P), mul(P, D)))),
+}
+register("inst_program", every_operation, " UNION ALL ".join(f"SELECT CAST({m} AS INTEGER) AS m, i, j, round(v, 3) + 0.0 AS v FROM ({q})" for m, q in WRITTEN.items()))
+
+
+def accumulated(s, d):
+    """U Vᵀ of the block that an accum instruction has added another one to."""
+    pd_ = coo.gemm(f("p")(s, d), f("d")(s, d))
+    mem = memory((0, f("p")(s, d), 7), (1, coo.transpose(f("r")(s, d)), 7), (2, pd_, 3), (3, f("w")(s, d), 3))
+    out = M.stored(machine.run(mem, program(s, [[machine.encode(0, "accum", [(0, 0, 7), (1, 0, 7), (2, 0, 3), (3, 0, 3)], [12, 25, 7, 3])]])), "accum")
+    return coo.gemm(read_back(out.where("m = 0"), 7), read_back(out.where("m = 1"), 7), b_t=True)
 
 
-register("schedule", lambda s, d: scheduled(s)[0])
-register("sched_summary", lambda s, d: schedule.summary(*scheduled(s), 2))
-register("sched_loads", lambda s, d: schedule.loads(*scheduled(s)))
-register("sched_elapsed", lambda s, d: schedule.elapsed(scheduled(s)[0]))
-register("sched_execution_list", lambda s, d: schedule.execution_list(scheduled(s)[0]))
-register("sched_lengths", lambda s, d: schedule.lengths(scheduled(s)[0].where("dag = 8"), 3))
-register("inst_stream", lambda s, d: schedule.instruction_stream(scheduled(s)[0].where("dag = 8"), tasks.lu_tasks(s, GRID), GRID, 4))
+matrix("inst_accum", accumulated, S.dense_sql(add(mul(P, R), mul(mul(P, D), flip(W)), 1, 1), 25, 12), 3)
 
 # ---- profile -------------------------------------------------------------------------------------------------
 

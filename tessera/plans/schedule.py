@@ -1,16 +1,16 @@
 """Static list scheduling of task graphs on workers, and what is read off a schedule.
 
-A graph is scheduled step by step, which is sequential; many graphs are scheduled in parallel, one group each. The
-ready list is kept by the time at which an instruction's last predecessor ends. If the least loaded worker is idle
-before the first entry's time, that entry goes next; otherwise, of the entries whose time has come, the one with most
-successors. It goes to the worker with the largest load that does not exceed its time, or else to the one with the
-smallest load. The worker first waits for the last predecessor on each other worker, unless an earlier wait for that
-worker implies it.
+A graph is scheduled step by step, which is sequential; many graphs are scheduled in parallel, one group each. Ready
+instructions are ordered by the time at which their last predecessor ends; of equal times, those that were ready before
+come first, and of those that get ready together the one with the greater number. If all workers are busy no longer than
+the first one's time, that one goes next; otherwise, of those whose time has come, the one with most successors. It
+goes to the worker with the largest load that does not exceed its time, or else to the one with the smallest load. The
+worker first waits for the last predecessor on each other worker, unless an earlier wait for that worker implies it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import insort
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,29 +18,6 @@ from pyspark.sql import functions as F
 SCHEMA = "dag long, worker int, seq int, inst long, is_exec boolean, start_flops long"
 
 
-class _Ready:
-    """Entries in the order of their time; equals in order of arrival."""
-
-    def __init__(self):
-        self.times, self.insts = [], []
-
-    def add(self, batch):
-        for time, inst in batch:
-            at = max(bisect_right(self.times, time), 1 if self.times else 0)
-            self.times.insert(at, time)
-            self.insts.insert(at, inst)
-
-    def take(self, clock, fanout):
-        pick = 0
-        if clock >= self.times[0]:
-            for p in range(1, len(self.times)):
-                if self.times[p] > clock:
-                    break
-                if fanout[self.insts[p]] > fanout[self.insts[pick]]:
-                    pick = p
-        return self.times.pop(pick), self.insts.pop(pick)
-
-
 def plan(flops: dict[int, int], edges: list[tuple[int, int]], workers: int, floor: int = 1) -> list[tuple[int, int, bool, int]]:
     """[(worker, inst, is_exec, start)] in the order of decisions. flops: cost of each instruction."""
     after = {v: [] for v in flops}
@@ -49,20 +26,22 @@ def plan(flops: dict[int, int], edges: list[tuple[int, int]], workers: int, floo
         after[a].append(b)
         before[b].append(a)
     missing = {v: len(p) for v, p in before.items()}
-    fanout = {v: len(s) for v, s in after.items()}
     load, waited = [0] * workers, [[0] * workers for _ in range(workers)]
-    ends, ran_on, out, ready = {}, {}, [], _Ready()
-    for v in sorted(flops, reverse=True):
-        if not missing[v]:
-            ready.times.append(0)
-            ready.insts.append(v)
-    while ready.insts:
-        time, inst = ready.take(min(load), fanout)
+    ends, ran_on, out, ready, arrived = {}, {}, [], [], 0  # ready: sorted (time, arrival, instruction)
+    free = [v for v in flops if not missing[v]]
+    while free or ready:
+        for v in sorted(free, reverse=True):
+            insort(ready, (max((ends[p] for p in before[v]), default=0), arrived, v))
+            arrived += 1
+        due = [x for x in ready if x[0] <= min(load)]
+        entry = max(due, key=lambda x: (len(after[x[2]]), -x[0], -x[1])) if due else ready[0]
+        ready.remove(entry)
+        time, _, inst = entry
         early = [w for w in range(workers) if load[w] <= time]
         mine = max(early, key=lambda w: (load[w], -w)) if early else min(range(workers), key=lambda w: (load[w], w))
         last = {}
         for p in before[inst]:
-            if p not in last.values() and (ran_on[p] not in last or ends[p] > ends[last[ran_on[p]]]):
+            if ran_on[p] not in last or ends[p] > ends[last[ran_on[p]]]:
                 last[ran_on[p]] = p
         for other in sorted(last):
             end = ends[last[other]]
@@ -72,16 +51,9 @@ def plan(flops: dict[int, int], edges: list[tuple[int, int]], workers: int, floo
         out.append((mine, inst, True, load[mine]))
         load[mine] += max(flops[inst], floor)
         ends[inst], ran_on[inst] = load[mine], mine
-        batch = []
-        for s in after[inst]:
-            missing[s] -= 1
-            if not missing[s]:
-                when = max((ends[p] for p in before[s]), default=0)
-                if batch and when <= batch[0][0]:
-                    batch.insert(0, (when, s))
-                else:
-                    batch.insert(bisect_right([t for t, _ in batch], when), (when, s))
-        ready.add(batch)
+        for v in after[inst]:
+            missing[v] -= 1
+        free = [v for v in after[inst] if not missing[v]]
     return out
 
 
@@ -105,6 +77,12 @@ def loads(sched: DataFrame, tasks: DataFrame, floor: int = 1) -> DataFrame:
     return done.groupBy("dag", "worker").agg(F.max(F.col("start_flops") + F.greatest("flops", F.lit(floor))).cast("long").alias("load"))
 
 
+def smallest_load(sched: DataFrame, tasks: DataFrame, workers: int, floor: int = 1) -> DataFrame:
+    """(dag, load): the least load of all workers, 0 if one has no instruction."""
+    x = loads(sched, tasks, floor).groupBy("dag").agg(F.min("load").alias("load"), F.count("*").alias("n"))
+    return x.select("dag", F.when(F.col("n") < workers, 0).otherwise(F.col("load")).cast("long").alias("load"))
+
+
 def summary(sched: DataFrame, tasks: DataFrame, workers: int, floor: int = 1) -> DataFrame:
     """(dag, instructions, heaviest_percent, utilisation_percent, waits_per_instruction)."""
     top = loads(sched, tasks, floor).groupBy("dag").agg(F.max("load").alias("top"))
@@ -129,27 +107,3 @@ def lengths(sched: DataFrame, workers: int) -> DataFrame:
     """(worker, length): entries of every worker, 0 for one that has none."""
     all_ = sched.sparkSession.range(workers).select(F.col("id").cast("int").alias("worker"))
     return all_.join(sched.groupBy("worker").agg(F.count("*").alias("n")), "worker", "left").select("worker", F.coalesce("n", F.lit(0)).cast("long").alias("length"))
-
-
-#: Opcodes of an instruction stream. Values of our own.
-EXECUTE, SIGNAL_WAIT, FINISH = 0, 1, 2
-OPERATIONS = {"nop": 0, "getrf": 1, "trsml": 2, "trsmr": 3, "gemm": 4, "gemm_plus": 5, "gemm_3x": 6, "gemm_4x": 7, "accum": 8}
-#: Words of an instruction by operation. Fixed values.
-LENGTHS = {"nop": 3, "getrf": 8, "trsml": 13, "trsmr": 13, "gemm": 17, "gemm_plus": 17, "gemm_3x": 23, "gemm_4x": 29, "accum": 21}
-
-
-def instruction_stream(sched: DataFrame, tasks: DataFrame, t: int, tile: int) -> DataFrame:
-    """(worker, seq, words): each worker's instructions for tiled LU on one matrix, with waits as three words."""
-    n = t * tile
-    at = lambda i, j: (F.col(i) * tile * n + F.col(j) * tile).cast("int")
-    z, s, ld = F.lit(0), F.lit(tile), F.lit(n)
-    head = [F.lit(EXECUTE), F.col("inst").cast("int"), F.element_at(F.create_map(*[F.lit(x) for p in OPERATIONS.items() for x in p]), F.col("op"))]
-    words = (
-        F.when(F.col("op") == "getrf", F.array(*head, z, at("k", "k"), s, s, ld))
-        .when(F.col("op") == "trsml", F.array(*head, z, z, at("k", "j"), at("k", "k"), s, s, s, ld, ld, z))
-        .when(F.col("op") == "trsmr", F.array(*head, z, z, at("i", "k"), at("k", "k"), s, s, s, ld, ld, z))
-        .otherwise(F.array(*head, z, z, z, at("i", "j"), at("i", "k"), at("k", "j"), s, s, s, ld, ld, ld, z, z))
-    )
-    x = sched.join(tasks.select("inst", "op", "k", "i", "j"), "inst")
-    wait = F.array(F.lit(SIGNAL_WAIT), F.col("inst").cast("int"), F.lit(0))
-    return x.select("worker", "seq", F.when(F.col("is_exec"), words).otherwise(wait).alias("words"))

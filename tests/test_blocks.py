@@ -48,7 +48,7 @@ def test_solves(spark):
     assert np.allclose(np.array(got[1]) @ up, c)
     assert np.allclose(np.array(got[2]).T @ up, c)
     with pytest.raises(ValueError):
-        interpreter.execute("trsml", b, lu, b_t=True)
+        interpreter.execute("trsml", b, lu, flags=[True])
 
 
 @pytest.mark.parametrize("shape", [(5, 5, 5), (4, 3, 5), (5, 2, 4), (3, 2, 1)])
