@@ -4,18 +4,20 @@ Base spans are leftmost non-overlapping matches of each kind (assign, access, he
 Positions come from the lengths of the pieces between matches, so they are code points.
 
 The battery looks at every run of 20 or more characters of ``[A-Za-z0-9+/_=-]``, and where base spans overlap one, at
-what they leave of it to either side:
-
-* the encoding is inferred (decimal, hex, base32, lower case, base64) and gives the alphabet;
-* uniformity over that alphabet (chi-squared), runs above and below the alphabet's middle, and lag-1 serial
-  correlation give three p-values under randomness, combined by Fisher's method; below ``ALPHA`` a run is not random;
-* against prose speaks the number of changes between lower case, upper case, digits and signs. Under prose a change
-  has odds of at most ``CHANGES``; the Chernoff bound of so many changes is a p-value that knows the length. For letters
-  of one case, so do the letters: their likelihood in prose over that of random letters. Twice the lesser p counts;
-* digits alone are not told from numbers, which may be as random, and are no secret by themselves;
-* Benjamini-Hochberg at ``FDR`` within each class of lengths (powers of two) decides, over all runs of the table.
-
-Null and empty texts have no spans. Repeated rows get a result each.
+what they leave of it to either side (so never at digits or lower-case hex alone, which are base spans):
+
+* the encoding is inferred (hex, base32, letters of one case, with digits or without, base64) and gives the alphabet;
+* against randomness, uniformity over that alphabet (chi-squared), runs above and below the alphabet's middle, and lag-1
+  serial correlation give three p-values, combined by Fisher's method; below ``ALPHA`` a run is not random;
+* against prose, so do uniformity and runs. Letters: their likelihood in prose of the likeliest language over that of
+  uniform letters of the encoding. Runs of lower case, upper case, digits and signs: the likelihood of so many changes
+  if a change has odds of ``CHANGES`` at most, over that at the odds that encodings have. The product of both ratios
+  is by Markov's inequality a p-value under prose, whatever the length;
+* Benjamini-Hochberg at ``FDR`` on these p-values, within each class of lengths (powers of two), decides over all runs of
+  the table, so of long and short runs alike few that are reported are prose.
+
+Null and empty texts have no spans. Very long texts are scanned whole. Repeated rows get a result each; runs of equal p
+are reported together or not at all. An empty table gives no rows, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ KINDS = (
 SIGN = "A-Za-z0-9+/_=-"
 LEAST = 20
 CHANGES, ALPHA, FDR = 0.1, 0.001, 0.01
+RATES = (0.3, 0.45, 0.6)  # odds of a change in base32, in digits and letters of one case, in base64
+PART = 256  # spans that are appended to one by one
 #: Per mille of the letters a to z in prose: English, German, French, Spanish, Italian (at least 1 each).
 LETTERS = (
     (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 1),
@@ -56,16 +60,20 @@ def _matches(text: Column, pattern: str, group: int, least: int, hint: str) -> C
     pieces, whole, part = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
     rows = F.arrays_zip(pieces, whole, part)
     none = F.expr(f"cast(array() as {SPAN})")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    nones = F.expr(f"cast(array() as array<{SPAN}>)")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"), nones.alias("done"))
 
     def step(acc, x):
+        """Spans go to parts of PART, so that an append copies a part and not all there are."""
         begin = acc["at"] + F.coalesce(F.length(x["0"]), F.lit(0))
         end = begin + F.coalesce(F.length(x["1"]), F.lit(0))
         span = F.struct(begin.alias("start"), end.alias("end"), x["1"].alias("tok"))
-        ok = x["1"].isNotNull() & (F.length(x["2"]) >= least)
-        return F.struct(end.cast("long").alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
+        ok, full = x["1"].isNotNull() & (F.length(x["2"]) >= least), F.size(acc["out"]) >= PART
+        out = F.when(~ok, acc["out"]).when(full, F.array(span)).otherwise(F.concat(acc["out"], F.array(span)))
+        done = F.when(ok & full, F.concat(acc["done"], F.array(acc["out"]))).otherwise(acc["done"])
+        return F.struct(end.cast("long").alias("at"), out.cast(SPAN).alias("out"), done.cast(f"array<{SPAN}>").alias("done"))
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["out"])
+    found = F.aggregate(rows, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["out"]))).cast(SPAN))
     return F.when(text.rlike(hint), found).otherwise(none)
 
 
@@ -82,19 +90,17 @@ def changes(tok: Column) -> Column:
 
 
 def prose_p(tok: Column) -> Column:
-    """Chernoff bound of the odds of so many changes in prose."""
-    n = F.length(tok) - 1
-    r = F.least(changes(tok) / n, F.lit(1.0))
-    kl = F.when(r > 0, r * F.log(r / CHANGES)).otherwise(0.0) + F.when(r < 1, (1 - r) * F.log((1 - r) / (1 - CHANGES))).otherwise(0.0)
-    return F.when(r > CHANGES, F.exp(-F.least(n * kl, F.lit(600.0)))).otherwise(1.0)
-
-
-def letters_p(tok: Column) -> Column:
-    """Likelihood of a run of letters of one case in prose, of the likeliest language, over that of random letters: by Markov a p-value under prose."""
-    counts = F.array(*[F.regexp_count(tok, F.lit(f"[{c}{c.upper()}]")).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    """Likelihood in prose over that in an encoding, of the changes and the letters; at most 1."""
+    n, c = F.length(tok) - 1.0, changes(tok)
+    q = F.least(c / n, F.lit(CHANGES))
+    prose = F.when(c > 0, c * F.log(q)).otherwise(0.0) + (n - c) * F.log(1 - q)
+    ratio = lambda r: F.exp(F.least(c * math.log(r) + (n - c) * math.log(1 - r) - prose, F.lit(600.0)))
+    counts = F.array(*[F.regexp_count(tok, F.lit(f"[{x}{x.upper()}]")).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"])
     odds = F.array(*[F.array(*[F.lit(math.log(26 * v / sum(own))) for v in own]) for own in LETTERS])
-    total = F.array_max(F.transform(odds, lambda w: F.aggregate(F.zip_with(counts, w, lambda n, y: n * y), F.lit(0.0), lambda x, y: x + y)))
-    return F.when(tok.rlike("^([a-z]+|[A-Z]+)$"), F.exp(F.greatest(F.least(total, F.lit(0.0)), F.lit(-600.0)))).otherwise(1.0)
+    letters = F.array_max(F.transform(odds, lambda w: F.aggregate(F.zip_with(counts, w, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)))
+    hex_ = F.when(tok.rlike("^[0-9A-F]+$"), F.regexp_count(tok, F.lit("[A-F]")) * math.log(6 / 26)).otherwise(0.0)
+    log_p = letters + hex_ - F.log((1 + sum(ratio(r) for r in RATES)) / (1 + len(RATES)))
+    return F.exp(F.greatest(F.least(log_p, F.lit(0.0)), F.lit(-600.0)))
 
 
 def _parts(run: Column, base: Column) -> Column:
@@ -124,12 +130,12 @@ def random_p(df: DataFrame, tok: str) -> DataFrame:
     """df with random_p: Fisher's combination of uniformity, runs and serial correlation."""
     t = F.col(tok)
     alphabet = (
-        F.when(t.rlike("^[0-9]+$"), "0123456789")
-        .when(t.rlike("^[0-9a-f]+$"), "0123456789abcdef")
-        .when(t.rlike("^[0-9A-F]+$"), "0123456789ABCDEF")
+        F.when(t.rlike("^[0-9A-F]+$"), "0123456789ABCDEF")
         .when(t.rlike("^[A-Z]{33,}$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")  # shorter ones may be base32 that has no digit
         .when(t.rlike("^[A-Z2-7]+=*$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
         .when(t.rlike("^[a-z]+$"), "abcdefghijklmnopqrstuvwxyz")
+        .when(t.rlike("^[a-z0-9]+$"), "abcdefghijklmnopqrstuvwxyz0123456789")
+        .when(t.rlike("^[A-Z0-9]+$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
         .otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
     )
     x = _bind(_bind(df, _abc=alphabet), _m=F.length("_abc").cast("double"))
@@ -174,7 +180,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     free = F.flatten(F.transform("run", lambda r: _parts(r, F.col("base")))).cast(SPAN)
     scan = stored(scan.select("id", "row", "base", free.alias("run")), "secret-scan")
 
-    runs = scan.where(F.size("run") > 0).select("row", F.explode("run").alias("r")).select("row", "r.*").withColumn("p", F.least(F.lit(1.0), 2 * F.least(prose_p(F.col("tok")), letters_p(F.col("tok"))))).withColumn("lengths", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
+    runs = scan.where(F.size("run") > 0).select("row", F.explode("run").alias("r")).select("row", "r.*").withColumn("p", prose_p(F.col("tok"))).withColumn("lengths", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
     runs = stored(runs.withColumn("bin", F.floor(-4 * F.log("p")).cast("int")), "secret-runs")
     live = stored(random_p(runs.where("p < 1"), "tok").where(F.col("random_p") >= ALPHA), "secret-live")
     total = runs.groupBy("lengths").agg(F.count("*").alias("all"))
