@@ -1,15 +1,17 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, scored by context windows.
 
-The lexicon is learned: words, and stems of four or more letters with several endings, that toxic texts of a
-bounded labelled sample hold far more often than others. A trie holds it. One deterministic automaton is the
-intersection of that trie with the Levenshtein automata of the words in a text: its states are sets of (trie node,
-edits so far); words of five or more letters allow one edit after the first letter (digits read as the letters
-they stand for), shorter ones and stems none. All words of a block of texts run through it at once.
+The lexicon is learned: words, and stems of four to eight letters with several endings, that toxic texts of a
+bounded labelled sample (``SAMPLE`` rows at most) hold far more often than others; it has ``TERMS`` entries at most, those
+of the highest odds, and an entry occurs in 1.5 % of the toxic sample, in 5 texts at least. A trie holds it. One
+deterministic automaton is the intersection of that trie with the Levenshtein automata of the words in a text: its states
+are sets of (trie node, edits so far); words of five or more letters allow one edit after the first letter (digits read
+as the letters they stand for), shorter ones and stems none. All words of a block of texts run through it at once.
 
 Every hit looks at its window of ``WINDOW`` words to either side: hits inside quotation marks of their line count as
 quoted, others as abuse, and neighbouring hits add up. A logistic model of a handful of these sums, fitted on the same sample, gives
 the score. A null or empty text has no hit and the score of such texts. Without labelled rows every score is 0.
-Repeated rows get a row each. Labels of repeated ids count as toxic if any is.
+Repeated rows get a row each, and very long texts, lines and words are whole. Labels of repeated ids count as toxic if any
+is; of the rows of a repeated id the one whose text has the least hash is learned from. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ RATIO = 20.0  # how many times as often toxic texts hold an entry
 #: Digits and the letters they stand for.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
+SPACES = np.array([c for c in range(1 << 14) if chr(c).isspace()], np.uint32)
 N_FEATURES = 6
+POINTS = 0x110000
 
 
 def _folded() -> np.ndarray:
-    """The folded letter of each code point below 65536, 0 for what is no letter."""
-    out = np.zeros(1 << 16, np.uint32)
-    for c in range(1 << 16):
+    """The folded letter of each code point, 0 for what is no letter."""
+    out = np.zeros(POINTS, np.uint32)
+    for c in range(POINTS):
         if 0xD800 <= c < 0xE000:
             continue
         s = chr(c)
@@ -53,7 +57,7 @@ _FOLD: list[np.ndarray] = []
 def fold(points: np.ndarray) -> np.ndarray:
     if not _FOLD:
         _FOLD.append(_folded())
-    return np.where(points < (1 << 16), _FOLD[0][np.minimum(points, (1 << 16) - 1)], 0)
+    return _FOLD[0][points]
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray):
@@ -165,20 +169,20 @@ class Automaton:
         self.is_final = np.zeros(len(self.table), bool)
         for t, v in found_stem.items():
             self.term[final[v]], self.is_final[final[v]] = t, True
-        self.codes = np.ones(1 << 16, np.int16)
-        self.codes[0] = 0
-        for c, i in code.items():
-            self.codes[ord(c)] = i
+        self.points = np.array([ord(c) for c in self.letters], np.uint32)  # ascending
         del self.hit
 
     def run(self, f: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The state in which each word ends; 0 is no match."""
+        at = np.minimum(np.searchsorted(self.points, f), max(len(self.points) - 1, 0))
+        known = self.points[at] == f if len(self.points) else np.zeros(len(f), bool)
+        codes = np.where(f == 0, 0, np.where(known, at + 2, 1))
         out = np.zeros(len(first), np.int32)
         live = np.arange(len(first))
         state = np.ones(len(first), np.int32)
         k = 0
         while len(live):
-            state = self.table[state, self.codes[f[first[live] + k]]]
+            state = self.table[state, codes[first[live] + k]]
             k += 1
             over = (first[live] + k >= end[live]) | self.is_final[state] | (state == 0)
             out[live[over]] = state[over]
@@ -186,15 +190,26 @@ class Automaton:
         return out
 
 
-def _quoted(line: str, at: int) -> bool:
-    """Whether the character at `at` stands between quotation marks of its line."""
+def _quoted(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each of the places `at` stands between quotation marks of its line, or in a line that begins with >."""
+    feeds = np.append(np.flatnonzero(text == 10), len(text))
+    line = np.searchsorted(feeds, at)
+    end, start = feeds[line], np.where(line > 0, feeds[line - 1] + 1, 0)
+    solid = np.append(np.flatnonzero(~np.isin(text, SPACES)), len(text))
+    lead = solid[np.searchsorted(solid, start)]
+    out = (lead < end) & (text[np.minimum(lead, len(text) - 1)] == ord(">"))
     for o, c in QUOTES.items():
+        opens, closes = (np.flatnonzero(text == ord(x)) for x in (o, c))
+        before = np.searchsorted(opens, at)
+        later = np.searchsorted(closes, end) > np.searchsorted(closes, at)
         if o == c:
-            if line.count(o, 0, at) % 2 and o in line[at:]:
-                return True
-        elif line.rfind(o, 0, at) > line.rfind(c, 0, at) and c in line[at:]:
-            return True
-    return line.lstrip().startswith(">")
+            inside = (before - np.searchsorted(opens, start)) % 2 == 1
+        else:
+            last = lambda marks, n: np.where(n > 0, np.append(marks, -1)[n - 1], -1)
+            opened, closed = last(opens, before), last(closes, np.searchsorted(closes, at))
+            inside = (opened >= start) & (opened > closed)
+        out |= inside & later
+    return out
 
 
 def features(auto: Automaton, weight: np.ndarray, data: np.ndarray, offs: np.ndarray):
@@ -210,23 +225,13 @@ def features(auto: Automaton, weight: np.ndarray, data: np.ndarray, offs: np.nda
         own = at[doc == d]
         text = points[cut[d] : cut[d + 1]]
         near = np.searchsorted(own, own + WINDOW, "right") - np.searchsorted(own, own - WINDOW)
-        feeds = np.concatenate([[-1], np.flatnonzero(text == 10), [len(text)]])
-        exact = fuzzy = quoted = 0.0
-        for w, close in zip(own, near, strict=True):
-            p = first[w] - cut[d]
-            b = np.searchsorted(feeds, p) - 1
-            lo, hi = max(feeds[b] + 1, p - 2000), min(feeds[b + 1], p + 2000)
-            line = text[lo:hi].tobytes().decode("utf-32-le", "replace")
-            v = weight[auto.term[state[w]]] * (1 + 0.25 * (close - 1))
-            if _quoted(line, p - lo):
-                quoted += v
-                hits[d, 1] += 1
-            elif auto.edits[state[w]]:
-                fuzzy += v
-            else:
-                exact += v
+        term, place = auto.term[state[own]], first[own] - cut[d]
+        value = weight[term] * (1 + 0.25 * (near - 1))
+        quote, edited = _quoted(text, place), auto.edits[state[own]] > 0
+        exact, fuzzy, quoted = (value[m].sum() for m in (~quote & ~edited, ~quote & edited, quote))
+        hits[d, 1] = quote.sum()
         hits[d, 0] = len(own)
-        x[d] = [np.log1p(exact), exact > 0, np.log1p(fuzzy), np.log1p(quoted), np.log1p(1000 * (exact + fuzzy) / max(n_words[d], 1)), len(np.unique(auto.term[state[own]])) > 1]
+        x[d] = [np.log1p(exact), exact > 0, np.log1p(fuzzy), np.log1p(quoted), np.log1p(1000 * (exact + fuzzy) / max(n_words[d], 1)), len(np.unique(term)) > 1]
     return x, hits
 
 
@@ -247,7 +252,7 @@ def _words(batches):
             wh, woff, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             h, off = shingles(wh, woff, 5)
             sketch = [int(h[a:b].min().view(np.int64)) if b > a else 0 for a, b in zip(off[:-1], off[1:], strict=True)]
-            seen = {(int(d), f[a : min(b, a + 40)].tobytes()) for d, a, b in zip(doc, first, end, strict=True)}
+            seen = {(int(d), f[a:b].tobytes()) for d, a, b in zip(doc, first, end, strict=True)}
             terms = [w.decode("utf-32-le", "replace") for _, w in seen]
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([int(toxic[i + d]) for d, _ in seen], pa.int32()), pa.array([sketch[d] for d, _ in seen], pa.int64())], names=["term", "toxic", "sketch"])
 
@@ -263,7 +268,8 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, b
     by_stem = {r["stem"]: r for r in stems}
     kept = {s: r for s, r in by_stem.items() if not any(o.startswith(s) and o != s and by_stem[o]["t"] >= 0.9 * r["t"] for o in by_stem)}
     kept = {s: r for s, r in kept.items() if not any(s.startswith(o) and s != o for o in kept)}
-    out = [(r["term"], False, float(r["w"])) for r in found if not any(r["term"].startswith(s) for s in kept)]
+    # A word that begins with a stem stays beside it, for its edits.
+    out = [(r["term"], False, float(r["w"])) for r in found if r["term"] not in kept]
     return out + [(s, True, float(r["w"])) for s, r in sorted(kept.items())]
 
 
@@ -290,10 +296,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not n:
         return None
     draw = F.xxhash64("_id", F.lit(23)).bitwiseAND((1 << 40) - 1)
-    limit = [int(min(1.0, sample / 2 / max(n.get(v, 0), 1)) * (1 << 40)) for v in (0, 1)]
-    drawn = known.where(draw <= F.when(F.col("toxic") == 1, F.lit(limit[1])).otherwise(F.lit(limit[0]))).limit(2 * sample)
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "_id").select("text", "toxic")  # at most 2 * sample ids
-    rows = stored(rows.where("text is not null"), "toxic-sample")
+    some = [known.where(F.col("toxic") == v).where(draw <= int(min(1.0, sample / max(n.get(v, 0), 1)) * (1 << 40))).orderBy(draw, "_id").limit(sample // 2) for v in (0, 1)]
+    drawn = stored(some[0].union(some[1]), "toxic-drawn")  # at most `sample` ids
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(drawn), "_id")
+    rows = rows.groupBy("_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
+    rows = stored(rows, "toxic-sample")
     got = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = got.get(1, 0), got.get(0, 0)
     if not n_toxic + n_clean:
