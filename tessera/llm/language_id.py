@@ -5,10 +5,10 @@ length 1. Languages whose mean vectors are close form families (average-linkage
 ``ceil(sqrt(languages))`` families). One linear SVM for each family (one against the rest) picks the family, then
 one linear SVM for each pair of its languages votes for the language.
 
-The models are fitted on at most ``sample`` labelled rows, drawn by a hash of the id, evenly over languages;
-prediction covers every whole text. A null text, or one without a letter, is ``und`` with score 0; so is every
+The models are fitted on at most ``sample`` labelled rows, drawn by a hash of id and text, evenly over languages;
+prediction covers every whole text, however long. A null text, or one without a letter, is ``und`` with score 0; so is every
 text when there is nothing to learn from. Equal votes go to the lesser language name. Repeated rows are predicted
-each; rows with null language are predicted but not learned from.
+each and learned from once; rows with null language are predicted but not learned from. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,8 +96,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
         return None
     most = max(1, sample // len(counts))
     share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, 1.5 * most / n))])
-    draw = (F.xxhash64("key", F.lit(11)).bitwiseAND((1 << 52) - 1) / float(1 << 52)).alias("draw")
-    rows = labelled.select("key", "lang", "text").where(draw < share[F.col("lang")]).select(F.xxhash64("key", F.lit(11)).alias("key"), "lang", "text").mapInArrow(_sparse, "key bigint, lang string, at binary, value binary").collect()
+    drawn = labelled.select(F.xxhash64("key", "text", F.lit(11)).alias("key"), "lang", "text")
+    drawn = drawn.where(F.col("key").bitwiseAND((1 << 52) - 1) / float(1 << 52) < share[F.col("lang")]).dropDuplicates(["key", "lang"])
+    rows = drawn.mapInArrow(_sparse, "key bigint, lang string, at binary, value binary").collect()  # about 1.5 * sample
     rows.sort(key=lambda r: (r[1], (r[0] or 0) & ((1 << 52) - 1), r[2], r[3]))
     langs, kept, taken = sorted(counts), [], dict.fromkeys(counts, 0)
     for r in rows:
