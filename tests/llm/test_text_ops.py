@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ def test_words_and_shingles():
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(500, k) for k in range(501, 620)] + [(k, k + 1) for k in range(700, 730)]
-    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    links = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {r["node"]: r["comp"] for r in components(links, "a", "b").collect()}
+    assert got == {r["node"]: r["comp"] for r in components(links, "a", "b", few=0).collect()}  # by rounds of stars
     parent = {}
 
     def find(x):
@@ -88,6 +91,14 @@ def test_ngram_join(spark):
             for _ in range(rng.choice([0, 0, 1, 2, 3, 5])):
                 w[rng.randrange(len(w))] = "".join(rng.choice("xyz") for _ in range(6))
             rows.append((len(rows), " ".join(w)))
+    shared = " ".join(prose(rng, 9)).split()  # a passage that texts of many sizes hold
+    rows += [(500 + i, " ".join(shared + " ".join(prose(rng, 1 + i // 5)).split())) for i in range(60)]
+    base = [f"v{rng.randrange(10**6)}" for _ in range(3000)]  # sets that need wide bitmaps
+    for g in range(12):
+        w = base[:]
+        for _ in range(10 + 9 * g):
+            w[rng.randrange(len(w))] = "edit"
+        rows.append((700 + g, " ".join(w)))
     rows += [(900, "a b"), (901, "A  b"), (902, ""), (903, None)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, rows)).collect()}
     assert got == brute_groups(rows, 4, 85)
@@ -99,6 +110,11 @@ def test_ngram_join_edges(spark):
     assert [r["component_id"] for r in got if r["doc_id"] == 4] == [4, 4]
     assert {r["n_shingles"] for r in got if r["doc_id"] in (1, 2, 3, 6)} == {0}
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
+    grouped = ngram_join.jaccard_components(docs(spark, EDGES), row_key=F.xxhash64("doc_id", "text")).collect()
+    assert len({r["group_key"] for r in grouped if r["n_shingles"] == 1 and r["doc_id"] in (4, None)}) == 1
+    assert all((r["group_key"] is None) == (r["n_shingles"] == 0) for r in grouped) and len({r["row_key"] for r in grouped}) == len(set(EDGES))
+    named = spark.createDataFrame([("x", "a b c d e"), ("y", "A b c d e"), (None, "a b c d e")], "doc_id string, text string")
+    assert {r["component_id"] for r in ngram_join.jaccard_components(named).collect()} == {"x"}
 
 
 def test_line_dedup(spark):
@@ -113,8 +129,55 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, EDGES)).columns == [*docs(spark, []).columns, "n_lines", "n_removed"]
 
 
+def brute_lines(lines):
+    """How many components distinct lines make that agree in a band and are similar."""
+    points, first = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32), np.cumsum([0] + [len(x) for x in lines])
+    bands = line_dedup._bands(points, first[:-1], first[1:], 8)
+    cut = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    comp = list(range(len(lines)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            if (bands[a] == bands[b]).any() and 100 * len(cut[a] & cut[b]) >= 80 * len(cut[a] | cut[b]):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return len({find(x) for x in range(len(lines))})
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_line_dedup_of_many_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "CELLS", 1 << 12)
+    rng = random.Random(23)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120)]
+    lines = set()
+    while len(lines) < 400:
+        x = base[:]
+        for _ in range(rng.choice([1, 2, 2, 3, 3])):
+            x[rng.randrange(120)] = rng.choice("ABCDEFGHIJ")
+        lines.add("".join(x))
+    lines = sorted(lines)
+    df = spark.createDataFrame([(i, x, "c", 1, 2) for i, x in enumerate(lines)], "doc_id long, text string, drops string, n_lines int, n_removed int")
+    got = line_dedup.dedup_lines(df).collect()
+    assert sum(r["text"] != "" for r in got) == brute_lines(lines)
+    assert {(r["drops"], r["n_lines"], r["n_removed"]) for r in got} == {("c", 1, 2)} and all(r["n_removed_"] == (r["text"] == "") for r in got)
+
+
+def test_overlaps_of_long_lines():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 5000, n).astype(np.uint64)) for n in (3, 4000, 4000, 900, 1)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    got = line_dedup._overlaps(sets)
+    assert all(got[i, j] == want[i][j] for i in range(5) for j in range(5) if i != j)
+
+
 def test_line_dedup_within_buckets(spark):
-    rng, lines, close = random.Random(17), [], 0
+    rng, lines = random.Random(17), []
     new = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     for _ in range(150):  # lines with one beginning, of similarity 0.77 to each other, and a copy of one with 0.86
         begin = new(107)
@@ -223,6 +286,48 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def base_spans(text):
+    """The three patterns by Python's own matcher."""
+    out = []
+    for kind, pattern, group, least in (("assign", secrets.ASSIGN, 2, 12), ("access", secrets.ACCESS, 0, 18), ("hex", secrets.HEX, 0, 16)):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if len(m[group]) >= least:
+                out.append((m.start(), ("assign", "access", "hex").index(kind), m.end(), kind))
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+def test_secret_patterns_against_brute_force(spark):
+    rng = random.Random(3)
+    bits = ["password", "PassWord", "secret", "api_key", "apikey", "token", "=", ":", " = ", '"', "'", " ", "\n", "é", "𝒳", "AKIA", "AKIAX1", "deadbeef", "0123456789", "abcdef01", "ABCDEFGH", "x-._/+", "word", "ſecret", "to\u212aen", "\x0b"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(3000)]
+    rows += [(5000, "k=0123456789abcdef " * 3000), (5001, None), (5002, ""), (5003, "password: " * 5 + "x" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for t in (df, given):
+        text = {r["doc_id"]: r["text"] for r in t.collect()}
+        got = {r["doc_id"]: r["base"] for r in secrets.find_secrets(t).select("doc_id", secrets.listed(F.col("base")).alias("base")).collect()}
+        assert got == {i: ",".join(base_spans(x)) for i, x in text.items()}
+
+
+def test_secrets_of_each_encoding(spark):
+    rng = random.Random(8)
+    up, low, dig = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {0: up + low + dig + "+/", 1: dig + "ABCDEF", 2: low + dig, 3: up + "234567", 4: low, 5: up, 6: up + low + dig}
+    rows = [(1000 * k + i, "key " + "".join(rng.choice(abc) for _ in range(44)) + " end") for k, abc in kinds.items() for i in range(60)]
+    syllables = ["er", "lich", "keit", "tion", "con", "ver", "ment", "able", "ing", "pre", "dis", "ant", "schaft", "heit", "al", "ous"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    prose = [word(9), word(9).upper(), "-".join(word(3) for _ in range(5)), "/".join(word(2) for _ in range(7)), "".join(word(2).title() for _ in range(6)), "_".join(word(2) for _ in range(5)) + "_2024", "/products/" + word(4) + "-" + str(rng.randrange(10**6)) + "/" + word(3)]
+    prose = [prose] + [[word(8), word(9).upper(), "-".join(word(3) for _ in range(5)), "".join(word(2).title() for _ in range(6)), f"/{word(3)}/{rng.randrange(10**5)}/{word(4)}_{word(3)}"] for _ in range(400)]
+    rows += [(100_000 + i, " ".join(p)) for i, p in enumerate(prose)]
+    found = collections.Counter()
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "base", "extra").collect():
+        for x in r["extra"]:
+            assert r["doc_id"] >= 100_000 or (x["start"], x["end"]) == (4, 48)
+        found[r["doc_id"] // 1000 if r["doc_id"] < 100_000 else "prose"] += bool(r["extra"])
+    assert all(found[k] >= 54 for k in kinds), found
+    assert found["prose"] <= 4, found
+
+
 def test_secrets_of_one_case_and_beside_patterns(spark):
     rng = random.Random(5)
     draw = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
@@ -247,7 +352,12 @@ def test_substring_dedup(spark):
     copies = [(i, " ".join(passage)) for i in range(40)]
     many = substring_dedup.repeated_passages(docs(spark, copies)).collect()
     assert {r["doc_id"] for r in many} | {r["other_doc_id"] for r in many} == set(range(40)) and len(many) < 100
-    assert substring_dedup.repeated_passages(docs(spark, [r for r in EDGES if r[0] != 7])).count() == 0
+    assert substring_dedup.repeated_passages(docs(spark, EDGES)).count() == 0
+    long = [(1, "x " * 30_000), (2, "x " * 29_000), (3, " ".join(passage)), (3, " ".join(own[5] + passage)), (3, " ".join(passage)), (4, " ".join(passage + own[4]))]
+    pairs = {(r["doc_id"], r["other_doc_id"]) for r in substring_dedup.repeated_passages(docs(spark, long)).collect()}
+    assert pairs == {(2, 1), (4, 3)}
+    named = spark.createDataFrame([("b", " ".join(passage)), ("a", " ".join(passage + own[1])), (None, " ".join(passage))], "doc_id string, text string")
+    assert [(r["doc_id"], r["other_doc_id"]) for r in substring_dedup.repeated_passages(named).collect()] == [("b", "a")]
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
@@ -257,7 +367,7 @@ def found_in(x, y, least=50, percent=80):
     for w in (x, y):
         h, off = shingles(mix(np.array(w, np.uint64)), np.array([0, len(w)]), S.K, whole_if_short=False)
         at = S.winnow(h, off, S.WINDOW)
-        sides.append((S.numbered(h[at], np.zeros(len(at), np.int64))[0], at))
+        sides.append((S.numbered(h[at], np.zeros(len(at), np.int64)), at))
     (hx, px), (hy, py) = sides
     links = np.array([(a, b) for v, a in zip(hx, px) for b in py[hy == v]], np.int64).reshape(-1, 2)
     out = []
@@ -307,6 +417,48 @@ def test_passages_whose_seeds_have_other_ends(spark):
     assert (got[6, 5]["start"], got[6, 5]["end"], got[108, 105]["start"], got[108, 105]["end"]) == (15, 75, 15, 75)
 
 
+def test_passages_beside_many_fragments(spark):
+    rng = random.Random(37)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p = new(80)
+    rows = [(500, p), (501, p)] + [(i, p[a : a + 40]) for i, a in zip((1, 2, 3, 4, 900, 901, 902, 903), (0, 6, 12, 18, 22, 28, 34, 40))]
+    rows = [(i, " ".join(new(12) + w + new(12))) for i, w in rows]
+    got = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert [(r["doc_id"], r["start"], r["end"], r["other_doc_id"], r["other_start"], r["other_end"]) for r in got] == [(501, 12, 92, 500, 12, 92)]
+    # Many texts hold parts of under 50 words, so every seed has many holders; some hold all of it.
+    rows = [(i, new(9) + p[a : a + 45] + new(9)) for i, a in enumerate(rng.randrange(0, 36) for _ in range(300))]
+    rows += [(1000 + i, new(9) + p + new(9)) for i in range(12)]
+    got = substring_dedup.repeated_passages(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert {v for r in got for v in (r["doc_id"], r["other_doc_id"])} >= set(range(1000, 1012))
+
+
+def test_links_of_seeds_in_pieces():
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(h), int(c), int(s)) for h, c, s in zip(rng.integers(0, 9, 900), rng.integers(0, 4, 900), rng.integers(0, 400, 900))})
+    one = {}
+    for h, c, s in rows:  # a text has a seed once
+        one.setdefault((h, s), c)
+    rows = sorted((h, c, s) for (h, s), c in one.items())
+    h, c, s = (np.array(x) for x in zip(*rows))
+    pos = (h * 1000 + s).astype(np.int32)
+
+    def linked(step, most):
+        batches = [pa.RecordBatch.from_arrays([pa.array(h[i : i + step]), pa.array(c[i : i + step].astype(np.int32)), pa.array(s[i : i + step]), pa.array(pos[i : i + step])], names=["h", "ctx", "sig", "pos"]) for i in range(0, len(h), step)]
+        return {tuple(r.values()) for b in substring_dedup._links(4, most)(iter(batches)) for r in b.to_pylist()}
+
+    whole = linked(len(h), 1 << 20)
+    assert whole == linked(7, 1 << 20)
+    assert all(a > b and (x - a) == (y - b) for a, b, x, y, _ in whole)
+    for seed in range(9):  # the holders are connected, and so are those of each context
+        own = [(a, b, w) for a, b, x, _, w in whole if x - a == 1000 * seed]
+        assert {b for a, b, _ in own} | {a for a, *_ in own} == set(s[h == seed])
+        for context in range(1, 4):
+            same = s[(h == seed) & (c == context)]
+            assert {(int(x), int(same.min()), True) for x in same if x != same.min()} <= set(own)
+    few = linked(7, 50)  # in pieces, each context still has the least holder of its first piece
+    assert {x[:4] for x in few if x[4]} and {v for x in few for v in x[:2]} == {v for x in whole for v in x[:2]}
+
+
 def test_chains():
     x = np.array([0, 5, 9, 9, 14, 200, 205])
     y = np.array([10, 15, 3, 19, 24, 0, 5])

@@ -18,7 +18,7 @@ def vectors(spark, x, first=0, extra=()):
 BAD = [(9001, None), (9002, [1.0, None, 2.0, 3.0]), (9003, [float("nan")] * 4), (9004, [float("inf")] * 4), (9005, []), (None, [1.0, 2.0, 3.0, 4.0])]
 
 
-def test_exact_top_k(spark):
+def test_exact_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = np.round(rng.standard_normal((300, 4)), 1).astype(np.float32)
     x[100:200] = x[7]  # a vector that a third of the rows hold
@@ -31,6 +31,12 @@ def test_exact_top_k(spark):
         own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
         assert [o[1:] for o in own] == want and [o[0] for o in own] == [1, 2, 3, 4, 5]
     assert topk.exact_top_k(vectors(spark, []), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5).count() == 0
+    monkeypatch.setattr(topk, "BLOCK", 2)  # several blocks, and several passes
+    monkeypatch.setattr(topk, "BLOCKS", 2)
+    again = topk.exact_top_k(vectors(spark, x, extra=[(9007, [3e38] * 4), (9008, [-3e30, 1.0, 0.0, 0.0]), (0, [9.0] * 4), (0, [9.0] * 4)]), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5).collect()
+    assert len({r["query_id"] for r in again}) == 6 and not {r["vec_id"] for r in again} & {9007, 9008}
+    assert sorted(tuple(r) for r in again if r["query_id"] == 150 and r["vec_id"] != 0) == sorted(tuple(r) for r in got if r["query_id"] == 150 and r["vec_id"] != 0)[:5] or any(r["vec_id"] == 0 for r in again if r["query_id"] == 150)
+    monkeypatch.undo()
     few = topk.exact_top_k(vectors(spark, x[:3]), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5).collect()
     assert len(few) == 2
 
@@ -54,6 +60,31 @@ def test_nearest(spark):
     assert ann.nearest(vectors(spark, x[:3]), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).count() == 2
 
 
+def test_nearest_of_many_lists(spark):
+    rng = np.random.default_rng(6)
+    n = 14_000
+    x = (rng.standard_normal((40, 12))[rng.integers(0, 40, n)] * 2 + rng.standard_normal((n, 12))).astype(np.float32)
+    asked = F.col("vec_id") % 200 == 0
+    got = ann.nearest(vectors(spark, x), "vec_id", "embedding", asked, 20).collect()
+    full, recall = x.astype(np.float64), []
+    for q in range(0, n, 200):
+        s = full @ full[q]
+        want = [int(j) for j in np.lexsort((np.arange(n), -s)) if j != q][:20]
+        recall.append(len({r["vec_id"] for r in got if r["query_id"] == q} & set(want)) / 20)
+    assert n // ann.LIST >= 70 > 2 * ann.VISITS and np.mean(recall) >= 0.9
+
+
+def test_nearest_repeats_and_overflow(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((200, 4))
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)] * 2 + [(900, [1e200] * 4), (901, [1.0, None, 0.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5).collect()
+    for q in range(0, 200, 50):
+        s = (x * x[q]).sum(1)
+        want = [int(j) for j in np.lexsort((np.arange(200), -s)) if j != q][:5]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 def test_search_counts_a_repeated_id_once():
     rng = np.random.default_rng(4)
     x, ids = rng.standard_normal((60, 8)), np.arange(60)
@@ -98,6 +129,59 @@ def test_pipeline(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == docs.count()
 
 
+PIPE = "doc_id long, text string, lang string, source string, n_chars long, _h string, _copy long, _lang_pred string, _row int, _mix_size string, drops int, n_lines int"
+
+
+def piped(spark, rows):
+    """rows of (doc_id, text, lang, source), with columns whose names stages might use."""
+    return spark.createDataFrame([(*r, len(r[1] or ""), f"h{n}", n, "own", n, "m", n, n) for n, r in enumerate(rows)], PIPE)
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as P
+
+    rows = [(i, f"text number {i} has words of its own like w{i} and v{i}\nand a second line u{i} t{i} s{i}", "en", "s") for i in range(12)]
+    docs = piped(spark, rows)
+    held = {r["_copy"]: tuple(r)[5:] for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [c.split()[0] for c in PIPE.split(", ")], name
+        got = docs.collect()
+        assert got and all(held[r["_copy"]] == tuple(r)[5:] for r in got), name
+    assert P.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copy_stage_against_brute_force(spark):
+    import random
+
+    import corpus_pipeline as P
+    from tests.llm.test_text_ops import brute_groups
+
+    rng, rows = random.Random(41), []
+    for _ in range(14):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(8, 60))]
+        for _ in range(rng.randint(1, 7)):
+            w = base[:]
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = "edit"
+            rows.append((len(rows), " ".join(w), "en", "s"))
+    rng.shuffle(rows)
+    want = {i for i, (_, c) in brute_groups([r[:2] for r in rows], 5, 80).items() if i == c}
+    more = [(None, None, "en", "s"), (900, "", "en", "s"), (900, "", "en", "s"), (901, "alone in words of any kind here", "en", "s"), (901, "alone in words of any kind here", "en", "s")]
+    more += [(902, "one text of an id that comes twice", None, "s"), (902, "another text of the id with other words", None, "s"), (None, "a b c d e f g h", "en", "s"), (None, "A b c d e f g h", "en", "s")]
+    got = P.near_copy_stage(spark, piped(spark, [*rows, *more]).drop("_copy", "_row", "_h", "drops", "n_lines"), "").collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None and r["doc_id"] < 900) == sorted(want)
+    rest = sorted((str(r["doc_id"]), str(r["text"])) for r in got if r["doc_id"] is None or r["doc_id"] >= 900)
+    assert len(rest) == 7 and [r[0] for r in rest] == ["900", "900", "901", "902", "902", "None", "None"]
+
+
 @pytest.mark.parametrize("name", ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_"])
 def test_registered(name):
     from tessera.llm.queries import QUERIES
