@@ -565,7 +565,7 @@ def every_operation(s, d):
     out = machine.run(mem, program(s, [first, second])).where("m >= 10 and m < 16")
     columns = {10: 12, 11: 5, 12: 25, 13: 3, 14: 25, 15: 3}
     n = F.element_at(F.create_map(*[F.lit(x) for p in columns.items() for x in p]), F.col("m"))
-    return out.select("m", F.floor(F.col("pos") / n).cast("long").alias("i"), (F.col("pos") % n).cast("long").alias("j"), (F.round("v", 3) + 0.0).alias("v"))
+    return out.select("m", F.floor(F.col("pos") / n).cast("long").alias("i"), (F.col("pos") % n).cast("long").alias("j"), (F.round("v", 3) + 0.0).alias("v")).where("v <> 0")  # an absent cell is 0
 
 
 def minus(m: str) -> str:
@@ -576,7 +576,7 @@ WRITTEN = {
     10: mul(P, R), 11: minus(mul(mul(P, R), T)), 12: minus(mul(mul(P, R), mul(T, U))), 13: flip(trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12)),
     14: minus(mul(mul(P, R), flip(mul(P, R)))), 15: minus(mul(flip(R), mul(flip(P), mul(P, D)))),
 }
-register("inst_program", every_operation, " UNION ALL ".join(f"SELECT CAST({m} AS INTEGER) AS m, i, j, round(v, 3) + 0.0 AS v FROM ({q})" for m, q in WRITTEN.items()))
+register("inst_program", every_operation, " UNION ALL ".join(f"SELECT CAST({m} AS INTEGER) AS m, i, j, round(v, 3) + 0.0 AS v FROM ({q}) WHERE round(v, 3) <> 0" for m, q in WRITTEN.items()))
 
 
 def accumulated(s, d):
