@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of d
 takes effect: documents that language ID rejects go, repeated lines go from the texts, one document of each group
 of near copies stays, the mix repeats documents (the one at a source's budget is cut there), packing cuts and
 places what the mix holds.
+
+Near copies are found by five-word shingles at 80 %. Nulls, empty and very long texts, ties and repeated rows are as
+each operator defines them; rows without an id go through all stages as others do. An empty table gives no rows. Columns
+of any other name stay as they are: names for what a stage adds are chosen so that no column of the table has them.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, mixing, ngram_join, packing
-from tessera.llm.common import stored
+from tessera.llm.common import stored, unused_name
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
@@ -27,7 +31,7 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; a missing language is filled in. Null texts and texts without a letter go."""
     model = language_id.fit(language_id.learnable(docs))
-    pred, score = "_lang_pred", "_lang_score"
+    pred, score = unused_name(docs, "_lang_pred"), unused_name(docs, "_lang_score")
     out = language_id.predict(docs, "text", model, pred, score, keep_text=True)
     reject = F.col(pred) == "und" if model is not None else F.lit(False)
     return out.where(~reject).withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
@@ -38,19 +42,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; rows without an id stay."""
-    groups = ngram_join.jaccard_components(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One row of each group: of the least id (null last), then of the least hash of the row. Texts without words stay."""
+    row = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    groups = ngram_join.jaccard_components(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT, row_key=row)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    key = unused_name(docs, "_row")
+    kept = groups.where("group_key is not null").groupBy("group_key").agg(F.min(place).alias("p")).select(F.col("p.row_key").alias(key))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = docs.where(words).withColumn(key, row).join(kept, key, "left_semi").dropDuplicates([key])  # of wholly equal rows one
+    return one.select(*docs.columns).union(docs.where(~words))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; the one at a source's budget once more with its first words."""
     text = F.col("text")
-    mixed = mixing.mix(docs, "doc_id", "source", mixing.n_words(text), mixing.quality(text), F.xxhash64("text"), prefix="_mix_").where("_mix_taken > 0")
-    whole = mixed.withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_mix_taken div _mix_size as int))")))
-    some = mixed.where("_mix_taken % _mix_size > 0").withColumn("text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.expr("cast(_mix_taken % _mix_size as int)")), ""))
+    prefix, names = "_mix_", {c.lower() for c in docs.columns}
+    while any(prefix + c in names for c in ("size", "source_size", "target", "taken")):
+        prefix += "_"
+    taken, size = F.col(prefix + "taken"), F.col(prefix + "size")
+    mixed = mixing.mix(docs, "doc_id", "source", mixing.n_words(text), mixing.quality(text), F.xxhash64("text"), prefix=prefix).where(taken > 0)
+    whole = mixed.withColumn(unused_name(mixed, "_copy"), F.explode(F.array_repeat(F.lit(0), F.floor(taken / size).cast("int"))))
+    some = mixed.where(taken % size > 0).withColumn("text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), (taken % size).cast("int")), ""))
     return whole.select(*docs.columns).union(_with_text(docs, some))
 
 

@@ -10,8 +10,9 @@ and their queries into chunks, so a vector that a third of all rows hold is no s
 products of the original vectors in double precision, summed in one order, so equal vectors tie exactly.
 
 Recall against brute force is at least 0.95 on the given tables (see the README). Vectors that are null, zero,
-empty or hold null or non-finite components take no part, nor do null ids. Vectors of different lengths are not
-compared. Repeated ids are one candidate (with their best score) and one query.
+empty or hold null or non-finite components take no part, nor do null ids or vectors whose squared norm overflows.
+Vectors of different lengths are not compared. Repeated ids are one candidate (with their best score) and one query.
+An empty table gives no rows, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -169,7 +170,8 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query, k: int) -> DataF
     """query_id, rank, vec_id, score: of rows where is_query holds, the k nearest other rows found."""
     spark, parts = df.sparkSession, []
     v = F.col(vec_col)
-    rows = df.where(finite(v) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("is_query"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = df.where(finite(v) & F.exists(v, lambda x: x != 0) & (norm < float("inf")) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("is_query"))
     for dim in dims(rows, "v"):
         own = rows.where(F.size("v") == dim)
         n, longest = own.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()

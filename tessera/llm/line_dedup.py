@@ -30,7 +30,8 @@ from tessera.llm.common import blocks, components, drop, least_reachable, marked
 BANDS, ROWS = 12, 5
 WIDTH, LEAST, PERCENT = 8, 20, 80
 BLOCK = 512  # lines of a bucket that are compared in one go
-CELLS = 1 << 23  # of a matrix of lines and shingles
+CELLS = 1 << 21  # of a matrix of lines and shingles
+BYTES = 1 << 19  # of lines whose sets are made together
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -212,10 +213,14 @@ def _compare(width: int, percent: int):
     def links(rows: pa.RecordBatch):
         lh, comp, side = (rows.column(c).to_numpy() for c in (3, 4, 5))
         key = np.stack([rows.column(c).to_numpy() for c in (0, 1, 2)])
-        start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        h, off = _sets(rows.column(6), width)
-        a, b = [], []
-        for s, e in zip(start, np.append(start[1:], len(lh)), strict=True):
+        start = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))), len(lh))
+        at = text_bytes(rows.column(6))[1][start]
+        a, b, until = [], [], 0
+        for g, (s, e) in enumerate(zip(start[:-1], start[1:], strict=True)):
+            if e > until:  # the sets of as many groups as have BYTES, or of one
+                base, until = s, start[max(g + 1, int(np.searchsorted(at, at[g] + BYTES, "right")) - 1)]
+                h, off = _sets(rows.column(6).slice(base, until - base), width)
+                off = np.append(np.zeros(base, np.int64), off)  # by row
             if e - s == 2:
                 if comp[s] != comp[s + 1] and (key[1, s] == key[2, s] or side[s] != side[s + 1]) and _alike(h[off[s] : off[s + 1]], h[off[s + 1] : off[e]], percent):
                     a.append(lh[s : s + 1]), b.append(lh[s + 1 : e])

@@ -5,16 +5,20 @@ all words; a target stops at ``most_epochs`` times its source's size and the exc
 until none is above (the closed form of that water-filling, by sources sorted by size over weight).
 
 Each source gives complete epochs first; the rest of its target goes to its documents in the order of their
-exponential keys ``-ln(u) / quality`` (u from a hash of the id, so reruns agree), up to the budget: words before a
-document are prefix sums. The document at the boundary gives the words that remain.
-
-Prefix sums never gather a source: keys fall into buckets whose number follows the row count, sums by bucket find
-the bucket of the boundary, and only that bucket's documents are sorted. Null texts have size 0 and take nothing;
-null sources are a source; repeated rows count each; null ids share u and are ordered by their text's hash.
+exponential keys ``-ln(u) / quality`` (u from a hash of the id and `tie`, so reruns agree), up to the budget: words
+before a document are prefix sums. The document at the boundary gives the words that remain.
+
+Prefix sums never gather a source: logarithms of keys fall into buckets so narrow that none holds more than some
+thousand documents of a source (a thousandth of a percent of them in large tables), whatever their quality; sums by
+bucket find the bucket of the boundary, and only that bucket's documents are sorted. Null texts have size 0 and take
+nothing; null sources are a source; repeated rows count each and share a key; so rows with null or equal ids are told
+apart by `tie`, a hash of their text. Very long texts count whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ from tessera.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
+LEAST_ROWS, MOST_BUCKETS = 1000, 100_000  # rows of a bucket: so many, or n / MOST_BUCKETS
 
 
 def n_words(text: Column) -> Column:
@@ -58,11 +63,14 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight: Colum
     size, weight and tie are computed once, in the one pass over df; what follows reads the table of kept columns.
     """
     keep = df.columns if keep is None else keep
-    u = (F.coalesce(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(0)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-    keyed = df.withColumn("_mix_size", size).withColumn("_mix_key", -F.log(u) / weight).withColumn("_mix_tie", tie).withColumn("_mix_src", F.struct(F.col(source_col).isNull().alias("n"), F.coalesce(F.col(source_col), F.lit("")).alias("s")))
-    keyed = stored(keyed.select(*keep, "_mix_src", "_mix_size", "_mix_key", "_mix_tie"), "mix-keys")
-    most = F.lit(max(16, keyed.count() // 20_000))
-    bucket = F.floor((1 - F.exp(-F.col("_mix_key"))) * most).cast("long")
+    u = (F.xxhash64(F.col(id_col), tie, F.lit(seed)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
+    src = F.struct(F.col(source_col).isNull().alias("n"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"))
+    own = {"_mix_src": src, "_mix_size": size, "_mix_key": -F.log(u) / weight, "_mix_id": F.col(id_col), "_mix_tie": tie}
+    keyed = df.select(*[F.col(c).alias(f"_keep_{n}") for n, c in enumerate(keep)], *[v.alias(k) for k, v in own.items()])  # df's own names may be any
+    keyed = stored(keyed, "mix-keys")
+    n = keyed.count()
+    wide = max(LEAST_ROWS, n / MOST_BUCKETS) / max(1, n) * math.e  # the logarithm of an exponential key has a density of 1 / e at most
+    bucket = F.floor(F.log("_mix_key") / wide).cast("long")
     by_bucket = keyed.groupBy("_mix_src", bucket.alias("_mix_bucket")).agg(F.sum("_mix_size").alias("w"))
     by_bucket = stored(by_bucket, "mix-buckets")
     sources = targets(by_bucket.groupBy("_mix_src").agg(F.sum("w").alias("source_size")).withColumn("source", F.when(~F.col("_mix_src.n"), F.col("_mix_src.s"))), percent, most_epochs)
@@ -77,9 +85,9 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight: Colum
 
     rows = keyed.withColumn("_mix_bucket", bucket).join(sources, "_mix_src")
     here = F.col("_mix_bucket") == F.col("_mix_edge")  # no edge: the rest is 0
-    inside = Window.partitionBy("_mix_src").orderBy("_mix_key", id_col, "_mix_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_mix_src").orderBy("_mix_key", "_mix_id", "_mix_tie").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = rows.where(here).withColumn("_mix_done", F.col("_mix_before") + F.coalesce(F.sum("_mix_size").over(inside), F.lit(0)))
     at_edge = at_edge.withColumn("_mix_part", F.greatest(F.lit(0), F.least(F.col("_mix_size"), F.col("_mix_rest") - F.col("_mix_done"))))
     other = rows.where(F.coalesce(~here, F.lit(True))).withColumn("_mix_part", F.when(F.col("_mix_bucket") < F.col("_mix_edge"), F.col("_mix_size")).otherwise(0))
     out = at_edge.drop("_mix_done").unionByName(other)
-    return out.select(*keep, *[F.col("_mix_" + c).alias(prefix + c) for c in ("size", "source_size", "target")], (F.col("_mix_epochs") * F.col("_mix_size") + F.col("_mix_part")).cast("long").alias(prefix + "taken"))
+    return out.select(*[F.col(f"_keep_{n}").alias(c) for n, c in enumerate(keep)], *[F.col("_mix_" + c).alias(prefix + c) for c in ("size", "source_size", "target")], (F.col("_mix_epochs") * F.col("_mix_size") + F.col("_mix_part")).cast("long").alias(prefix + "taken"))

@@ -30,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, components, drop, marked, marks, mix, shingles, stored, text_bytes, words
@@ -234,19 +234,19 @@ def _most_common(x: str, y: str) -> str:
     return f"(({x}.n + {y}.n) - ({ham})) div 2"
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, group: bool = False) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, row_key: Column | None = None) -> DataFrame:
     """(id, n_shingles, component_id), one row for each row of df.
 
     component_id: the least id that links of ``100 * intersection >= percent * union`` reach, its own included.
-    With `group` also text_key (xxhash64 of the text) and group_key: a number that a component's rows share, null for
-    empty sets, whatever their ids.
+    With `row_key`, a long of df's columns, also row_key and group_key: a number that a component's rows share, whatever
+    their ids, null for empty sets.
     """
     id_sql = dict(df.dtypes)[id_col]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_sql)
     if id_type is None:
         raise ValueError(f"ids of type {id_sql}: cast them to bigint, int or string")
     text = F.col(text_col).cast("string")
-    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    texts = df.select(F.col(id_col).alias("id"), (F.lit(0) if row_key is None else row_key).cast("long").alias("key"), text.alias("text"))
     longs = "".join(f", {c} bigint" for c in _LONGS)
     described = stored(texts.mapInArrow(_describe(k, id_type), f"kind int, id {id_sql}, key bigint, n bigint, sig bigint{longs}, wide binary, segment int, counts binary"), "ngram-described")
     docs = described.where("kind = 0")
@@ -304,6 +304,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = tiles.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     own = own.select("h", "band", F.lit(False).alias("guest"), "sig", "n", "early", "comp").union(own.where("early").select("h", F.expr("band + 1"), F.lit(True), "sig", "n", "early", "comp"))
     own = stored(own, "ngram-own")
+    drop(tiles, met)
     mixed = own.groupBy("h", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("guest").alias("guest"), F.max("early").alias("early")).where("lo <> hi and early and not guest").select("h", "band")
     own, before = stored(own.join(mixed, ["h", "band"]), "ngram-mixed"), own
     drop(before)
@@ -332,7 +333,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             comp = stored(components(stars, "a", "b", "ngram-cc"), "ngram-labels")
 
     of_row = docs.select("id", "key", "n", "sig").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sig")))
-    least = of_row.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id"))
+    least = stored(of_row.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id")), "ngram-least")  # a table, so that a hot component's join can be split
     out = of_row.join(least, "comp", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("key").alias("text_key"), F.col("comp").alias("group_key"))
-    return out if group else out.drop("text_key", "group_key")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("key").alias("row_key"), F.col("comp").alias("group_key"))
+    return out.drop("row_key", "group_key") if row_key is None else out

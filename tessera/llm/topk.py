@@ -1,13 +1,15 @@
 """Exact top-k by inner product of integer vectors: distributed histogram selection.
 
-Queries come in blocks of a bounded size; a block is scored against every row, again and again: each pass counts
-scores in 512 bins of every query's current range and keeps the bin that holds the k-th highest, until that bin is
-one value wide. A last pass keeps what is above that value, and of what equals it the smallest ids. A task reports
-of each query only the bins down to its own k-th score, and at most k rows, so nothing grows with the table.
-
-Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null ids.
-Vectors of different lengths are not compared. Repeated query ids are one query (the rows with that id are no
-candidates of it); other repeated rows are candidates each. An empty table gives no rows.
+Queries come in blocks of a bounded size, and a pass over the table scores ``BLOCKS`` of them against every row: each
+pass counts scores in 512 bins of every query's current range and keeps the bin that holds the k-th highest, until that
+bin is one value wide. A last pass keeps what is above that value, and of what equals it the smallest ids. A task reports
+of each query only the bins down to its own k-th score, and at most k rows, so nothing grows with the table. The
+number of passes does, with the number of queries: each multiplies ``BLOCK * BLOCKS`` vectors by all rows.
+
+Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null ids or
+vectors so long that a score could leave 64 bits. Vectors of different lengths are not compared. Repeated query ids
+are one query, with the first of their vectors in order (the rows with that id are no candidates of it); other repeated
+rows are candidates each. An empty table gives no rows, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from tessera.llm.common import stored
 from tessera.llm.vectors import dims, finite, matrix
 
 BLOCK = 2048  # queries scored together
+BLOCKS = 8  # of queries, that one pass over the table serves
 BINS = 512
 _EXACT = float(1 << 53)
 
@@ -39,67 +42,84 @@ def _blocks(batches, dim: int, rows: int = 512):
             yield ids[i : i + rows], x[i : i + rows]
 
 
-def _histogram(qid, q, lo, span, width, k: int):
+class _Block:
+    """Queries and the range in which each one's k-th score lies: `span` values from `lo` on, of which `need` are wanted."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, bound: float, k: int):
+        reach = int(np.ceil(np.linalg.norm(q.astype(np.float64), axis=1).max(initial=0) * bound)) + 1
+        self.qid, self.q, self.reach = qid, q, min(reach, (1 << 62) - 1)
+        self.lo, self.span = np.full(len(qid), -self.reach, np.int64), np.full(len(qid), 2 * self.reach + 1, np.int64)
+        self.need, self.few = np.full(len(qid), k, np.int64), np.zeros(len(qid), bool)  # few: fewer than k candidates
+
+    @property
+    def width(self) -> np.ndarray:
+        return -(-self.span // BINS)
+
+    def narrow(self, got: dict[int, tuple]) -> None:
+        """got: of each query the bin that holds its k-th score, and how many candidates are above it."""
+        width = self.width
+        for i in range(len(self.qid)):
+            b, above = got.get(i, (None, None))
+            if b is None:
+                self.few[i], self.span[i], self.lo[i] = True, 1, -self.reach
+            elif not self.few[i]:
+                self.span[i] = min(width[i], self.span[i] - b * width[i])
+                self.lo[i] += b * width[i]
+                self.need[i] -= above
+
+
+def _histogram(asks: list[_Block], k: int, step: int):
+    """Rows (query's number, bin, candidates); a block's queries are numbered from its place times `step`."""
+
     def run(batches):
-        n = len(qid)
-        counts = np.zeros(n * BINS, np.int64)
-        for ids, x in _blocks(batches, q.shape[1]):
-            s = _scores(q, x)
-            at = (s - lo[:, None]) // width[:, None]
-            ok = (s >= lo[:, None]) & (s < (lo + span)[:, None]) & (ids[None, :] != qid[:, None])
-            counts += np.bincount((np.arange(n)[:, None] * BINS + at)[ok], minlength=n * BINS)
-        counts = counts.reshape(n, BINS)
-        above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
-        r, b = np.nonzero((counts > 0) & (above < k))
-        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts[r, b])], names=["q", "bin", "n"])
+        counts = [np.zeros(len(x.qid) * BINS, np.int64) for x in asks]
+        for ids, v in _blocks(batches, asks[0].q.shape[1]):
+            for x, c in zip(asks, counts, strict=True):
+                s, n = _scores(x.q, v), len(x.qid)
+                at = (s - x.lo[:, None]) // x.width[:, None]
+                ok = (s >= x.lo[:, None]) & (s < (x.lo + x.span)[:, None]) & (ids[None, :] != x.qid[:, None])
+                c += np.bincount((np.arange(n)[:, None] * BINS + at)[ok], minlength=n * BINS)
+        for b, c in enumerate(counts):
+            c = c.reshape(-1, BINS)
+            above = np.cumsum(c[:, ::-1], axis=1)[:, ::-1] - c
+            r, at = np.nonzero((c > 0) & (above < k))
+            yield pa.RecordBatch.from_arrays([pa.array((r + b * step).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(c[r, at])], names=["q", "bin", "n"])
 
     return run
 
 
-def _select(qid, q, value, ties, k: int):
-    """Rows above each query's k-th value; of those at it, the `ties` smallest ids."""
+def _select(asks: list[_Block], k: int):
+    """Rows above each query's k-th value; of those at it, the smallest ids."""
 
     def run(batches):
-        best = [[] for _ in qid]
-        for ids, x in _blocks(batches, q.shape[1]):
-            s = _scores(q, x)
-            ok = (s >= value[:, None]) & (ids[None, :] != qid[:, None])
-            for r in np.flatnonzero(ok.any(axis=1)):
-                c = np.flatnonzero(ok[r])
-                best[r] += zip((-s[r, c]).tolist(), ids[c].tolist(), strict=True)
-                if len(best[r]) > 4 * k:
-                    best[r] = sorted(best[r])[:k]
-        rows = [(int(qid[r]), v, -s) for r, b in enumerate(best) for s, v in sorted(b)[:k]]
+        best: list[list[list]] = [[[] for _ in x.qid] for x in asks]
+        for ids, v in _blocks(batches, asks[0].q.shape[1]):
+            for x, own in zip(asks, best, strict=True):
+                s = _scores(x.q, v)
+                ok = (s >= x.lo[:, None]) & (ids[None, :] != x.qid[:, None])
+                for r in np.flatnonzero(ok.any(axis=1)):
+                    c = np.flatnonzero(ok[r])
+                    own[r] += zip((-s[r, c]).tolist(), ids[c].tolist(), strict=True)
+                    if len(own[r]) > 4 * k:
+                        own[r] = sorted(own[r])[:k]
+        rows = [(int(x.qid[r]), v, -s) for x, own in zip(asks, best, strict=True) for r, b in enumerate(own) for s, v in sorted(b)[:k]]
         cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _block_top(rows: DataFrame, qid: np.ndarray, q: np.ndarray, bound: float, k: int) -> DataFrame:
-    reach = int(np.ceil(np.linalg.norm(q.astype(np.float64), axis=1).max(initial=0) * bound)) + 1
-    lo = np.full(len(qid), -reach, np.int64)
-    span = np.full(len(qid), 2 * reach + 1, np.int64)
-    need = np.full(len(qid), k, np.int64)
-    few = np.zeros(len(qid), bool)  # with fewer than k candidates: all of them
-    while (span > 1).any():
-        width = -(-span // BINS)
-        found = rows.mapInArrow(_histogram(qid, q, lo.copy(), span.copy(), width, k), "q int, bin int, n bigint").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        top = Window.partitionBy("q").orderBy(F.desc("bin"))
-        found = found.withColumn("upto", F.sum("n").over(top))
-        wanted = rows.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(need)], "q int, need bigint")
-        found = found.join(wanted, "q").groupBy("q").agg(F.max(F.when(F.col("upto") >= F.col("need"), F.col("bin"))).alias("bin"), F.min(F.when(F.col("upto") >= F.col("need"), F.col("upto") - F.col("n"))).alias("above"))
-        got = {r[0]: (r[1], r[2]) for r in found.collect()}  # a row for each query of the block
-        for i in range(len(qid)):
-            b, above = got.get(i, (None, None))
-            if b is None:  # fewer than k candidates
-                few[i], span[i] = True, 1
-            elif not few[i]:
-                span[i] = min(width[i], span[i] - b * width[i])
-                lo[i] += b * width[i]
-                need[i] -= above
-    lo[few] = -reach
-    out = rows.mapInArrow(_select(qid, q, lo, need, k), "query_id bigint, vec_id bigint, score bigint")
+def _top(rows: DataFrame, asks: list[_Block], k: int) -> DataFrame:
+    step = max(len(x.qid) for x in asks)
+    while any((x.span > 1).any() for x in asks):
+        found = rows.mapInArrow(_histogram(asks, k, step), "q int, bin int, n bigint").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        found = found.withColumn("upto", F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin"))))
+        need = [(i + b * step, int(v)) for b, x in enumerate(asks) for i, v in enumerate(x.need)]
+        found = found.join(rows.sparkSession.createDataFrame(need, "q int, need bigint"), "q").where("upto >= need")
+        got = found.groupBy("q").agg(F.max("bin").alias("bin"), F.min(F.col("upto") - F.col("n")).alias("above")).collect()  # a row for each query of the blocks
+        for b, x in enumerate(asks):
+            x.narrow({r[0] - b * step: (r[1], r[2]) for r in got if r[0] // step == b})
+    out = rows.mapInArrow(_select(asks, k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -110,22 +130,25 @@ def exact_top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int, scal
     Components count as floor(scale * x).
     """
     spark, parts = df.sparkSession, []
-    ints = df.where(finite(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("is_query"))
+    ok = finite(F.col(vec_col)) & F.col(id_col).isNotNull()
+    ok = ok & F.forall(vec_col, lambda x: F.abs(x.cast("double")) * scale < F.sqrt(float(1 << 61) / F.size(vec_col)))
+    ints = df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("is_query"))
     ints = stored(ints, "topk-ints")
     for dim in dims(ints, "v"):
         rows = ints.where(F.size("v") == dim)
-        queries = rows.where("is_query").dropDuplicates(["id"])
+        queries = rows.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
         n = queries.count()
         if not n:
             continue
         bound = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()[0]
         blocks = -(-n // BLOCK)
-        for b in range(blocks):
-            own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").select("id", "v").toArrow()  # about BLOCK rows
-            if own.num_rows:
-                qid, q = own.column(0).to_numpy(), matrix(own.column(1).combine_chunks(), dim, np.int64)
-                parts.append(stored(_block_top(rows.select("id", "v"), qid, q, bound, k), "topk"))
-    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    for p in parts:
-        out = out.union(p)
-    return out
+        queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "topk-queries")
+        for b in range(0, blocks, BLOCKS):
+            asks = []
+            for own in (queries.where(F.col("block") == c).orderBy("id").select("id", "v").toArrow() for c in range(b, min(b + BLOCKS, blocks))):  # about BLOCK rows
+                if own.num_rows:
+                    asks.append(_Block(own.column(0).to_numpy(), matrix(own.column(1).combine_chunks(), dim, np.int64), bound, k))
+            parts.append(stored(_top(rows.select("id", "v"), asks, k), "topk"))
+    if not parts:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    return spark.read.schema(parts[0].schema).parquet(*[p._stored_at for p in parts])
