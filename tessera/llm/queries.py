@@ -82,6 +82,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.predict(rows, "text", model)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -90,10 +96,10 @@ QUERIES = {
     "op5_ann": op5_ann,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
-    "op9_language_id": op9_language_id,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_language_id": op9_language_id,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_token_alignment": op11_token_alignment,
 }
 #: The others rest on hashes, models or a tokenizer that SQL doesn't have; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
