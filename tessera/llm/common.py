@@ -46,6 +46,20 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with small's columns by key; small has one row for each key of rows and in n how often rows hold it.
+
+    Keys with over 1 / HOT of all rows, HOT at most, are broadcast, so a frequent key isn't one task's; both are read twice.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = small.where(F.col(n) * HOT > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(small, key)
+    return rows.join(F.broadcast(hot), key).union(rest)
+
+
 def unused_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have yet."""
     taken, name = {c.lower() for c in df.columns}, base

@@ -88,6 +88,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +106,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_token_alignment": op11_token_alignment,
+    "op12_simhash": op12_simhash,
 }
 #: The others rest on hashes, models or a tokenizer that SQL doesn't have; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
