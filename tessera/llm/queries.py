@@ -94,6 +94,12 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.prefix_trie import prefix_trie, rebuilt
+
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -107,6 +113,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_token_alignment": op11_token_alignment,
     "op12_simhash": op12_simhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 #: The others rest on hashes, models or a tokenizer that SQL doesn't have; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +138,23 @@ ORACLE_SQL: dict[str, str] = {
             GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
         ), r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.y AS doc_id, r.c FROM r JOIN l ON l.x = r.doc_id)
         SELECT r.doc_id, coalesce(max(n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op13_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), h AS (
+            SELECT conv_id, w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(k AS BIGINT))), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM own
+        ), p AS (
+            SELECT h.conv_id, list_concat(coalesce(f.w, [])[1:CAST(h AS INTEGER)], h.w[CAST(h AS INTEGER) + 1:]) AS w FROM h LEFT JOIN own f ON f.conv_id = h.conv_id - h.conv_id % 100
+        ), m AS (SELECT conv_id, len(w) AS n, d, w[1:d] AS w FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM p)),
+        n AS (
+            SELECT w, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY w
+        ), c AS (SELECT w[1:depth - 1] AS w, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+        u AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c ON c.w = n.w),
+        b AS (
+            SELECT w[1:e] AS w, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+            FROM (SELECT w, n_children, n_convs, CASE WHEN depth = 0 THEN 0 ELSE length(w[depth].t) END AS size, unnest(range(0, depth + 1)) AS e FROM u) GROUP BY ALL
+        )
+        SELECT u.conv_id, u.depth, a.conv_id AS parent_conv_id, u.n_convs, u.n_children, b.n_leaves, b.saved_tokens, u.ends_sha256
+        FROM u JOIN b ON b.w = u.w LEFT JOIN n a ON u.depth > 0 AND a.w = u.w[1:u.depth - 1]""",
 }
