@@ -63,32 +63,42 @@ def recover_q(coded: np.ndarray, p: int) -> np.ndarray:
     return q
 
 
-def jacobi_sweep(us: np.ndarray, v: np.ndarray, eps: float) -> bool:
-    """One sweep over all pairs of columns, in place; whether any dot product exceeded eps."""
-    turned = False
-    n = us.shape[1]
+def jacobi_sweep(us: np.ndarray, v: np.ndarray, tol: float, floor: float = 0.0) -> float:
+    """One sweep over all pairs of columns, in place; the largest cosine that it met.
+
+    Pairs turn if their cosine is over tol. Columns no longer than floor count as zero and stay as they are.
+    """
+    met, n = 0.0, us.shape[1]
     for p in range(n - 1):
         for q in range(p + 1, n):
-            d = us[:, p] @ us[:, q]
-            if abs(d) <= eps:
+            d, pp, qq = us[:, p] @ us[:, q], us[:, p] @ us[:, p], us[:, q] @ us[:, q]
+            if min(pp, qq) <= floor * floor or abs(d) <= tol * np.sqrt(pp) * np.sqrt(qq):
                 continue
-            turned = True
-            z = (us[:, q] @ us[:, q] - us[:, p] @ us[:, p]) / (2 * d)
+            met = max(met, abs(d) / (np.sqrt(pp) * np.sqrt(qq)))
+            z = (qq - pp) / (2 * d)
             t = (1.0 if z >= 0 else -1.0) / (abs(z) + np.hypot(1.0, z))
             c = 1 / np.hypot(1.0, t)
             turn = np.array([[c, c * t], [-c * t, c]])
             us[:, [p, q]] = us[:, [p, q]] @ turn
             v[:, [p, q]] = v[:, [p, q]] @ turn
-    return turned
+    return met
+
 
+#: Cosine of columns that count as orthogonal, and length of a column that counts as zero, as a part of the matrix's norm.
+COSINE, NOTHING = 1e-13, 1e-14
 
-def jacobi_svd(a: np.ndarray, eps: float, most_sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(US, V): A = US Vᵀ with orthogonal columns of US, whose norms are the singular values. Raises if sweeps don't suffice."""
+
+def jacobi_svd(a: np.ndarray, tol: float = COSINE, most_sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """(US, V): A = US Vᵀ with orthogonal columns of US, whose norms are the singular values. Raises if sweeps don't suffice.
+
+    tol bounds the cosine between columns, whatever their size; columns under NOTHING of the matrix's norm count as zero.
+    """
     us, v = a.astype(np.float64).copy(), np.eye(a.shape[1])
+    floor = NOTHING * float(np.linalg.norm(us))
     for _ in range(most_sweeps):
-        if not jacobi_sweep(us, v, eps):
+        if jacobi_sweep(us, v, tol, floor) <= tol:
             return us, v
-    raise ArithmeticError(f"columns are not orthogonal to {eps} after {most_sweeps} sweeps")
+    raise ArithmeticError(f"cosines of columns are over {tol} after {most_sweeps} sweeps")
 
 
 def column_rank(us: np.ndarray, eps: float) -> int:
@@ -144,18 +154,18 @@ def givens_q(blocks: DataFrame, key: str) -> DataFrame:
     return each_block(blocks, key, lambda a: recover_q(givens(a), a.shape[1]))
 
 
-def singular_values(blocks: DataFrame, key: str, eps: float = 1e-10) -> DataFrame:
+def singular_values(blocks: DataFrame, key: str) -> DataFrame:
     """(key, i = 0, j, v): singular values, largest first."""
 
     def values(a):
-        return -np.sort(-np.sqrt((jacobi_svd(a, eps * max(1.0, float((a * a).sum())))[0] ** 2).sum(axis=0)))[None, :]
+        return -np.sort(-np.sqrt((jacobi_svd(a)[0] ** 2).sum(axis=0)))[None, :]
 
     return each_block(blocks, key, values)
 
 
 def svd_rank(blocks: DataFrame, key: str, eps: float) -> DataFrame:
     """(key, i = 0, j = 0, v): rank by squared singular values of at least eps."""
-    return each_block(blocks, key, lambda a: np.array([[float(column_rank(jacobi_svd(a, eps * 1e-6)[0], eps))]]))
+    return each_block(blocks, key, lambda a: np.array([[float(column_rank(jacobi_svd(a)[0], eps))]]))
 
 
 def accumulate(low1: DataFrame, low2: DataFrame, key: str) -> DataFrame:

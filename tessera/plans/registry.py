@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import profile
-from tessera.operators import blocks, coo, deps, hierarchical, lowrank, nested, permute
+from tessera.operators import blocks, coo, deps, hierarchical, lowrank, nested, permute, tall, tournament
 from tessera.plans import interpreter, machine, schedule, tasks
 from tessera.sources import matrices as M
 from tessera.sources import tables as S
@@ -252,6 +252,85 @@ def tall_gram(s, d):
 matrix("tall_qr", tall_gram, mul(flip(A), A))
 
 
+def embedding_qr(s, d):
+    return tall.tall_qr(S.table(s, d, "embeddings"), "vec_id", "embedding")
+
+
+def qr_rows(s, d):
+    q, r = embedding_qr(s, d)
+    return M.from_vectors(tall.turned(q, r), F.col("id"), F.col("q"))
+
+
+matrix("tall_qr_rows", qr_rows, A)
+matrix("tall_q_gram", lambda s, d: coo.gram(embedding_qr(s, d)[0], "q"), "SELECT x.k AS i, y.k AS j, CAST(CASE WHEN x.k = y.k THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(0, 64) x(k), range(0, 64) y(k)", 9)
+
+
+def moments(values: DataFrame, *key: str) -> DataFrame:
+    """Sum of squares, and their mean weighted by themselves."""
+    v2 = F.col("v") * F.col("v")
+    return values.groupBy(*key).agg(F.round(F.sum(v2), 3).alias("sum_s2"), F.round(F.sum(v2 * v2) / F.sum(v2), 3).alias("mean_s2"))
+
+
+def moments_sql(gram: str, *key: str) -> str:
+    by = "".join(f"{k}, " for k in key)
+    return f"SELECT {by}round(sum(CASE WHEN i = j THEN v ELSE 0 END), 3) AS sum_s2, round(sum(v * v) / sum(CASE WHEN i = j THEN v ELSE 0 END), 3) AS mean_s2 FROM ({gram})" + (f" GROUP BY {by[:-2]}" if key else "")
+
+
+def flag_rows(s, d):
+    """The flags' matrices lying down, 7 by 25."""
+    l, sup = S.table(s, d, "lineitem"), S.table(s, d, "supplier")
+    x = l.join(sup, l["l_suppkey"] == sup["s_suppkey"])
+    return x.groupBy(F.col("l_returnflag").alias("flag"), (F.col("l_linenumber") - 1).cast("long").alias("i"), F.col("s_nationkey").cast("long").alias("j")).agg(F.sum(F.col("l_quantity") / 997).alias("v"))
+
+
+def of_values(s, values) -> DataFrame:
+    return s.createDataFrame([(float(v),) for v in values], "v double")
+
+
+def embedding_values(s, d):
+    _, r = embedding_qr(s, d)
+    cells = s.createDataFrame([(0, i, j, float(v)) for i, row in enumerate(r) for j, v in enumerate(row)], "key long, i long, j long, v double")
+    return tournament.singular_values(cells, "key", len(r), r.shape[1], width=16)
+
+
+register("jacobi_wide", lambda s, d: moments(tournament.singular_values(flag_rows(s, d), "flag", 7, 25, width=7), "flag"), moments_sql(FLAG_GRAM, "flag"))
+register("jacobi_tall", lambda s, d: moments(embedding_values(s, d)), moments_sql(mul(flip(A), A)))
+register("rsvd_moments", lambda s, d: moments(of_values(s, tall.randomized_svd(f("p")(s, d), 7)[1])), moments_sql(mul(flip(P), P)))
+
+SUPPLY = "SELECT CAST(l_suppkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j, sum(l_quantity / 997) AS v FROM lineitem GROUP BY 1, 2"
+
+
+def supply(s, d):
+    """Quantity by supplier and part, sparse."""
+    return M.cells(S.table(s, d, "lineitem"), F.col("l_suppkey"), F.col("l_partkey"), F.col("l_quantity") / 997)
+
+
+def leading(s, d):
+    """The leading singular value, the squared norm, and whether what is left lies between nothing and all but the values found."""
+    a = M.stored(supply(s, d), "supply")
+    u, values, v = tall.randomized_svd(a, 8)
+    total = a.agg(F.sum(F.col("v") * F.col("v")).alias("t"))
+    x, y = u.select(F.col("id").alias("i"), F.col("q").alias("x")), v.select(F.col("id").alias("j"), F.col("q").alias("y"))
+    dot = sum((F.element_at("x", c + 1) * F.element_at("y", c + 1) * float(s_) for c, s_ in enumerate(values)), F.lit(0.0))
+    # |A - USVt|^2 = |A|^2 - 2 <A, USVt> + |S|^2, as U and V are orthonormal: only cells of A are read
+    inner = a.join(x, "i").join(y, "j").agg(F.sum(F.col("v") * dot).alias("inner"))
+    s2 = float((values**2).sum())
+    left = F.col("t") - 2 * F.col("inner") + s2
+    ok = (left >= -1e-6 * F.col("t")) & (F.abs(left - (F.col("t") - s2)) <= 1e-6 * F.col("t"))
+    return total.crossJoin(inner).select(F.round(F.lit(float(values[0])), 4).alias("sigma1"), F.round("t", 3).alias("norm2"), ok.alias("within"))
+
+
+def squared(name: str, of: str) -> str:
+    return f"{name} AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {of} a JOIN {of} b ON a.j = b.i GROUP BY 1, 2)"
+
+
+register(
+    "rsvd_leading", leading,
+    f"WITH a AS ({SUPPLY}), g AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.j = y.j GROUP BY 1, 2), {squared('g2', 'g')}, {squared('g4', 'g2')}, {squared('g8', 'g4')} "
+    "SELECT round(pow((SELECT sum(v * v) FROM g8), CAST(1 AS DOUBLE) / 32), 4) AS sigma1, (SELECT round(sum(v * v), 3) FROM a) AS norm2, true AS within",
+)
+
+
 def arrays(m: DataFrame, rows: int, cols: int) -> DataFrame:
     return M.to_block(m, rows, cols)
 

@@ -28,7 +28,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         root = _LOCAL[0]
     path = f"{root.rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables whose every reader has been stored, so that no lost task needs them again; others stay."""
+    for t in tables:
+        if hasattr(t, "_stored_at"):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cells(df: DataFrame, i: Column, j: Column, v: Column) -> DataFrame:
