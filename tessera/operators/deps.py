@@ -7,6 +7,8 @@ after read), 4 output (write after write); a read-write operand counts as writte
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,47 +21,133 @@ def valid_regions(regions: DataFrame) -> DataFrame:
     return regions.withColumn("width", F.when(ok, F.col("width")).otherwise(F.raise_error(F.lit("a region needs 1 <= width <= pitch and height >= 1")).cast("long")))
 
 
-def runs(regions: DataFrame, *keep: str) -> DataFrame:
-    """A row (start, end) for each run; end is exclusive."""
-    x = valid_regions(regions).select(*keep, "ptr", "pitch", "width", F.explode(F.expr("sequence(0L, height - 1)")).alias("r"))
-    return x.select(*keep, (F.col("ptr") + F.col("r") * F.col("pitch")).alias("start"), (F.col("ptr") + F.col("r") * F.col("pitch") + F.col("width")).alias("end"))
+def spans(regions: DataFrame, *keep: str) -> DataFrame:
+    """A row for each region with [start, end) from its first byte to its last; nothing is made for each run."""
+    end = F.col("ptr") + (F.col("height") - 1) * F.col("pitch") + F.col("width")
+    return valid_regions(regions).select(*keep, "ptr", "pitch", "width", "height", F.col("ptr").alias("start"), end.alias("end"))
+
+
+def chosen_scales(histogram: dict[int, int], extent: float) -> list[int]:
+    """Scales (powers of two) of bins for intervals counted by size class, over so many bytes.
+
+    A scale serves the classes above the one before it, and holds every smaller interval as a guest; what it costs is
+    the rows that it holds and the pairs that meet in its bins. The cheapest set is found by dynamic programming; there
+    are 64 classes at most.
+    """
+    sizes = sorted(histogram)
+    upto = np.cumsum([histogram[s] for s in sizes]).tolist()
+    best: list[tuple[float, list[int]]] = [(0.0, [])]
+    for k, size in enumerate(sizes):
+        rows = 2.0 * upto[k]
+
+        def cost(j, rows=rows, size=size, k=k):
+            own = upto[k] - (upto[j - 1] if j else 0)
+            return best[j][0] + rows + own * rows * min(1.0, 2.0**size / max(1.0, extent))
+
+        j = min(range(k + 1), key=cost)
+        best.append((cost(j), [*best[j][1], size]))
+    return best[-1][1]
 
 
 def interval_join(a: DataFrame, b: DataFrame, condition: Column | None = None) -> DataFrame:
     """Pairs (x.*, y.*) of overlapping intervals [start, end), each once, by an equi-join on bins.
 
-    Intervals fall into classes by length, powers of two, and a class has bins as wide as its longest interval. So an
-    interval lies in two bins at most of its own class, and of each longer class that occurs. A pair meets in the longer
-    one's class, and is made in the bin where the later one starts.
+    Bins have a few widths, powers of two that are chosen by the histogram of lengths. An interval belongs to the least
+    width that isn't below its length, where it lies in two bins at most, and is a guest of the wider ones. A pair meets
+    in the wider one's bins, and is made in the bin where the later one starts.
     """
     size = F.ceil(F.log2(F.col("end") - F.col("start"))).cast("int")
-    some = a.select(size.alias("size")).union(b.select(size.alias("size"))).distinct().collect()  # 64 at most
-    classes = F.array(*[F.lit(r[0]) for r in some]) if some else F.array(F.lit(0))
+    both = a.select("start", "end").union(b.select("start", "end"))
+    held = both.groupBy(size.alias("size")).agg(F.count("*"), F.min("start"), F.max("end")).collect()  # 64 rows at most
+    extent = max((r[3] for r in held), default=1) - min((r[2] for r in held), default=0)
+    scales = F.array(*map(F.lit, chosen_scales({r[0]: r[1] for r in held}, extent))) if held else F.array(F.lit(0))
 
     def bins(d):
-        d = d.withColumn("size", size).withColumn("scale", F.explode(F.filter(classes, lambda c: c >= F.col("size"))))
+        own = F.filter(scales, lambda c: c >= size)
+        d = d.withColumn("own", F.element_at(own, 1)).withColumn("scale", F.explode(own))
         return d.withColumn("bin", F.explode(F.expr("sequence(shiftright(start, scale), shiftright(end - 1, scale))")))
 
     x, y = bins(a).alias("x"), bins(b).alias("y")
     on = (F.col("x.scale") == F.col("y.scale")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.start") < F.col("y.end")) & (F.col("y.start") < F.col("x.end"))
-    on = on & F.expr("x.scale = greatest(x.size, y.size) and x.bin = shiftright(greatest(x.start, y.start), x.scale)")
+    on = on & F.expr("x.scale = greatest(x.own, y.own) and x.bin = shiftright(greatest(x.start, y.start), x.scale)")
     return x.join(y, on if condition is None else on & condition)
 
 
+def floor_sum(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of floor((a * x + b) / m) over x = 0 .. n - 1, modulo 2 ** 64, for arrays; a, b >= 0, m > 0.
+
+    Quotients go into the sum; then the rest counts points under a line, whose axes are swapped, as in Euclid's
+    algorithm, so steps are as many as the logarithm of m.
+    """
+    n, m, a, b = (np.array(x, np.int64) for x in (n, m, a, b))
+    total, live = np.zeros(len(n), np.int64), np.flatnonzero(n > 0)
+    while len(live):
+        n_, m_, a_, b_ = n[live], m[live], a[live], b[live]
+        half = np.where(n_ % 2 == 0, n_ // 2 * (n_ - 1), n_ * ((n_ - 1) // 2))
+        total[live] += half * (a_ // m_) + n_ * (b_ // m_)
+        a_, b_ = a_ % m_, b_ % m_
+        last = a_ * n_ + b_
+        n[live], b[live], m[live], a[live] = last // m_, last % m_, a_, m_
+        live = live[last >= m_]
+    return total
+
+
+def regions_meet(p1, pitch1, w1, h1, p2, pitch2, w2, h2) -> np.ndarray:
+    """Whether regions share a byte, for arrays, in time that doesn't depend on heights.
+
+    Run r of the second ends at hi = p2 - p1 + r * pitch2 + w2 - 1 as the first counts bytes. As long as hi lies within
+    the first's rows, the two meet where hi modulo pitch1 is at most w1 + w2 - 2: rows that do so are counted by two floor
+    sums. Beyond the first's last row, runs that still reach it are an interval of r.
+    """
+    p1, pitch1, w1, h1, p2, pitch2, w2, h2 = (np.asarray(x, np.int64) for x in (p1, pitch1, w1, h1, p2, pitch2, w2, h2))
+    base, reach = p2 - p1 + w2 - 1, w1 + w2 - 2
+    first = np.maximum(0, -(base // pitch2))
+    first = np.where(base >= 0, 0, first)
+    last = np.minimum(h2 - 1, (h1 * pitch1 - 1 - base) // pitch2)
+    n = np.maximum(0, last - first + 1)
+    at = np.where(n > 0, base + first * pitch2, 0)
+    narrow = reach < pitch1 - 1
+    k = np.where(narrow, n, 0)
+    count = floor_sum(k, pitch1, pitch2, at) - floor_sum(k, pitch1, pitch2, np.where(narrow, at - reach - 1 + pitch1, 0)) + k
+    past = np.maximum(0, -((base - h1 * pitch1) // pitch2))
+    to = np.minimum(h2 - 1, ((h1 - 1) * pitch1 + reach - base) // pitch2)
+    return (~narrow & (n > 0)) | (count > 0) | (past <= to)
+
+
+_SIDES = [f"{s}.{c}" for s in "xy" for c in ("ptr", "pitch", "width", "height")]
+
+
+def region_pairs(regions: DataFrame, *keep: str, condition: Column) -> DataFrame:
+    """Pairs of regions that share a byte and meet the condition: candidates by their spans, then the exact test.
+
+    Single runs share a byte if their spans do; the others are tested by `regions_meet`.
+    """
+    r = spans(regions, *keep)
+    pairs = interval_join(r, r, condition).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in keep], *[F.col(c).alias(c.replace(".", "_")) for c in _SIDES])
+    out = [f"{s}_{c}" for s in "xy" for c in keep]
+    kinds = dict(pairs.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(len(out) + k).to_numpy() for k in range(8)]
+            yield batch.select(out).filter(pa.array(regions_meet(*sides)))
+
+    flat = (F.col("x_height") == 1) & (F.col("y_height") == 1)
+    return pairs.where(flat).select(*out).union(pairs.where(~flat).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in out)))
+
+
 def overlapping(regions: DataFrame, key: str) -> DataFrame:
-    """(a, b), a < b: keys of the regions that share a byte."""
-    r = runs(regions, key)
-    pairs = interval_join(r, r, F.col(f"x.{key}") < F.col(f"y.{key}"))
-    return pairs.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+    """(a, b), a < b: keys of the regions that share a byte; a key may have several regions."""
+    pairs = region_pairs(regions, key, condition=F.col(f"x.{key}") < F.col(f"y.{key}"))
+    return pairs.select(F.col(f"x_{key}").alias("a"), F.col(f"y_{key}").alias("b")).distinct()
 
 
 def classify(operands: DataFrame) -> DataFrame:
     """(inst_from, inst_to, dep) of instructions in program order, from operands (inst, is_read, region)."""
-    r = runs(operands, "inst", "is_read")
     either_writes = ~(F.col("x.is_read") & F.col("y.is_read"))
-    pairs = interval_join(r, r, (F.col("x.inst") < F.col("y.inst")) & either_writes)
-    kind = F.when(F.col("x.is_read"), ANTI).when(F.col("y.is_read"), FLOW).otherwise(OUT)
-    return pairs.groupBy(F.col("x.inst").alias("inst_from"), F.col("y.inst").alias("inst_to")).agg(F.bit_or(kind).cast("int").alias("dep"))
+    pairs = region_pairs(operands, "inst", "is_read", condition=(F.col("x.inst") < F.col("y.inst")) & either_writes)
+    kind = F.when(F.col("x_is_read"), ANTI).when(F.col("y_is_read"), FLOW).otherwise(OUT)
+    return pairs.groupBy(F.col("x_inst").alias("inst_from"), F.col("y_inst").alias("inst_to")).agg(F.bit_or(kind).cast("int").alias("dep"))
 
 
 def mirrored(table: DataFrame) -> DataFrame:

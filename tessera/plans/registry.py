@@ -425,6 +425,23 @@ def part_regions(s, d):
 register("region_overlap", lambda s, d: deps.overlapping(part_regions(s, d), "id"), f"SELECT DISTINCT x.id AS a, y.id AS b FROM ({RUNS}) x JOIN ({RUNS}) y ON x.s < y.e AND y.s < x.e AND x.id < y.id")
 
 
+#: A billion rows each, of a pitch of 1,000; a part's region reaches over the next few parts' ones.
+TALL, PITCH = 10**9, 1000
+
+
+def tall_regions(s, d):
+    ptr = F.col("p_partkey") * (TALL * PITCH // 4 + 37)
+    return S.table(s, d, "part").select(F.col("p_partkey").alias("id"), ptr.alias("ptr"), F.lit(PITCH).cast("long").alias("pitch"), (8 + F.col("p_size")).cast("long").alias("width"), F.lit(TALL).cast("long").alias("height"))
+
+
+register(
+    "region_overlap_tall",
+    lambda s, d: deps.overlapping(tall_regions(s, d), "id"),
+    f"WITH r AS (SELECT p_partkey AS id, p_partkey * {TALL * PITCH // 4 + 37} AS ptr, 8 + p_size AS w FROM part) SELECT a.id AS a, b.id AS b FROM r a, range(1, 5) k(k) JOIN r b ON b.id = a.id + k "
+    f"WHERE ((b.ptr - a.ptr) % {PITCH} < a.w AND (b.ptr - a.ptr) // {PITCH} < {TALL}) OR ((b.ptr - a.ptr) % {PITCH} + b.w > {PITCH} AND (b.ptr - a.ptr) // {PITCH} + 1 < {TALL})",
+)
+
+
 def part_operands(s, d):
     return part_regions(s, d).select(F.expr("id div 4").alias("inst"), (F.col("id") % 4 != 0).alias("is_read"), "ptr", "pitch", "width", "height")
 

@@ -30,7 +30,7 @@ def test_overlap_edges(spark):
     got = {tuple(r) for r in deps.overlapping(spark.createDataFrame(rows, "id long, " + REGION), "id").collect()}
     assert got == {(0, 2), (1, 3)}
     with pytest.raises(Exception, match="1 <= width <= pitch"):
-        deps.runs(spark.createDataFrame([(0, 3, 4, 1)], REGION)).collect()
+        deps.spans(spark.createDataFrame([(0, 3, 4, 1)], REGION)).collect()
 
 
 def test_classes(spark):
@@ -100,3 +100,32 @@ def test_slices(spark):
     t = tasks.lu_tasks(spark, 3)
     assert {r[0] for r in tasks.batch_slices(t, 5).select("slice").collect()} == {0, 1, 2}
     assert {r[0] for r in tasks.batch_slices(t, 0).select("slice").collect()} == {0}
+
+
+def test_regions_meet_by_bytes():
+    import numpy as np
+
+    rng = random.Random(1)
+
+    def region():
+        pitch = rng.randint(1, 30)
+        return rng.randint(0, 200), pitch, rng.randint(1, pitch), rng.randint(1, 12)
+
+    a, b = ([region() for _ in range(20_000)] for _ in "ab")
+    held = lambda r: {r[0] + k * r[1] + x for k in range(r[3]) for x in range(r[2])}
+    assert deps.regions_meet(*np.array(a).T, *np.array(b).T).tolist() == [bool(held(x) & held(y)) for x, y in zip(a, b, strict=True)]
+
+
+def test_regions_of_a_billion_rows():
+    rng = random.Random(2)
+    for _ in range(500):
+        pitch, tall = rng.randint(10, 10_000), 10**9
+        a, b = ((rng.randint(0, 10**6), pitch, rng.randint(1, pitch), tall) for _ in "ab")
+        d = (b[0] - a[0]) % pitch
+        assert deps.regions_meet(*[[x] for x in a], *[[x] for x in b])[0] == (d < a[2] or d + b[2] > pitch)
+
+
+def test_chosen_scales():
+    assert deps.chosen_scales({3: 1000}, 1e6) == [3]
+    assert deps.chosen_scales({3: 10, 4: 10, 5: 10}, 1e9) == [5]
+    assert deps.chosen_scales({3: 10**7, 30: 10}, 1e12) == [3, 30]
