@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import profile
-from tessera.operators import blocks, coo, deps, hierarchical, lowrank, nested, permute, tall, tournament
+from tessera.operators import blocks, clusters, coo, deps, hierarchical, lowrank, nested, permute, tall, tournament
 from tessera.plans import interpreter, machine, schedule, tasks
 from tessera.sources import matrices as M
 from tessera.sources import tables as S
@@ -411,6 +411,42 @@ register(
     "SELECT CAST(n AS BIGINT) AS key, CAST(d AS INTEGER) AS levels, CAST(pow(2, d) + 2 * (pow(2, d) - 1) AS INTEGER) AS leaves, true AS accurate FROM (VALUES (1024, 3), (2048, 4), (4096, 5)) v(n, d)",
 )
 
+# ---- kernel matrices over a table of points ------------------------------------------------------------------
+
+
+def cluster_points(s, d):
+    """The embeddings' first two components as points in the plane."""
+    x = S.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    points, nodes = clusters.cluster_tree(x, 2)
+    return points, nodes, clusters.blocks(nodes)
+
+
+def cluster_cover(s, d):
+    """For each point: partners in its blocks, and gaps or overlaps between these."""
+    return clusters.coverage(*cluster_points(s, d)).select(F.col("id").alias("vec_id"), F.col("covered").cast("long").alias("covered"), "gaps")
+
+
+def kernel_rows(s, d):
+    """For points whose id is divisible by 50, held against all others: whether crosses and the product are near the kernel's own."""
+    points, _, pairs = cluster_points(s, d)
+    u, v = factors = clusters.cross_approximation(points, pairs)
+    kernel = clusters.inverse_square(F.col("x"), F.col("z"))
+    some = points.where("id % 50 = 0").select("id", "x")
+    other = points.select(F.col("id").alias("j"), F.col("x").alias("z"))
+    dot = F.aggregate(F.zip_with("f", "g", lambda p, q: p * q), F.lit(0.0), lambda t, y: t + y)
+    near = u.where("id % 50 = 0").join(v.select("a", "b", F.col("id").alias("j"), F.col("f").alias("g")), ["a", "b"]).join(some, "id").join(other, "j")
+    crosses = near.groupBy("id").agg(F.sum((dot - kernel) * (dot - kernel)).alias("off"), F.sum(kernel * kernel).alias("all"))
+    w = S.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[2].cast("double").alias("w"))
+    plain = F.broadcast(some.withColumnsRenamed({"x": "z", "id": "row"})).crossJoin(points.select("id", "x").join(w, "id"))  # the query set against all rows
+    want = plain.groupBy(F.col("row").alias("id")).agg(F.sum(kernel * F.col("w")).alias("want"), F.sum(F.abs(kernel * F.col("w"))).alias("size"))
+    got = clusters.product(points, pairs, factors, w).join(want, "id").join(crosses, "id", "left")
+    good = F.coalesce(F.col("off") <= 1e-4 * F.col("all"), F.lit(True))
+    return got.select(F.col("id").alias("vec_id"), good.alias("crosses"), (F.abs(F.col("y") - F.col("want")) <= 1e-3 * F.col("size")).alias("product"))
+
+
+register("cluster_cover", cluster_cover, "SELECT vec_id, (SELECT count(*) FROM embeddings) AS covered, CAST(0 AS BIGINT) AS gaps FROM embeddings")
+register("kernel_product", kernel_rows, "SELECT vec_id, true AS crosses, true AS product FROM embeddings WHERE vec_id % 50 = 0")
+
 # ---- regions and dependencies --------------------------------------------------------------------------------
 
 PART_REGIONS = "SELECT p_partkey AS id, p_partkey * 24 AS ptr, CAST(8 + p_size + p_size % 9 AS BIGINT) AS pitch, CAST(8 + p_size AS BIGINT) AS width, CAST(1 + p_size % 5 AS BIGINT) AS height FROM part"
