@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,39 @@ def gemm(a: DataFrame, b: DataFrame, a_t: bool = False, b_t: bool = False) -> Da
     return x.join(y, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def heavy_keys(x: DataFrame, y: DataFrame, share: int) -> DataFrame:
+    """(k, down, across) of contracted keys that either side holds over `share` times: a grid of so many parts of either.
+
+    Counts are summed where cells are read. At most (rows of both) / share keys are heavy.
+    """
+    counts = x.groupBy("k").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m")).union(y.groupBy("k").agg(F.lit(0).cast("long"), F.count("*")))
+    both = counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(f"(n > {share} or m > {share}) and n > 0 and m > 0")
+    parts = lambda c: F.ceil(F.col(c) / share).cast("int")
+    return both.select("k", parts("n").alias("down"), parts("m").alias("across"))
+
+
+def gemm_skewed(a: DataFrame, b: DataFrame, a_t: bool = False, b_t: bool = False, tasks: int = 64) -> DataFrame:
+    """op(A) op(B) where some contracted keys hold much of either side.
+
+    A key with over 1 / tasks of the cells, 2 * tasks at most, is spread over a grid: A's cells are dealt to its rows by
+    i and copied to its columns, B's are dealt to columns by j and copied to rows, so each pair meets in one part. Other
+    keys are a grid of one part: it is one hash join by key and part.
+    """
+    x = (transpose(a) if a_t else a).select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
+    y = (transpose(b) if b_t else b).select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("y"))
+    share = max(1, -(-(x.count() + y.count()) // tasks))
+    heavy = F.broadcast(heavy_keys(x, y, share))
+    one = F.lit(1)
+
+    def dealt(side, by, own, other, own_part, other_part):
+        d = side.join(heavy, "k", "left").withColumn(own_part, F.pmod(F.xxhash64(by), F.coalesce(own, one)).cast("int"))
+        return d.withColumn(other_part, F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).drop("down", "across")
+
+    left = dealt(x, "i", F.col("down"), F.col("across"), "r", "c")
+    right = dealt(y, "j", F.col("across"), F.col("down"), "c", "r")
+    return left.join(right, ["k", "r", "c"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
 def scaled(m: DataFrame, by: float) -> DataFrame:
     return m if by == 1 else m.select("i", "j", (F.col("v") * float(by)).alias("v"))
 
@@ -97,6 +131,69 @@ def chain(factors: list[DataFrame], dims: list[int]) -> DataFrame:
     return product(best_order(dims)[1])
 
 
+# ---- orders by estimated cells -------------------------------------------------------------------------------
+
+SKETCH = 256  # rows or columns, those of the least hashes, that stand for all in a sketch
+
+
+def supports(m: DataFrame) -> dict:
+    """For rows (i) and columns (j): how many hold cells (n), and the cells of the SKETCH ones whose hashes are least.
+
+    Two sketches hold the same coordinates where both reach, so what they share tells what all share.
+    """
+    out = {}
+    for c in "ij":
+        held = m.groupBy(c).agg(F.count("*").alias("n")).select(F.xxhash64(c).alias("h"), "n")
+        out[c] = {"n": held.count(), "keys": {r["h"]: r["n"] for r in held.orderBy("h").limit(SKETCH).collect()}}
+    return out
+
+
+def _shared(a: dict, b: dict) -> tuple[float, float]:
+    """(coordinates in common, sum over these of the product of cells), estimated; exact if both sketches hold all."""
+    reach = min((max(s["keys"]) for s in (a, b) if len(s["keys"]) == SKETCH), default=2**63 - 1)
+    part = (reach + 2.0**63) / 2.0**64
+    both = [h for h in a["keys"].keys() & b["keys"].keys() if h <= reach]
+    return len(both) / part, sum(a["keys"][h] * b["keys"][h] for h in both) / part
+
+
+def _joined(a: dict, b: dict) -> tuple[float, dict]:
+    """(multiplications, supports) of a product, as if its cells lay in rows and columns independently."""
+    shared, muls = _shared(a["j"], b["i"])
+    if not muls:
+        return 0.0, {"i": {"n": 0.0, "keys": {}}, "j": {"n": 0.0, "keys": {}}}
+
+    def met(side, inner):  # rows with a cell at a shared coordinate
+        mean = sum(side["keys"].values()) / max(1, len(side["keys"]))
+        return side["n"] * (1 - (1 - min(1.0, shared / inner["n"])) ** max(1.0, mean))
+
+    rows, cols = met(a["i"], a["j"]), met(b["j"], b["i"])
+    cells = -rows * cols * math.expm1(-muls / (rows * cols))  # distinct ones of so many random cells
+    return muls, {"i": {"n": rows, "keys": dict.fromkeys(a["i"]["keys"], cells / rows)}, "j": {"n": cols, "keys": dict.fromkeys(b["j"]["keys"], cells / cols)}}
+
+
+def sparse_order(of: list[dict]):
+    """(multiplications, tree) of the association of sketched factors that is estimated cheapest."""
+    best = {(k, k): (0.0, k, s) for k, s in enumerate(of)}
+    for width in range(1, len(of)):
+        for i in range(len(of) - width):
+            found = []
+            for k in range(i, i + width):
+                left, right = best[i, k], best[k + 1, i + width]
+                muls, held = _joined(left[2], right[2])
+                found.append((left[0] + right[0] + muls, (left[1], right[1]), held))
+            best[i, i + width] = min(found, key=lambda f: f[0])
+    return best[0, len(of) - 1][:2]
+
+
+def sparse_chain(factors: list[DataFrame]) -> DataFrame:
+    """The product of sparse factors in the order that sketches of their rows and columns tell to be cheapest."""
+
+    def product(tree):
+        return factors[tree] if isinstance(tree, int) else gemm(product(tree[0]), product(tree[1]))
+
+    return product(sparse_order([supports(m) for m in factors])[1])
+
+
 def gram(df: DataFrame, vector: str) -> DataFrame:
     """AᵀA of a table with a vector of A in each row: partial sums by task, then one sum by cell.
 

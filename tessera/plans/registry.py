@@ -411,6 +411,38 @@ register(
     "SELECT CAST(n AS BIGINT) AS key, CAST(d AS INTEGER) AS levels, CAST(pow(2, d) + 2 * (pow(2, d) - 1) AS INTEGER) AS leaves, true AS accurate FROM (VALUES (1024, 3), (2048, 4), (4096, 5)) v(n, d)",
 )
 
+# ---- products with hot keys and sparse chains ----------------------------------------------------------------
+
+#: Half of all lines have one key, 0; the others have their part's.
+HOT_KEY = "CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_partkey END"
+HOT = f"SELECT CAST(l_orderkey AS BIGINT) AS i, CAST({HOT_KEY} AS BIGINT) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
+COLD = f"SELECT CAST({HOT_KEY} AS BIGINT) AS i, CAST(l_linenumber AS BIGINT) AS j, count(*) * CAST(1 AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
+
+
+def hot_product(s, d):
+    l = S.table(s, d, "lineitem")
+    key = F.expr(HOT_KEY)
+    return coo.gemm_skewed(M.cells(l, F.col("l_orderkey"), key, F.col("l_quantity")), M.cells(l, key, F.col("l_linenumber"), F.lit(1.0)))
+
+
+#: Orders by part; part by supplier; supplier by nation. The dimensions would join the first two first.
+BY_PART = "SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j, count(*) * CAST(1 AS DOUBLE) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2"
+PART_SUPPLY = "SELECT CAST(l_partkey AS BIGINT) AS i, CAST(l_suppkey AS BIGINT) AS j, count(*) * CAST(1 AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
+HOME = "SELECT CAST(s_suppkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, CAST(1 AS DOUBLE) AS v FROM supplier"
+
+
+def sparse_factors(s, d):
+    l, sup = S.table(s, d, "lineitem"), S.table(s, d, "supplier")
+    return [
+        M.cells(l.where("l_quantity > 45"), F.col("l_orderkey"), F.col("l_partkey"), F.lit(1.0)),
+        M.cells(l, F.col("l_partkey"), F.col("l_suppkey"), F.lit(1.0)),
+        M.cells(sup, F.col("s_suppkey"), F.col("s_nationkey"), F.lit(1.0)),
+    ]
+
+
+matrix("gemm_hot_key", hot_product, mul(HOT, COLD))
+matrix("sparse_chain", lambda s, d: coo.sparse_chain(sparse_factors(s, d)), mul(BY_PART, mul(PART_SUPPLY, HOME)))
+
 # ---- kernel matrices over a table of points ------------------------------------------------------------------
 
 
