@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import profile
-from tessera.operators import blocks, clusters, coo, deps, hierarchical, lowrank, nested, permute, tall, tournament
+from tessera.operators import blocks, clusters, coo, deps, hierarchical, lowrank, nested, paths, permute, tall, tournament
 from tessera.plans import interpreter, machine, schedule, tasks
 from tessera.sources import matrices as M
 from tessera.sources import tables as S
@@ -562,6 +562,30 @@ REPLAYED = (
 register("dep_inserted", lambda s, d: text_list(deps.successors(deps.replayed(all_changes(s, d)))), f"SELECT inst_from AS inst, string_agg(CAST(inst_to AS VARCHAR), ',' ORDER BY seq, inst_to) AS others FROM ({REPLAYED}) GROUP BY 1")
 register("dep_inserted_before", lambda s, d: text_list(deps.predecessors(deps.replayed(all_changes(s, d)))), f"SELECT inst_to AS inst, string_agg(CAST(inst_from AS VARCHAR), ',' ORDER BY seq, inst_from) AS others FROM ({REPLAYED}) GROUP BY 1")
 register("dep_dump", lambda s, d: deps.dump(deps.replayed(all_changes(s, d))), f"SELECT inst_from, inst_to, dep FROM ({REPLAYED}) ORDER BY 1, 2")
+
+
+def dep_stream(s, d):
+    """The same table by a stream of the changes, dealt over four batches in no order."""
+    from tessera.streaming import dependencies
+
+    folder = M.shared_folder(s, "dep-stream")
+    changes = all_changes(s, d).select(F.col("inst_from").cast("long"), F.col("inst_to").cast("long"), F.col("dep").cast("int"), F.col("seq").cast("long"))
+    changes.withColumn("part", F.pmod(F.xxhash64("inst_from", "inst_to", "seq"), F.lit(4))).repartition(4, "part").drop("part").write.parquet(f"{folder}/changes")
+    return dependencies.run_stream(f"{folder}/changes", changes.schema, folder, s)
+
+
+register("dep_stream", dep_stream, f"SELECT inst_from, inst_to, dep, seq FROM ({REPLAYED})")
+register(
+    "dep_levels",
+    lambda s, d: paths.levels(dep_table(s, d), S.table(s, d, "part").select(F.expr("p_partkey div 4").alias("inst")).distinct()),
+    f"WITH RECURSIVE e AS MATERIALIZED ({PART_DEPS}), l AS (SELECT DISTINCT p_partkey // 4 AS inst, 0 AS level FROM part UNION SELECT e.inst_to, l.level + 1 FROM l JOIN e ON e.inst_from = l.inst) SELECT inst, max(level) AS level FROM l GROUP BY 1",
+)
+register(
+    "dep_reduced",
+    lambda s, d: paths.reduced(dep_table(s, d)),
+    f"WITH RECURSIVE e AS MATERIALIZED ({PART_DEPS}), r AS (SELECT inst_from AS u, inst_to AS v FROM e UNION SELECT r.u, e.inst_to FROM r JOIN e ON e.inst_from = r.v) "
+    "SELECT inst_from, inst_to, dep FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN r ON r.u = x.inst_to WHERE x.inst_from = e.inst_from AND r.v = e.inst_to)",
+)
 register("dep_mirrored", lambda s, d: deps.mirrored(dep_table(s, d)), f"SELECT inst_to AS inst_from, inst_from AS inst_to, dep FROM ({PART_DEPS})")
 register("dep_degrees", lambda s, d: deps.degrees(dep_table(s, d), part_operands(s, d).select("inst").distinct()), f"SELECT inst, CAST((SELECT count(*) FROM ({PART_DEPS}) e WHERE e.inst_from = inst) AS BIGINT) AS deps_from, CAST((SELECT count(*) FROM ({PART_DEPS}) e WHERE e.inst_to = inst) AS BIGINT) AS deps_to FROM (SELECT DISTINCT p_partkey // 4 AS inst FROM part)")
 register("dep_clear", lambda s, d: deps.cleared(dep_table(s, d)), f"SELECT * FROM ({PART_DEPS}) WHERE false")

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 _LOCAL: list[str] = []
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the folder of spark.checkpoint.dir and return it as read back; lineage ends here."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -26,7 +25,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         root = _LOCAL[0]
-    path = f"{root.rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write df once to the folder of spark.checkpoint.dir and return it as read back; lineage ends here."""
+    spark = df.sparkSession
+    path = shared_folder(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -1,5 +1,11 @@
 """The stream's cells equal those of the same events as a table."""
 
+import random
+
+import pytest
+
+from tessera.operators import deps
+from tessera.streaming import dependencies
 from tessera.streaming.clocks import clock_cells
 
 
@@ -12,3 +18,17 @@ def test_clock_cells(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("cells").collect()) == sorted(clock_cells(table, "worker", "ts").collect())
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_dependency_table_under_any_batching(spark, tmp_path, batches):
+    rng = random.Random(batches)
+    rows = [(rng.randrange(4), 10 + rng.randrange(4), rng.choice([0, 0, 1, 2, 5]), seq) for seq in range(160)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "inst_from long, inst_to long, dep int, seq long")
+    for k in range(batches):
+        spark.createDataFrame(rows[k::batches], df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = dependencies.run_stream(f"file://{tmp_path}/in", df.schema, f"file://{tmp_path}/out", spark)
+    want = deps.replayed(df).select("inst_from", "inst_to", "dep", "seq")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(list((tmp_path / "out" / "updates").glob("batch=*"))) == batches
