@@ -1,4 +1,4 @@
-"""Runs a task graph on a tiled matrix: a job for each level of the graph, or one task for a matrix of few cells.
+"""The operations on tiles, and a task graph run on a tiled matrix: a job for each level of the graph.
 
 A level's tasks do not depend on each other. Each joins the tiles it reads and writes one tile. What a level writes
 is a written table, so a lost executor repeats one level at most; the whole matrix is written every eighth level, so
@@ -16,7 +16,6 @@ from tessera.operators.lowrank import recompress
 from tessera.sources.matrices import stored
 
 TILE = "bi int, bj int, ny int, nx int, data array<double>"
-ONE_TASK = 1 << 22  # cells (32 MB) that one task works on by itself, in program order
 
 
 class ZeroPivot(ArithmeticError):
@@ -119,73 +118,8 @@ def run_levels(tiles: DataFrame, tasks: DataFrame, levels: DataFrame) -> DataFra
     return tiles
 
 
-def few_cells(tiles: DataFrame, most: int) -> bool:
-    return (tiles.agg(F.sum(F.col("ny").cast("long") * F.col("nx"))).first()[0] or 0) <= most
-
-
-def in_one_task(tiles: DataFrame, tasks: DataFrame) -> DataFrame:
-    """tiles after all tasks, run in the order of their numbers by one task."""
-
-    def work(key, program: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        m = {(r["bi"], r["bj"]): np.asarray(r["data"], np.float64).reshape(int(r["ny"]), int(r["nx"])) for r in held.to_dict("records")}
-        for r in program.sort_values("inst").to_dict("records"):
-            reads = np.asarray(r["reads"], np.int64).reshape(-1, 2)
-            m[r["i"], r["j"]] = execute(r["op"], m[r["i"], r["j"]], *[m[int(i), int(j)] for i, j in reads], flags=list(r["flags"]))
-        return pd.DataFrame([{"bi": i, "bj": j, "ny": x.shape[0], "nx": x.shape[1], "data": x.ravel().tolist()} for (i, j), x in m.items()], columns=["bi", "bj", "ny", "nx", "data"])
-
-    if "flags" not in tasks.columns:
-        tasks = tasks.withColumn("flags", F.expr("cast(array() as array<boolean>)"))
-    program = tasks.select(F.lit(0), "inst", "op", "i", "j", F.flatten(F.transform("reads", lambda x: F.array(x["i"], x["j"]))), "flags").toDF("a", "inst", "op", "i", "j", "reads", "flags")
-    return program.groupBy("a").cogroup(tiles.withColumn("b", F.lit(0)).groupBy("b")).applyInPandas(work, TILE)
-
-
 def lu_reads(tasks: DataFrame) -> DataFrame:
     """Tasks of tiled LU with the tiles that each reads beside its own."""
     t = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
     reads = F.when(F.col("op") == "getrf", F.expr("cast(array() as array<struct<i:int,j:int>>)")).when(F.col("op").isin("trsml", "trsmr"), F.array(t("k", "k"))).otherwise(F.array(t("i", "k"), t("k", "j")))
     return tasks.select("inst", "op", "i", "j", reads.alias("reads"))
-
-
-def tiled_lu(tiles: DataFrame, t: int, one_task: int = ONE_TASK) -> DataFrame:
-    """LU of a t by t grid of tiles, through its task graph."""
-    from tessera.plans.tasks import dag_edges, levels, lu_tasks
-
-    spark, tiles = tiles.sparkSession, stored(tiles, "tiles")
-    if few_cells(tiles, one_task):
-        return in_one_task(tiles, lu_reads(lu_tasks(spark, t)))
-    tasks = stored(lu_tasks(spark, t), "tasks")
-    return run_levels(tiles, lu_reads(tasks), levels(dag_edges(spark, t), tasks))
-
-
-def tiled_solve(tiles: DataFrame, factor: DataFrame, rows: int, cols: int, side: str, transposed: bool = False, one_task: int = ONE_TASK) -> DataFrame:
-    """X of L X = B (side "l") or X U = B (side "r") for tiles of B (rows by cols) and of the factor.
-
-    transposed: B and X of X U = B are stored transposed, so their tiles are cols by rows of the unknown's. The factor's
-    tiles are operands beside B's; they get block rows below B's. Step k solves block k, then takes its part from the
-    blocks after it; the tasks are made in place, none on the driver.
-    """
-    if transposed and side != "r":
-        raise ValueError("only X U = B has a transposed form")
-    spark, down = tiles.sparkSession, side == "l" or transposed  # down: the blocks that are solved one by one are rows
-    steps, others = (rows, cols) if down else (cols, rows)
-    cell = lambda a, b: F.struct(a.cast("int").alias("i"), b.cast("int").alias("j"))
-    k, r, o = F.col("k"), F.col("r"), F.col("o")
-    grid = spark.range(steps).select(F.col("id").alias("k"), F.explode(F.sequence(F.col("id"), F.lit(steps - 1).cast("long"))).alias("r"))
-    grid = grid.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
-    first, own = k == r, (lambda b: cell(b, o) if down else cell(o, b))
-    solved, part = own(k), cell(r + rows, k) if side == "l" else cell(k + rows, r)  # of a gemm: X's block and the factor's
-    pair = F.array(part, solved) if side == "l" else F.array(part, solved) if transposed else F.array(solved, part)
-    none = F.expr("cast(array() as array<boolean>)")
-    flags = F.when(first, F.array(F.lit(True)) if transposed else none).otherwise(F.array(F.lit(True), F.lit(False)) if transposed else none)
-    tasks = grid.select(
-        ((k * steps + r) * others + o).alias("inst"), (2 * k + F.when(first, 0).otherwise(1)).alias("level"),
-        F.when(first, "trsml" if side == "l" else "trsmr").otherwise("gemm").alias("op"), own(r).getField("i").alias("i"), own(r).getField("j").alias("j"),
-        F.when(first, F.array(cell(k + rows, k))).otherwise(pair).alias("reads"), flags.alias("flags"),
-    )
-    both = tiles.union(factor.select((F.col("bi") + rows).cast("int").alias("bi"), "bj", "ny", "nx", "data"))
-    both = stored(both, "solve-tiles")
-    if few_cells(both, one_task):  # within a step a task's number is greater than those of the tasks it depends on
-        return in_one_task(both, tasks).where(F.col("bi") < rows)
-    tasks = stored(tasks, "solve-tasks")
-    done = run_levels(both, tasks.drop("level"), tasks.select("inst", "level"))
-    return done.where(F.col("bi") < rows)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import profile
 from tessera.operators import blocks, clusters, coo, deps, hierarchical, lowrank, nested, paths, permute, tall, tournament
-from tessera.plans import interpreter, machine, schedule, tasks
+from tessera.plans import machine, schedule, tasks, tiled
 from tessera.sources import matrices as M
 from tessera.sources import tables as S
 
@@ -183,16 +183,16 @@ def lu_product(m):
 
 
 matrix("lu_reconstruct", block_query(SPD, 12, 12, lu_product), SPD_SQL)
-matrix("getrf_tiled", lambda s, d: M.from_tiles(interpreter.tiled_lu(M.to_tiles(SPD(s, d), 12, 12, 4), 3), 4), LU_SQL)
-matrix("trsml_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_tiles(f("w")(s, d), 12, 3, 4), lu_tiles(s, d), 3, 1, "l"), 4), trsml_sql(S.dense_sql(W, 12, 3), f"SELECT * FROM ({LU_SQL})", 12), 6)
-matrix("trsmr_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_tiles(coo.transpose(f("w")(s, d)), 3, 12, 4), lu_tiles(s, d), 1, 3, "r"), 4), trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12), 6)
+matrix("getrf_tiled", lambda s, d: M.from_tiles(tiled.tiled_lu(M.to_tiles(SPD(s, d), 12, 12, 4), 3), 4), LU_SQL)
+matrix("trsml_tiled", lambda s, d: M.from_tiles(tiled.tiled_solve(M.to_tiles(f("w")(s, d), 12, 3, 4), lu_tiles(s, d), 3, 1, "l"), 4), trsml_sql(S.dense_sql(W, 12, 3), f"SELECT * FROM ({LU_SQL})", 12), 6)
+matrix("trsmr_tiled", lambda s, d: M.from_tiles(tiled.tiled_solve(M.to_tiles(coo.transpose(f("w")(s, d)), 3, 12, 4), lu_tiles(s, d), 1, 3, "r"), 4), trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12), 6)
 
 
-matrix("trsmr_bt_tiled", lambda s, d: M.from_tiles(interpreter.tiled_solve(M.to_tiles(f("w")(s, d), 12, 3, 4), lu_tiles(s, d), 3, 1, "r", transposed=True), 4), flip(trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12)), 6)
+matrix("trsmr_bt_tiled", lambda s, d: M.from_tiles(tiled.tiled_solve(M.to_tiles(f("w")(s, d), 12, 3, 4), lu_tiles(s, d), 3, 1, "r", transposed=True), 4), flip(trsmr_sql(S.dense_sql(flip(W), 3, 12), f"SELECT * FROM ({LU_SQL})", 12)), 6)
 
 
 def lu_tiles(s, d):
-    return interpreter.tiled_lu(M.to_tiles(SPD(s, d), 12, 12, 4), 3)
+    return tiled.tiled_lu(M.to_tiles(SPD(s, d), 12, 12, 4), 3)
 
 
 # ---- orthogonal and low-rank ---------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks, coo, lowrank, permute
-from tessera.plans import interpreter
+from tessera.plans import interpreter, tiled
 from tessera.sources import matrices as M
 
 RNG = np.random.default_rng(3)
@@ -76,9 +76,9 @@ def test_chain_orders(spark):
 
 def test_tiled_lu_and_solves(spark):
     a, b = dominant(10, 10), RNG.standard_normal((10, 4))
-    lu = M.stored(interpreter.tiled_lu(M.to_tiles(frame(spark, a), 10, 10, 4), 3), "t")
+    lu = M.stored(tiled.tiled_lu(M.to_tiles(frame(spark, a), 10, 10, 4), 3), "t")
     assert np.allclose(array(M.from_tiles(lu, 4), 10, 10), interpreter.lu(a))
-    x = array(M.from_tiles(interpreter.tiled_solve(M.to_tiles(frame(spark, b), 10, 4, 4), lu, 3, 1, "l"), 4), 10, 4)
+    x = array(M.from_tiles(tiled.tiled_solve(M.to_tiles(frame(spark, b), 10, 4, 4), lu, 3, 1, "l"), 4), 10, 4)
     low = np.tril(interpreter.lu(a), -1) + np.eye(10)
     assert np.allclose(low @ x, b)
 

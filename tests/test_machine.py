@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks, deps, lowrank, nested
-from tessera.plans import interpreter, machine
+from tessera.plans import interpreter, machine, tasks, tiled
 from tessera.sources import matrices as M
 
 E, W, END = machine.encode, machine.SIGNAL_WAIT, [machine.FINISH]
@@ -79,8 +79,13 @@ def test_zero_pivots(spark):
     assert np.allclose(interpreter.lu(np.array([[2.0, 1.0], [4.0, 2.0]])), [[2, 1], [2, 0]])  # the last pivot divides nothing
 
 
-@pytest.mark.parametrize("one_task", [0, interpreter.ONE_TASK])
-def test_tiles_by_levels_and_in_one_task(spark, one_task):
+def by_levels(tiles):
+    tasks_ = M.stored(tasks.lu_tasks(tiles.sparkSession, 3), "tasks")
+    return interpreter.run_levels(tiles, interpreter.lu_reads(tasks_), tasks.levels(tasks.dag_edges(tiles.sparkSession, 3), tasks_))
+
+
+@pytest.mark.parametrize("factor", [by_levels, lambda tiles: tiled.tiled_lu(tiles, 3)])
+def test_tiles(spark, factor):
     rng = np.random.default_rng(9)
     a, b = rng.standard_normal((10, 10)) + 30 * np.eye(10), rng.standard_normal((10, 3))
     coo = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i long, j long, v double")
@@ -91,16 +96,26 @@ def test_tiles_by_levels_and_in_one_task(spark, one_task):
             out[r["i"], r["j"]] = r["v"]
         return out
 
-    lu = M.stored(interpreter.tiled_lu(M.to_tiles(coo(a), 10, 10, 4), 3, one_task), "lu")
+    lu = M.stored(factor(M.to_tiles(coo(a), 10, 10, 4)), "lu")
     got = dense(lu, 10, 10)
     assert np.allclose(got, interpreter.lu(a))
     up = np.triu(got)
-    x = dense(interpreter.tiled_solve(M.to_tiles(coo(b), 10, 3, 4), lu, 3, 1, "l", one_task=one_task), 10, 3)
-    y = dense(interpreter.tiled_solve(M.to_tiles(coo(b.T), 3, 10, 4), lu, 1, 3, "r", one_task=one_task), 3, 10)
-    z = dense(interpreter.tiled_solve(M.to_tiles(coo(b), 10, 3, 4), lu, 3, 1, "r", transposed=True, one_task=one_task), 10, 3)
+    x = dense(tiled.tiled_solve(M.to_tiles(coo(b), 10, 3, 4), lu, 3, 1, "l"), 10, 3)
+    y = dense(tiled.tiled_solve(M.to_tiles(coo(b.T), 3, 10, 4), lu, 1, 3, "r"), 3, 10)
+    z = dense(tiled.tiled_solve(M.to_tiles(coo(b), 10, 3, 4), lu, 3, 1, "r", transposed=True), 10, 3)
     assert np.allclose((np.tril(got, -1) + np.eye(10)) @ x, b) and np.allclose(y @ up, b.T) and np.allclose(z, y.T)
 
 
+@pytest.mark.parametrize("ny, nx", [(11, 5), (5, 11), (9, 9)])
+def test_tiled_lu_of_any_shape(spark, ny, nx):
+    a = np.random.default_rng(ny).standard_normal((ny, nx)) + 30 * np.eye(ny, nx)
+    cells = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(ny) for j in range(nx)], "i long, j long, v double")
+    out = np.zeros((ny, nx))
+    for r in M.from_tiles(tiled.tiled_lu(M.to_tiles(cells, ny, nx, 2), -(-ny // 2), -(-nx // 2)), 2).collect():
+        out[r["i"], r["j"]] = r["v"]
+    assert np.allclose(out, interpreter.lu(a))
+
+
 def test_sweeps_that_do_not_suffice():
     with pytest.raises(ArithmeticError):
         lowrank.jacobi_svd(np.random.default_rng(1).standard_normal((9, 6)), 1e-14, most_sweeps=1)
