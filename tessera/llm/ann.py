@@ -10,7 +10,8 @@ and their queries into chunks, so a vector that a third of all rows hold is no s
 products of the original vectors in double precision, summed in one order, so equal vectors tie exactly.
 
 Recall against brute force is at least 0.95 on the given tables (see the README). Vectors that are null, zero,
-empty or hold null or non-finite components take no part, nor do null ids or vectors whose squared norm overflows.
+empty or hold null or non-finite components take no part, nor do null ids. Distances are taken of vectors scaled by a
+power of two, so that no square overflows; scores that leave double precision are infinite and tie.
 Vectors of different lengths are not compared. Repeated ids are one candidate (with their best score) and one query.
 An empty table gives no rows, and other columns play no part.
 """
@@ -112,14 +113,14 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, ratio: float) -> np.nd
     return d
 
 
-def _lists(c, graph, dim, longest):
+def _lists(c, graph, dim, longest, scale):
     """(id, vector, is_query) to (list, kind, id, vector): postings (0) and visits of queries (1)."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                x = _lift(matrix(part.column(1), dim), longest)
+                x = _lift(matrix(part.column(1), dim) * scale, longest)
                 d = _distances(x, c)
                 order = np.argsort(d, axis=1)[:, :COPIES]
                 near = np.take_along_axis(d, order, axis=1)
@@ -139,7 +140,7 @@ def _lists(c, graph, dim, longest):
     return run
 
 
-def _search(dim: int, k: int):
+def _search(k: int, scale: float):
     def run(key, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asks):
@@ -148,7 +149,7 @@ def _search(dim: int, k: int):
             order = np.argsort(ids, kind="stable")
             each = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))  # an id's rows count once
             for i in range(0, len(qids), 256):
-                s = q[i : i + 256] @ x.T
+                s = (q[i : i + 256] * scale) @ (x * scale).T
                 s[qids[i : i + 256, None] == ids[None, :]] = -np.inf
                 top = s if len(each) == len(ids) else np.maximum.reduceat(s[:, order], each, axis=1)
                 keep = np.partition(top, max(len(each) - k, 0), axis=1)[:, max(len(each) - k, 0)]
@@ -156,7 +157,10 @@ def _search(dim: int, k: int):
                 for r in range(len(s)):
                     c = np.flatnonzero((s[r] >= keep[r] - slack[r]) & np.isfinite(s[r]))
                     if len(c):
-                        exact = (x[c] * q[i + r]).sum(axis=1)
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            exact = (x[c] * q[i + r]).sum(axis=1)
+                        far = ~np.isfinite(exact)
+                        exact[far] = np.copysign(np.inf, s[r, c[far]])
                         best = np.lexsort((ids[c], -exact))
                         first = np.unique(ids[c][best], return_index=True)[1]
                         best = best[np.sort(first)][:k]
@@ -170,15 +174,19 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query, k: int) -> DataF
     """query_id, rank, vec_id, score: of rows where is_query holds, the k nearest other rows found."""
     spark, parts = df.sparkSession, []
     v = F.col(vec_col)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = df.where(finite(v) & F.exists(v, lambda x: x != 0) & (norm < float("inf")) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("is_query"))
+    rows = df.where(finite(v) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("is_query"))
     for dim in dims(rows, "v"):
         own = rows.where(F.size("v") == dim)
-        n, longest = own.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-        drawn = own.where(F.xxhash64("id", F.lit(3)).bitwiseAND((1 << 40) - 1) < min(1.0, SAMPLE / n) * (1 << 40)).select("v").limit(2 * SAMPLE).toArrow()
-        sample = matrix(drawn.column(0).combine_chunks(), dim) if drawn.num_rows else matrix(own.select("v").limit(1).toArrow().column(0).combine_chunks(), dim)
+        most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+        n, widest = own.agg(F.count("*"), F.max(most)).first()
+        scale = float(2.0 ** -np.frexp(widest)[1])
+        longest = own.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x * scale) * (x * scale))))).first()[0]
+        key = F.xxhash64("id", F.lit(3))
+        some = own.where(key.bitwiseAND((1 << 40) - 1) < min(1.0, 1.2 * SAMPLE / n) * (1 << 40)) if n > 2 * SAMPLE else own
+        drawn = some.select("v", key.alias("key"), "id").orderBy("key", "id").limit(SAMPLE).select("v").toArrow()
+        sample = matrix(drawn.column(0).combine_chunks(), dim) * scale
         c = centroids(_lift(sample, longest), int(np.clip(n // LIST, 1, MOST_LISTS)))
-        listed = stored(own.mapInArrow(_lists(c, neighbour_graph(c), dim, longest), "list int, kind int, id bigint, v array<double>"), "ann-lists")
+        listed = stored(own.mapInArrow(_lists(c, neighbour_graph(c), dim, longest, scale), "list int, kind int, id bigint, v array<double>"), "ann-lists")
         sizes = listed.groupBy("list").agg(F.sum(F.expr("int(kind = 0)")).alias("n"), F.sum("kind").alias("q"))
         sizes = sizes.select("list", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"), F.ceil(F.col("q") / CHUNK).cast("int").alias("chunks")).where("shards > 0 and chunks > 0")
         cut = listed.join(F.broadcast(sizes), "list")  # at most MOST_LISTS rows
@@ -186,7 +194,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query, k: int) -> DataF
         posts = cut.where("kind = 0").select("list", F.pmod(F.xxhash64("id"), "shards").cast("int").alias("shard"), each.alias("chunk"), "id", "v")
         asks = cut.where("kind = 1").select("list", F.expr("explode(sequence(0, shards - 1))").alias("shard"), F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "id", "v")
         at = ["list", "shard", "chunk"]
-        found = posts.toDF(*at, "id", "v").groupBy(*at).cogroup(asks.toDF(*at, "id", "v").groupBy(*at)).applyInPandas(_search(dim, k), "query_id bigint, vec_id bigint, score double")
+        found = posts.toDF(*at, "id", "v").groupBy(*at).cogroup(asks.toDF(*at, "id", "v").groupBy(*at)).applyInPandas(_search(k, scale), "query_id bigint, vec_id bigint, score double")
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         parts.append(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -6,8 +6,9 @@ bin is one value wide. A last pass keeps what is above that value, and of what e
 of each query only the bins down to its own k-th score, and at most k rows, so nothing grows with the table. The
 number of passes does, with the number of queries: each multiplies ``BLOCK * BLOCKS`` vectors by all rows.
 
-Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null ids or
-vectors so long that a score could leave 64 bits. Vectors of different lengths are not compared. Repeated query ids
+Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with null ids. Scores of
+pairs so long that 64 bits may not hold them are computed with whole numbers of any size; a query with such a score
+among its k highest fails, as does a component of 2^62 or more. Vectors of different lengths are not compared. Repeated query ids
 are one query, with the first of their vectors in order (the rows with that id are no candidates of it); other repeated
 rows are candidates each. An empty table gives no rows, and other columns play no part.
 """
@@ -26,13 +27,18 @@ BLOCK = 2048  # queries scored together
 BLOCKS = 8  # of queries, that one pass over the table serves
 BINS = 512
 _EXACT = float(1 << 53)
+_LIMIT = (1 << 62) - 1  # scores beyond count as this
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products (queries, rows); by floating point where every partial sum is exact there."""
     if len(x) and len(q) and np.abs(q).max() * float(np.abs(x).max()) * q.shape[1] < _EXACT:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
+    out = q @ x.T
+    norms = [np.linalg.norm(m.astype(np.float64), axis=1) for m in (q, x)]
+    for r, c in zip(*np.nonzero(np.outer(*norms) > 0.99 * _LIMIT), strict=True):  # may have wrapped around
+        out[r, c] = max(-_LIMIT, min(_LIMIT, sum(a * b for a, b in zip(q[r].tolist(), x[c].tolist(), strict=True))))
+    return out
 
 
 def _blocks(batches, dim: int, rows: int = 512):
@@ -47,7 +53,7 @@ class _Block:
 
     def __init__(self, qid: np.ndarray, q: np.ndarray, bound: float, k: int):
         reach = int(np.ceil(np.linalg.norm(q.astype(np.float64), axis=1).max(initial=0) * bound)) + 1
-        self.qid, self.q, self.reach = qid, q, min(reach, (1 << 62) - 1)
+        self.qid, self.q, self.reach = qid, q, min(reach, _LIMIT)
         self.lo, self.span = np.full(len(qid), -self.reach, np.int64), np.full(len(qid), 2 * self.reach + 1, np.int64)
         self.need, self.few = np.full(len(qid), k, np.int64), np.zeros(len(qid), bool)  # few: fewer than k candidates
 
@@ -121,7 +127,8 @@ def _top(rows: DataFrame, asks: list[_Block], k: int) -> DataFrame:
             x.narrow({r[0] - b * step: (r[1], r[2]) for r in got if r[0] // step == b})
     out = rows.mapInArrow(_select(asks, k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = F.when(F.abs("score") < _LIMIT, F.col("score")).otherwise(F.raise_error(F.lit("a score doesn't fit 62 bits")).cast("long"))
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
 
 
 def exact_top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int, scale: int = 256) -> DataFrame:
@@ -131,8 +138,9 @@ def exact_top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int, scal
     """
     spark, parts = df.sparkSession, []
     ok = finite(F.col(vec_col)) & F.col(id_col).isNotNull()
-    ok = ok & F.forall(vec_col, lambda x: F.abs(x.cast("double")) * scale < F.sqrt(float(1 << 61) / F.size(vec_col)))
-    ints = df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("is_query"))
+    large = F.raise_error(F.lit("a component doesn't fit 62 bits")).cast("long")
+    whole = lambda x: F.when(F.abs(x.cast("double") * scale) < float(_LIMIT), F.floor(x.cast("double") * scale).cast("long")).otherwise(large)
+    ints = df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, whole).alias("v"), is_query.alias("is_query"))
     ints = stored(ints, "topk-ints")
     for dim in dims(ints, "v"):
         rows = ints.where(F.size("v") == dim)
