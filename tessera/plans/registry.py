@@ -346,6 +346,83 @@ def low_rank_sum(s, d):
 matrix("lowrank_accum", low_rank_sum, S.dense_sql(add(mul(P, R), mul(mul(P, D), flip(W)), 1, 1), 25, 12), 3)
 matrix("lowrank_product", lambda s, d: lowrank.low_rank_product(f("p")(s, d), coo.transpose(f("r")(s, d))), mul(P, R))
 
+# ---- a block for each key of a table -------------------------------------------------------------------------
+
+BY_KEY = {
+    "months": "SELECT CAST(l_suppkey AS BIGINT) AS key, CAST(month(l_shipdate) - 1 AS BIGINT) AS i, CAST(l_linenumber - 1 AS BIGINT) AS j, sum(l_quantity / 997) AS v FROM lineitem GROUP BY 1, 2, 3",
+    "flags": "SELECT CAST(l_suppkey AS BIGINT) AS key, CAST(l_linenumber - 1 AS BIGINT) AS i, CAST(instr('ANR', l_returnflag) - 1 AS BIGINT) AS j, count(*) * (CAST(1 AS DOUBLE) / 997) AS v FROM lineitem GROUP BY 1, 2, 3",
+    "seasons": "SELECT CAST(l_suppkey AS BIGINT) AS key, CAST(month(l_shipdate) - 1 AS BIGINT) AS i, CAST(instr('ANR', l_returnflag) - 1 AS BIGINT) AS j, sum(l_quantity / 997) AS v FROM lineitem GROUP BY 1, 2, 3",
+    "sales": "SELECT CAST(l_suppkey AS BIGINT) AS key, CAST(month(l_shipdate) - 1 AS BIGINT) AS i, CAST(instr('ANR', l_returnflag) - 1 AS BIGINT) AS j, sum(l_discount / 997) AS v FROM lineitem GROUP BY 1, 2, 3",
+}
+
+
+def by_key(s, d, name: str) -> DataFrame:
+    l = S.table(s, d, "lineitem")
+    line, month, flag = F.col("l_linenumber") - 1, F.month("l_shipdate") - 1, F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1
+    i, j, v = {"months": (month, line, F.col("l_quantity") / 997), "flags": (line, flag, F.lit(1 / 997)), "seasons": (month, flag, F.col("l_quantity") / 997), "sales": (month, flag, F.col("l_discount") / 997)}[name]
+    return l.groupBy(F.col("l_suppkey").cast("long").alias("key"), i.cast("long").alias("i"), j.cast("long").alias("j")).agg(F.sum(v.cast("double")).alias("v"))
+
+
+def keyed_gram(s, d) -> DataFrame:
+    """Of each supplier, 7 by 7: the Gram matrix of its months' quantities by line number, and 10 I."""
+    m = by_key(s, d, "months")
+    x, y = m.select("key", F.col("i").alias("k"), F.col("j").alias("i"), F.col("v").alias("x")), m.select("key", F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    own = m.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("i"))
+    parts = x.join(y, ["key", "k"]).groupBy("key", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    return parts.unionByName(own.select("key", "i", F.col("i").alias("j"), F.lit(10.0).alias("v"))).groupBy("key", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def keyed_lu(s, d) -> DataFrame:
+    """(key, lu): a row for each supplier's factor."""
+    return M.stored(M.to_keyed_blocks(keyed_gram(s, d), "key", 7, 7).select("key", blocks.getrf(F.col("m")).alias("lu")), "keyed-lu")
+
+
+def keyed_cells(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return M.from_keyed_blocks(df, "key", F.col("m")).withColumn("v", F.round("v", digits) + 0.0)
+
+
+def keyed_solve(flipped: bool, expression):
+    def query(s, d):
+        flags = by_key(s, d, "flags")
+        b = flags.select("key", F.col("j").alias("i"), F.col("i").alias("j"), "v") if flipped else flags
+        both = M.to_keyed_blocks(b, "key", *((3, 7) if flipped else (7, 3)), "b").join(keyed_lu(s, d), "key")
+        return keyed_cells(both.select("key", expression(F.col("b"), F.col("lu")).alias("m")), 6)
+
+    return query
+
+
+def keyed_accum(s, d):
+    """U V1 + U V2 of each supplier, by the rank of U."""
+    u, v1, v2 = (M.to_keyed_blocks(by_key(s, d, k), "key", rows, 3, n) for k, rows, n in (("flags", 7, "u"), ("seasons", 12, "v"), ("sales", 12, "v")))
+    out = lowrank.accumulate(u.join(v1, "key"), M.to_keyed_blocks(by_key(s, d, "flags"), "key", 7, 3, "u").join(v2, "key"), "key")
+    return out.withColumn("v", F.round("v", 6) + 0.0)
+
+
+def keyed_dense_sql(m: str, ny: int, nx: int) -> str:
+    return f"SELECT key, i, j, sum(v) AS v FROM (SELECT key, i, j, v FROM ({m}) UNION ALL SELECT q.key, a.k AS i, b.k AS j, CAST(0 AS DOUBLE) AS v FROM (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS key FROM lineitem) q, range(0, {ny}) a(k), range(0, {nx}) b(k)) GROUP BY 1, 2, 3"
+
+
+KEYED_GRAM = f"SELECT a.key, a.j AS i, b.j, sum(a.v * b.v) AS v FROM ({BY_KEY['months']}) a JOIN ({BY_KEY['months']}) b ON a.key = b.key AND a.i = b.i GROUP BY 1, 2, 3"
+KEYED_A = keyed_dense_sql(f"SELECT key, i, j, v FROM ({KEYED_GRAM}) UNION ALL SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS key, k AS i, k AS j, CAST(10 AS DOUBLE) AS v FROM lineitem, range(0, 7) q(k)", 7, 7)
+KEYED_LU = (
+    f"WITH RECURSIVE lu AS (SELECT CAST(0 AS BIGINT) AS k, key, i, j, v FROM ({KEYED_A}) UNION ALL SELECT a.k + 1, a.key, a.i, a.j, CASE WHEN a.i > a.k AND a.j = a.k THEN a.v / p.v WHEN a.i > a.k AND a.j > a.k THEN a.v - c.v / p.v * r.v ELSE a.v END "
+    "FROM lu a JOIN lu p ON p.key = a.key AND p.i = a.k AND p.j = a.k JOIN lu c ON c.key = a.key AND c.i = a.i AND c.j = a.k JOIN lu r ON r.key = a.key AND r.i = a.k AND r.j = a.j WHERE a.k < 7) SELECT key, i, j, v FROM lu WHERE k = 7"
+)
+KEYED_L = (
+    f"WITH RECURSIVE l AS MATERIALIZED (SELECT key, i, j, v FROM ({KEYED_LU}) WHERE i > j), x AS (SELECT CAST(0 AS BIGINT) AS k, key, i, j, v FROM ({keyed_dense_sql(BY_KEY['flags'], 7, 3)}) UNION ALL SELECT a.k + 1, a.key, a.i, a.j, CASE WHEN a.i > a.k THEN a.v - l.v * r.v ELSE a.v END "
+    "FROM x a JOIN x r ON r.key = a.key AND r.i = a.k AND r.j = a.j LEFT JOIN l ON l.key = a.key AND l.i = a.i AND l.j = a.k WHERE a.k < 7) SELECT key, i, j, round(v, 6) + 0.0 AS v FROM x WHERE k = 7"
+)
+KEYED_R = (
+    f"WITH RECURSIVE u AS MATERIALIZED (SELECT key, i, j, v FROM ({KEYED_LU}) WHERE i <= j), x AS (SELECT CAST(0 AS BIGINT) AS k, key, i, j, v FROM ({keyed_dense_sql(f'SELECT key, j AS i, i AS j, v FROM ({BY_KEY["flags"]})', 3, 7)}) UNION ALL SELECT a.k + 1, a.key, a.i, a.j, CASE WHEN a.j = a.k THEN a.v / p.v WHEN a.j > a.k THEN a.v - c.v / p.v * u.v ELSE a.v END "
+    "FROM x a JOIN u p ON p.key = a.key AND p.i = a.k AND p.j = a.k JOIN x c ON c.key = a.key AND c.i = a.i AND c.j = a.k LEFT JOIN u ON u.key = a.key AND u.i = a.k AND u.j = a.j WHERE a.k < 7) SELECT key, i, j, round(v, 6) + 0.0 AS v FROM x WHERE k = 7"
+)
+register("getrf_keyed", lambda s, d: keyed_cells(keyed_lu(s, d).withColumnRenamed("lu", "m")), f"SELECT key, i, j, round(v, {DIGITS}) + 0.0 AS v FROM ({KEYED_LU})")
+register("trsml_keyed", keyed_solve(False, blocks.trsml), KEYED_L)
+register("trsmr_keyed", keyed_solve(True, blocks.trsmr), KEYED_R)
+register("trsmr_bt_keyed", keyed_solve(False, blocks.trsmr_stored_transposed), f"SELECT key, j AS i, i AS j, v FROM ({KEYED_R})")
+BOTH_V = f"SELECT key, i, j, sum(v) AS v FROM (SELECT * FROM ({BY_KEY['seasons']}) UNION ALL SELECT * FROM ({BY_KEY['sales']})) GROUP BY 1, 2, 3"
+register("lowrank_accum_keyed", keyed_accum, f"SELECT key, i, j, round(v, 6) + 0.0 AS v FROM ({keyed_dense_sql(f'SELECT a.key, a.i, b.i AS j, sum(a.v * b.v) AS v FROM ({BY_KEY["flags"]}) a JOIN ({BOTH_V}) b ON a.key = b.key AND a.j = b.j GROUP BY 1, 2, 3', 7, 12)})")
+
 # ---- hierarchical --------------------------------------------------------------------------------------------
 
 

@@ -89,6 +89,19 @@ def to_block(coo: DataFrame, m: int, n: int, name: str = "m") -> DataFrame:
     return one.select(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: cell(i, j))).alias(name))
 
 
+def to_keyed_blocks(cells_: DataFrame, key: str, m: int, n: int, name: str = "m") -> DataFrame:
+    """A row (key, m by n block as array<array<double>>) for each key of cells (key, i, j, v); absent cells are 0."""
+    held = cells_.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * n + F.col("j")).cast("long").alias("p"), "v"))).alias("cells"))
+    cell = lambda i, j: F.coalesce(F.element_at("cells", (i * n + j).cast("long")), F.lit(0.0))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: cell(i, j))).alias(name))
+
+
+def from_keyed_blocks(df: DataFrame, key: str, block: Column) -> DataFrame:
+    """(key, i, j, v) of every row's block."""
+    x = df.select(key, F.posexplode(block).alias("i", "row")).select(key, "i", F.posexplode("row").alias("j", "v"))
+    return x.select(key, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
+
+
 def from_block(df: DataFrame, block: Column) -> DataFrame:
     x = df.select(F.posexplode(block).alias("i", "row")).select("i", F.posexplode("row").alias("j", "v"))
     return x.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
