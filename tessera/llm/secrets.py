@@ -13,6 +13,10 @@ what they leave of it to either side (so never at digits or lower-case hex alone
   uniform letters of the encoding. Runs of lower case, upper case, digits and signs: the likelihood of so many changes
   if a change has odds of ``CHANGES`` at most, over that at the odds that encodings have. The product of both ratios
   is by Markov's inequality a p-value under prose, whatever the length;
+* the battery's own p-value under prose is calibrated on the table: how many of the runs that letters and changes call
+  prose look as random, of the same alphabet and class of lengths. The two p-values depend on each other, so they are
+  combined as bets: the mean of 1 / p of the one and of 1 / (2 * sqrt(p)) of the other is one that prose wins, on average,
+  at most once over, so its inverse is a p-value;
 * Benjamini-Hochberg at ``FDR`` on these p-values, within each class of lengths (powers of two), decides over all runs of
   the table, so of long and short runs alike few that are reported are prose.
 
@@ -127,7 +131,7 @@ def _bind(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def random_p(df: DataFrame, tok: str) -> DataFrame:
-    """df with random_p: Fisher's combination of uniformity, runs and serial correlation."""
+    """df with random_p: Fisher's combination of uniformity, runs and serial correlation; and letters of the alphabet."""
     t = F.col(tok)
     alphabet = (
         F.when(t.rlike("^[0-9A-F]+$"), "0123456789ABCDEF")
@@ -163,7 +167,21 @@ def random_p(df: DataFrame, tok: str) -> DataFrame:
     x = _bind(x, **{f"_p{k}": _upper_tail(F.col(f"_z{k}"), F.col(f"_t{k}")) for k in (1, 2, 3)})
     x = _bind(x, _s=F.greatest(F.lit(0.0), -F.log("_p1") - F.log(2 * F.col("_p2")) - F.log(2 * F.col("_p3"))))
     x = x.withColumn("random_p", F.exp(-F.col("_s")) * (1 + F.col("_s") + F.col("_s") * F.col("_s") / 2))
-    return x.select(*df.columns, "random_p")
+    return x.select(*df.columns, "random_p", F.col("_m").cast("int").alias("letters"))
+
+
+def combined_p(tested: DataFrame) -> DataFrame:
+    """tested (prose, random_p, letters, lengths, ...) with p: both p-values under prose as one.
+
+    The tails are counted in bins, a few thousand at most for all alphabets and lengths.
+    """
+    x = tested.withColumn("rbin", F.floor(-4 * F.log(F.greatest("random_p", F.lit(1e-300)))).cast("int"))
+    own = ["letters", "lengths"]
+    nulls = x.groupBy(*own, "rbin").agg(F.sum((F.col("prose") >= 1).cast("long")).alias("n"))
+    tail = F.sum("n").over(Window.partitionBy(*own).orderBy("rbin"))
+    tails = nulls.select(*own, "rbin", ((1 + tail) / (1 + F.sum("n").over(Window.partitionBy(*own)))).alias("battery"))
+    x = x.join(F.broadcast(tails), [*own, "rbin"])
+    return x.withColumn("p", F.least(F.lit(1.0), 2 / (1 / F.col("prose") + 0.5 / F.sqrt("battery")))).select(*tested.columns, "p")
 
 
 def _ranked(kind: str, rank: int) -> Column:
@@ -180,10 +198,10 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     free = F.flatten(F.transform("run", lambda r: _parts(r, F.col("base")))).cast(SPAN)
     scan = stored(scan.select("id", "row", "base", free.alias("run")), "secret-scan")
 
-    runs = scan.where(F.size("run") > 0).select("row", F.explode("run").alias("r")).select("row", "r.*").withColumn("p", prose_p(F.col("tok"))).withColumn("lengths", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
-    runs = stored(runs.withColumn("bin", F.floor(-4 * F.log("p")).cast("int")), "secret-runs")
-    live = stored(random_p(runs.where("p < 1"), "tok").where(F.col("random_p") >= ALPHA), "secret-live")
-    total = runs.groupBy("lengths").agg(F.count("*").alias("all"))
+    runs = scan.where(F.size("run") > 0).select("row", F.explode("run").alias("r")).select("row", "r.*").withColumn("prose", prose_p(F.col("tok"))).withColumn("lengths", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
+    tested = stored(random_p(runs, "tok").drop("tok"), "secret-runs")
+    live = stored(combined_p(tested).where((F.col("random_p") >= ALPHA) & (F.col("p") < 1)).withColumn("bin", F.floor(-4 * F.log("p")).cast("int")), "secret-live")
+    total = tested.groupBy("lengths").agg(F.count("*").alias("all"))
     counts = live.groupBy("lengths", "bin").agg(F.count("*").alias("n"), F.max("p").alias("p"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("lengths").orderBy(F.desc("bin"))))
     accept = upto.join(F.broadcast(total), "lengths").where(F.col("p") <= F.lit(FDR) * F.col("upto") / F.col("all")).groupBy("lengths").agg(F.min("bin").alias("from_bin"))  # a row for each power of two
