@@ -12,9 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.interpreter import TILE, lu, lu_reads, replaced, solve_lower, solve_upper
-from tessera.plans.tasks import dag_edges, levels, lu_tasks
-from tessera.sources.matrices import stored
+from tessera.plans.interpreter import TILE, lu, solve_lower, solve_upper
+from tessera.sources.matrices import dropped, stored
 
 LEAF = "bi int, bj int, ny int, nx int, kind string, rank int, data array<double>, u array<double>, v array<double>"
 
@@ -105,22 +104,74 @@ def expand(leaf: DataFrame) -> DataFrame:
     return leaf.mapInPandas(run, TILE)
 
 
+def _in_columns(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in LEAF.split(", ")])
+
+
+def _updated(eps: float):
+    """Of a stream sorted by target, step and side: each target leaf less the products of its pairs of leaves."""
+
+    def run(frames):
+        at, acc, left = None, None, None
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                part = Part.of(r)
+                if at != (r["ti"], r["tj"]):
+                    if at is not None:
+                        out.append(acc.row(*at))
+                    at, acc = (r["ti"], r["tj"]), part
+                elif r["side"] == 0:
+                    left = part
+                else:
+                    acc = operate("gemm", acc, [left, part], eps)
+            if out:
+                yield _in_columns(out)
+        if at is not None:
+            yield _in_columns([acc.row(*at)])
+
+    return run
+
+
+def _factored(k: int, eps: float):
+    """Of a step's leaves, each beside the cells of the one on the diagonal: that one's LU, and the solves of the others."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                n = int(round(len(r["corner"]) ** 0.5))
+                corner = lu(np.asarray(r["corner"], np.float64).reshape(n, n))
+                part = Part(corner) if r["bi"] == r["bj"] else operate("trsml" if r["bi"] == k else "trsmr", Part.of(r), [Part(corner)], eps)
+                out.append(part.row(r["bi"], r["bj"]))
+            yield _in_columns(out)
+
+    return run
+
+
 def hlu(leaf: DataFrame, t: int, eps: float = 1e-10) -> DataFrame:
-    """LU of a t by t grid of leaves, in place, a job for each level of its task graph."""
-    spark = leaf.sparkSession
-    tasks = stored(lu_tasks(spark, t), "h-tasks")
-    planned = stored(lu_reads(tasks).join(levels(dag_edges(spark, t), tasks), "inst"), "h-planned")
-    leaf, last = stored(leaf, "h-leaves"), planned.agg(F.max("level")).first()[0]
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("role").to_dict("records")
-        parts = [Part.of(r) for r in rows]
-        return pd.DataFrame([operate(rows[0]["op"], parts[0], parts[1:], eps).row(rows[0]["i"], rows[0]["j"])])
-
-    for level in range(last + 1):
-        roles = F.concat(F.array(F.struct("i", "j")), F.col("reads"))
-        wanted = planned.where(F.col("level") == level).select("inst", "op", "i", "j", F.posexplode(roles).alias("role", "t"))
-        fetched = wanted.join(leaf, (F.col("t.i") == F.col("bi")) & (F.col("t.j") == F.col("bj"))).drop("t", "bi", "bj")
-        new = stored(fetched.groupBy("inst").applyInPandas(work, LEAF), "h-written")
-        leaf = replaced(leaf, new, level)
-    return leaf
+    """LU of a t by t grid of leaves, two jobs for each leaf on the diagonal, which must be square and dense.
+
+    A step works on one row and column of leaves; each of these meets the pairs of earlier leaves that change it in one
+    sorted stream, so a task holds three leaves at a time. Only a step's own leaves are written.
+    """
+    leaf, done = stored(leaf, "h-leaves"), None
+    cell = lambda i, j: F.struct(i.cast("int").alias("ti"), j.cast("int").alias("tj"))
+    for k in range(t):
+        here = F.lit(k)
+        own = leaf.where(((F.col("bi") == k) & (F.col("bj") >= k)) | ((F.col("bj") == k) & (F.col("bi") > k)))
+        if done is not None:
+            stream = own.select("*", F.col("bi").alias("ti"), F.col("bj").alias("tj"), F.lit(-1).alias("l"), F.lit(0).alias("side"))
+            to_row = F.transform(F.sequence(here, F.lit(t - 1)), lambda j: cell(here, j))
+            to_column = F.transform(F.sequence(here, F.lit(t - 1)), lambda i: cell(i, here))
+            left = done.where(f"bi >= {k} and bj < {k}").select("*", F.inline(F.when(F.col("bi") == k, to_row).otherwise(F.array(cell(F.col("bi"), here)))), F.col("bj").alias("l"), F.lit(0).alias("side"))
+            up = done.where(f"bi < {k} and bj >= {k}").select("*", F.inline(F.when(F.col("bj") == k, to_column).otherwise(F.array(cell(here, F.col("bj"))))), F.col("bi").alias("l"), F.lit(1).alias("side"))
+            stream = stream.union(left).union(up).repartition("ti", "tj").sortWithinPartitions("ti", "tj", "l", "side")
+            own = stream.mapInPandas(_updated(eps), LEAF)
+        own = stored(own, "h-step")
+        corner = own.where(f"bi = {k} and bj = {k}").select(F.col("data").alias("corner"))
+        step = stored(own.crossJoin(F.broadcast(corner)).mapInPandas(_factored(k, eps), LEAF), "h-written")  # one leaf
+        dropped(own)
+        done = step if done is None else done.union(step)
+    dropped(leaf)
+    return done
