@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, mixing, ngram_join, packing, secrets, substring_dedup, toxicity
-from tessera.llm.common import components, mix, shingles, words
+from tessera.llm.common import components, least_reachable, mix, shingles, words
 
 DOCS = "doc_id long, text string, lang string, source string, size int, target string, sig int, h string, id string"
 
@@ -432,31 +432,87 @@ def test_passages_beside_many_fragments(spark):
     assert {v for r in got for v in (r["doc_id"], r["other_doc_id"])} >= set(range(1000, 1012))
 
 
+def test_passages_beside_short_fragments(spark, monkeypatch):
+    """Twenty changed pairs, each beside twenty texts that hold 24 of its words: all are found, in one tile or in many."""
+    rng = random.Random(41)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for g in range(20):
+        p = new(80)
+        q = p[:]
+        for i in rng.sample(range(80), 8):
+            q[i] = f"w{rng.randrange(10**9)}"
+        rows += [(100 * g, new(20) + p + new(20)), (100 * g + 1, new(20) + q + new(20))]
+        rows += [(100 * g + 2 + k, new(30) + p[a : a + 24] + new(30)) for k, a in enumerate(rng.randrange(0, 57) for _ in range(20))]
+    df = docs(spark, [(i, " ".join(w)) for i, w in rows])
+    for tile in (4096, 8):
+        monkeypatch.setattr(substring_dedup, "TILE", tile)
+        got = {(r["doc_id"], r["other_doc_id"]) for r in substring_dedup.repeated_passages(df).select("doc_id", "other_doc_id").collect()}
+        assert got == {(100 * g + 1, 100 * g) for g in range(20)}
+
+
 def test_links_of_seeds_in_pieces():
     rng = np.random.default_rng(8)
-    rows = sorted({(int(h), int(c), int(s)) for h, c, s in zip(rng.integers(0, 9, 900), rng.integers(0, 4, 900), rng.integers(0, 400, 900))})
-    one = {}
-    for h, c, s in rows:  # a text has a seed once
-        one.setdefault((h, s), c)
-    rows = sorted((h, c, s) for (h, s), c in one.items())
-    h, c, s = (np.array(x) for x in zip(*rows))
+    rows = sorted({(int(h), int(s)) for h, s in zip(rng.integers(0, 300, 900), rng.integers(0, 400, 900))} | {(300, s) for s in range(500)})
+    rows = sorted(rows + rows[::3])  # two tasks have met a text
+    h, s = (np.array(x) for x in zip(*rows))
     pos = (h * 1000 + s).astype(np.int32)
 
-    def linked(step, most):
-        batches = [pa.RecordBatch.from_arrays([pa.array(h[i : i + step]), pa.array(c[i : i + step].astype(np.int32)), pa.array(s[i : i + step]), pa.array(pos[i : i + step])], names=["h", "ctx", "sig", "pos"]) for i in range(0, len(h), step)]
-        return {tuple(r.values()) for b in substring_dedup._links(4, most)(iter(batches)) for r in b.to_pylist()}
-
-    whole = linked(len(h), 1 << 20)
-    assert whole == linked(7, 1 << 20)
-    assert all(a > b and (x - a) == (y - b) for a, b, x, y, _ in whole)
-    for seed in range(9):  # the holders are connected, and so are those of each context
-        own = [(a, b, w) for a, b, x, _, w in whole if x - a == 1000 * seed]
-        assert {b for a, b, _ in own} | {a for a, *_ in own} == set(s[h == seed])
-        for context in range(1, 4):
-            same = s[(h == seed) & (c == context)]
-            assert {(int(x), int(same.min()), True) for x in same if x != same.min()} <= set(own)
-    few = linked(7, 50)  # in pieces, each context still has the least holder of its first piece
-    assert {x[:4] for x in few if x[4]} and {v for x in few for v in x[:2]} == {v for x in whole for v in x[:2]}
+    def linked(step):
+        batches = [pa.RecordBatch.from_arrays([pa.array(h[i : i + step]), pa.array(s[i : i + step]), pa.array(pos[i : i + step])], names=["h", "sig", "pos"]) for i in range(0, len(h), step)]
+        return sorted(tuple(r.values()) for b in substring_dedup._links(4)(iter(batches)) for r in b.to_pylist())
+
+    want = []
+    for seed in range(301):
+        own = sorted(set(s[h == seed].tolist()))
+        want += [(seed, len(own), -1, -1)] if len(own) > 4 else [(b, a, 1000 * seed + b, 1000 * seed + a) for i, a in enumerate(own) for b in own[i + 1 :]]
+    assert linked(len(h)) == linked(7) == linked(1) == sorted(want)
+
+
+def test_holders_of_a_seed_are_connected_as_by_brute_force():
+    S, rng = substring_dedup, np.random.default_rng(12)
+    size = S.K + 2 * S.AROUND
+    bases = rng.integers(1, 256, (12, size))
+    ctx = []
+    for n in range(150):
+        row = rng.integers(1, 256, size)
+        lo, hi = sorted(rng.integers(0, size + 1, 2))
+        row[lo:hi] = bases[n % 12][lo:hi]  # a part of one of twelve surroundings
+        row[S.AROUND : S.AROUND + S.K] = bases[0][S.AROUND : S.AROUND + S.K]
+        row[rng.random(size) < 0.08] = 7
+        row[: rng.integers(0, 30)] = 0
+        ctx.append(np.roll(row, 3) if n % 5 == 0 else row)
+    ctx = np.array(ctx, np.uint8)
+    i, j = np.tril_indices(150, -1)
+    alike = S._alike(ctx[i], ctx[j], 50, 80)
+
+    def passage(e):
+        return any(e[p] and e[q] and 100 * int(e[p : q + 1].sum()) >= 80 * (q + 1 - p) for p in range(size - 49) for q in range(p + 49, size))
+
+    plain = [passage((x == y) & (x > 0)) if ((x == y) & (x > 0)).sum() >= 40 else False for x, y in zip(ctx[i], ctx[j])]
+    assert 20 < sum(plain) <= alike.sum() and alike[np.array(plain)].all()
+
+    def parts(a, b):
+        nodes, low = least_reachable(np.append(a, np.arange(150)), np.append(b, np.arange(150)))
+        return low.tolist()
+
+    got = S.met(ctx, np.zeros(150, int), 50, 80)
+    assert parts(*got) == parts(i[alike], j[alike]) and len(got[0]) < 150
+    side = np.arange(150) % 2
+    a, b = zip(*[S.met(ctx, side, 50, 80), *[tuple(np.flatnonzero(side == v)[x] for x in S.met(ctx[side == v], side[side == v], 50, 80)) for v in (0, 1)]])
+    assert parts(np.concatenate(a), np.concatenate(b)) == parts(i[alike], j[alike])
+
+
+def test_longest_common_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, rng.integers(0, 40)), rng.integers(0, 6, rng.integers(0, 40))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for n, y in enumerate(b):
+                row[n + 1] = last[n] + 1 if x == y else max(last[n + 1], row[n])
+        assert substring_dedup._gap_matches(a, b) == row[-1]
 
 
 def test_chains():
