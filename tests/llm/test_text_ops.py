@@ -496,11 +496,20 @@ def test_holders_of_a_seed_are_connected_as_by_brute_force():
         nodes, low = least_reachable(np.append(a, np.arange(150)), np.append(b, np.arange(150)))
         return low.tolist()
 
-    got = S.met(ctx, np.zeros(150, int), 50, 80)
+    one = np.zeros(150, int)
+    got = S.met(ctx, one, one, 50, 80)
     assert parts(*got) == parts(i[alike], j[alike]) and len(got[0]) < 150
     side = np.arange(150) % 2
-    a, b = zip(*[S.met(ctx, side, 50, 80), *[tuple(np.flatnonzero(side == v)[x] for x in S.met(ctx[side == v], side[side == v], 50, 80)) for v in (0, 1)]])
+    a, b = zip(*[S.met(ctx, one, side, 50, 80), *[tuple(np.flatnonzero(side == v)[x] for x in S.met(ctx[side == v], one[side == v], one[side == v], 50, 80)) for v in (0, 1)]])
     assert parts(np.concatenate(a), np.concatenate(b)) == parts(i[alike], j[alike])
+    seed = np.sort(rng.integers(0, 9, 150))
+    own = alike & (seed[i] == seed[j])
+    for chunk in (2048, 5):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(S, "CHUNK", chunk)
+            patch.setattr(S, "PAIRS", 8 * chunk)
+            got = S.met(ctx, seed, one, 50, 80)
+        assert parts(*got) == parts(i[own], j[own]) and (got[0] > got[1]).all()
 
 
 def test_longest_common_subsequence():
