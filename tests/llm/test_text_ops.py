@@ -499,6 +499,8 @@ def test_holders_of_a_seed_are_connected_as_by_brute_force():
     one = np.zeros(150, int)
     got = S.met(ctx, one, one, 50, 80)
     assert parts(*got) == parts(i[alike], j[alike]) and len(got[0]) < 150
+    alone = S.met(np.repeat(ctx[1:2], 30, axis=0), one[:30], one[:30], 50, 80)
+    assert alone[0].tolist() == list(range(1, 30)) and not alone[1].any()
     side = np.arange(150) % 2
     a, b = zip(*[S.met(ctx, one, side, 50, 80), *[tuple(np.flatnonzero(side == v)[x] for x in S.met(ctx[side == v], one[side == v], one[side == v], 50, 80)) for v in (0, 1)]])
     assert parts(np.concatenate(a), np.concatenate(b)) == parts(i[alike], j[alike])
