@@ -17,9 +17,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.substring_dedup import repeated_passages
+    from tessera.llm.substring_dedup import from_both_sides, repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return from_both_sides(repeated_passages(table(spark, sf_dir, "documents")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Texts with equal words are one class, known by a hash of its words; it stands fo
 
 Seeds are k-word shingles picked by winnowing (the least hash of every ``WINDOW`` consecutive shingles, so any repeated
 run of ``WINDOW + K - 1`` words shares one). A seed that a text repeats counts by its number there, so the n-th meets the
-n-th of other texts. Up to ``MATES`` holders of a seed are all linked. At a seed of more, which may be a phrase that
+n-th of other texts. As texts that repeat a phrase count it differently, runs of ``RUN`` words are seeds too, one kind told
+from the other by the last bit; a run is two seeds ``RUN - K`` words apart. Up to ``MATES`` holders of a seed are all linked. At a seed of more, which may be a phrase that
 unrelated texts use, every two holders are compared in place by the ``AROUND`` words on both sides: those that are alike to a
 common holder are one cluster; between clusters a bitmap of word pairs bounds what two holders share from above, and those
 left are linked, and their clusters joined, if ``least`` words about the seed are ``percent`` % equal, shifted by ``SHIFT``
@@ -35,6 +36,7 @@ from tessera.llm.common import blocks, drop, least_reachable, marked, marks, mix
 
 K, WINDOW = 5, 6
 LEAST, PERCENT = 50, 80
+RUN = 20  # words of a run; one is picked of LEAST - RUN, so that LEAST equal words hold one
 MATES = 4
 SPAN = 12  # words from a chain's first seed to its last, at least
 SCORE = K  # of a chain of several seeds, at least
@@ -112,6 +114,16 @@ def _describe(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sig), pa.array(np.diff(woff))], names=["id", "sig", "n"])
 
 
+def _kind(wh: np.ndarray, woff: np.ndarray, new: np.ndarray, size: int, window: int, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, first word) of seeds of so many words in the texts that are `new`."""
+    h, off = shingles(wh, woff, size, whole_if_short=False)
+    at = winnow(h, off, window)
+    doc = np.searchsorted(off, at, "right") - 1
+    at, doc = at[new[doc]], doc[new[doc]]
+    h = numbered(h[at], doc).view(np.int64)
+    return (h & ~1) | bit, doc, (at - off[doc]).astype(np.int32)
+
+
 def _seeded(batches):
     """(signature of each seed's text, seed, place, first word, word hashes, text ends) of blocks of different texts."""
     seen: set[int] = set()
@@ -124,11 +136,9 @@ def _seeded(batches):
                     new[d] = True
             if len(seen) > 1 << 18:
                 seen.clear()
-            h, off = shingles(wh, woff, K, whole_if_short=False)
-            at = winnow(h, off, WINDOW)
-            doc = np.searchsorted(off, at, "right") - 1
-            at, doc = at[new[doc]], doc[new[doc]]
-            yield numbered(h[at], doc).view(np.int64), sig[doc], (at - off[doc]).astype(np.int32), wh, woff[doc], woff[doc + 1]
+            found = [_kind(wh, woff, new, size, window, bit) for bit, (size, window) in enumerate(((K, WINDOW), (RUN, LEAST - RUN)))]
+            h, doc, pos = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield h, sig[doc], pos, wh, woff[doc], woff[doc + 1]
 
 
 def _seeds(batches):
@@ -159,9 +169,10 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)) if len(columns[0]) else np.zeros(0, bool)
 
 
-def _links(mates: int):
+def _links(mates: int, told: bool = False):
     """Seeds sorted by (h, sig) to links (id, other, pos, other_pos) of all who hold one, id the greater; of a seed with
-    over `mates` holders to (h, number of holders, -1, -1)."""
+    over `mates` holders to (h, number of holders, -1, -1). If told, then reach, as of `_reach`; 0 but for runs."""
+    ahead = int(np.array([0, RUN - K, 0, RUN - K], np.uint8).view(np.int32)[0])  # a run's last words, as `_reach` tells of them
 
     def link(h, sig, pos, before):
         first = _changes(h)
@@ -175,8 +186,10 @@ def _links(mates: int):
         i = [np.flatnonzero(cold & (rank >= back)) for back in range(1, mates)]
         a, b = np.concatenate(i), np.concatenate([v - back for back, v in enumerate(i, 1)])
         no = np.full(int(hot.sum()), -1, np.int32)
-        cols = (np.append(sig[a], h[start[hot]]), np.append(sig[b], total[hot]), np.append(pos[a], no), np.append(pos[b], no))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "other", "pos", "other_pos"])
+        cols = [np.append(sig[a], h[start[hot]]), np.append(sig[b], total[hot]), np.append(pos[a], no), np.append(pos[b], no)]
+        if told:
+            cols.append(np.append((h[a] & 1).astype(np.int32) * np.int32(ahead), no * np.int32(0)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "other", "pos", "other_pos", "reach"][: len(cols)])
 
     def run(batches):
         held, before = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)], 0  # the last seed may go on
@@ -594,6 +607,9 @@ def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, least: i
             todo += [(lo, before, x0, p[0], y0, p[2]), (after, hi, p[1], x1, p[3], y1)]
         else:  # the others may still take its words
             todo += [(lo, i, x0, x1, y0, y1), (j, hi, x0, x1, y0, y1)]
+            worst = min(range(i | 1, j - 1, 2), key=lambda g: gain[g], default=-1)
+            if worst > 0 and gain[worst] < 0:  # a stray seed at one end may keep the others from their words
+                todo += [(i, worst, x0, x1, y0, y1), (worst + 1, j, x0, x1, y0, y1)]
     return sorted(set(out))
 
 
@@ -628,7 +644,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     seeds = texts.select("text").mapInArrow(_seeds, "h bigint, sig bigint, pos int").repartition(parts, "h").sortWithinPartitions("h", "sig")
-    few = stored(seeds.mapInArrow(_links(MATES), "id bigint, other bigint, pos int, other_pos int"), "passages-links")
+    few = stored(seeds.mapInArrow(_links(MATES, told=True), "id bigint, other bigint, pos int, other_pos int, reach int"), "passages-links")
     hot = few.where("pos < 0").select(F.col("id").alias("h"), F.ceil(F.col("other") / TILE).alias("tiles"))
     held = texts.select("text").mapInArrow(_contexts(marks(hot.select("h"))), "h bigint, sig bigint, pos int, ctx binary")
     tiles = stored(hot.where("tiles > 1"), "passages-tiles")
@@ -636,7 +652,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = held.join(tiles, "h", "left").withColumn("u", F.explode(F.when(F.col("tiles").isNull(), F.array(one)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))))
     held = held.withColumn("t", F.coalesce(t, one)).select("h", F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), (F.col("t") > u).cast("int").alias("part"), "sig", "pos", "ctx")
     met_ = held.repartition(parts, "h", "a", "b").sortWithinPartitions("h", "a", "b", "sig").mapInArrow(_meet(MATES, min(least, LEAST), percent), "id bigint, other bigint, pos int, other_pos int, reach int")
-    links = few.where("pos >= 0").withColumn("reach", F.lit(0)).union(met_)
+    links = few.where("pos >= 0").union(met_)
     links = links.repartition(parts, "id", "other").sortWithinPartitions("id", "other", "pos", "other_pos")
     found = stored(links.mapInArrow(_chain(SPAN), "id bigint, other bigint, xs array<int>, ys array<int>"), "passages-chains")
     drop(few, tiles)
@@ -668,6 +684,15 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.union(copies).select(F.col("id").alias(id_col), "start", "end", F.col("other").alias(f"other_{id_col}"), "other_start", "other_end", "identity")
 
 
+def from_both_sides(passages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """passages with a row for either document, so that all that a document repeats is under its own id."""
+    sides = F.array(
+        F.struct(*(F.col(c).alias(c) for c in passages.columns)),
+        F.struct(F.col(f"other_{id_col}").alias(id_col), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col(id_col).alias(f"other_{id_col}"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), "identity"),
+    )
+    return passages.select(F.inline(sides))
+
+
 def _without(batches):
     """(..., text, spans) to (..., text, words removed): the words of the spans go, with the spaces before them."""
     import re

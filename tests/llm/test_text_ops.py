@@ -451,6 +451,26 @@ def test_passages_beside_short_fragments(spark, monkeypatch):
         assert got == {(100 * g + 1, 100 * g) for g in range(20)}
 
 
+def test_passages_of_phrases_that_a_text_repeats(spark):
+    rng = random.Random(17)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(60)
+    phrases = [w for k in range(0, 60, 5) for w in [*passage[k : k + 9], *new(3)]]  # every phrase of the passage comes before
+    rows = [(0, " ".join(new(20) + passage + new(20))), (1, " ".join(phrases + phrases + new(20) + passage + new(20)))]
+    got = [tuple(r) for r in substring_dedup.repeated_passages(docs(spark, rows)).select("start", "end", "other_start", "other_end").collect()]
+    at = 2 * len(phrases) + 20
+    assert (at, at + 60, 20, 80) in got
+    both = substring_dedup.from_both_sides(substring_dedup.repeated_passages(docs(spark, rows))).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in both} == {(0, 1), (1, 0)} and len(both) == 2 * len(got)
+
+
+def test_passage_beside_a_stray_seed():
+    x, y = np.arange(1000, 1200, dtype=np.uint32), np.arange(3000, 3300, dtype=np.uint32)
+    y[50:102] = x[40:92]
+    xs, ys = np.array([40, 46, 52, 60, 70, 82, 83]), np.array([50, 56, 62, 70, 80, 92, 98])
+    assert [p[:4] for p in substring_dedup.align(x, y, xs, ys, 50, 80)] == [(40, 92, 50, 102)]
+
+
 def test_links_of_seeds_in_pieces():
     rng = np.random.default_rng(8)
     rows = sorted({(int(h), int(s)) for h, s in zip(rng.integers(0, 300, 900), rng.integers(0, 400, 900))} | {(300, s) for s in range(500)})
