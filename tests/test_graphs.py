@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import deps
 from tessera.plans import schedule, tasks
@@ -129,3 +130,15 @@ def test_chosen_scales():
     assert deps.chosen_scales({3: 1000}, 1e6) == [3]
     assert deps.chosen_scales({3: 10, 4: 10, 5: 10}, 1e9) == [5]
     assert deps.chosen_scales({3: 10**7, 30: 10}, 1e12) == [3, 30]
+
+
+def test_interval_join_has_tasks_for_its_rows(spark, monkeypatch):
+    rows = [(k, 7 * k, 20, 5 + k % 11, 1 + k % 3) for k in range(400)]
+    regions = spark.createDataFrame(rows, "id long, ptr long, pitch long, width long, height long")
+    held = {r[0]: {r[1] + y * r[2] + x for y in range(r[4]) for x in range(r[3])} for r in rows}
+    want = {(a, b) for a in held for b in range(a + 1, min(400, a + 20)) if held[a] & held[b]}
+    monkeypatch.setattr(deps, "TASK_ROWS", 100)
+    r = deps.spans(regions, "id")
+    tasks = deps.interval_join(r, r).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {tuple(p) for p in deps.overlapping(regions, "id").collect()} == want
