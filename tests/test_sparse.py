@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import coo
+from tessera.sources import matrices as M
 
 
 def cells(spark, rows):
@@ -47,3 +48,18 @@ def test_sketches_estimate_joins(spark):
     b = cells(spark, [(k, k % 7, 1.0) for k in range(2_000, 9_000)])
     shared, muls = coo._shared(coo.supports(a)["j"], coo.supports(b)["i"])
     assert abs(shared - 2_000) < 700 and abs(muls - sum(k % 3 + 1 for k in range(2_000, 4_000))) < 1_600
+
+
+def test_product_with_hot_keys_has_tasks_for_its_cells(spark, monkeypatch):
+    a = spark.createDataFrame([(i, 0 if i % 2 else i % 40, float(i % 7)) for i in range(600)], "i long, j long, v double")
+    b = spark.createDataFrame([(k, j, float(k + j)) for k in range(40) for j in range(5)], "i long, j long, v double")
+    want = sorted(map(tuple, coo.gemm(a, b).collect()))
+    monkeypatch.setattr(coo, "TASK_CELLS", 8)
+    out = coo.gemm_skewed(a, b)
+    assert ", 100), REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_rows_as_text_are_rounded_as_binary_numbers_are(spark):
+    m = spark.createDataFrame([(0, 1, 9812.4975), (0, 0, -1.5), (1, 0, 9709.8295)], "i long, j long, v double")
+    assert [tuple(r) for r in M.print_rows(m).collect()] == [(0, "-1.500000e+00 9.812497e+03"), (1, "9.709829e+03")]
