@@ -32,3 +32,16 @@ def test_dependency_table_under_any_batching(spark, tmp_path, batches):
     want = deps.replayed(df).select("inst_from", "inst_to", "dep", "seq")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert len(list((tmp_path / "out" / "updates").glob("batch=*"))) == batches
+
+
+def test_stream_of_changes_has_files_for_its_rows(spark, tmp_path, monkeypatch):
+    from tessera.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(registry, "FILE_CHANGES", 500)
+    monkeypatch.setattr(registry.M, "shared_folder", lambda *_: f"file://{tmp_path}/stream")
+    got = registry.dep_stream(spark, sf)
+    want = deps.replayed(registry.all_changes(spark, sf)).select("inst_from", "inst_to", "dep", "seq")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(list((tmp_path / "stream" / "changes").glob("*.parquet"))) == 12
+    assert len(list((tmp_path / "stream" / "updates").glob("batch=*"))) == 4
