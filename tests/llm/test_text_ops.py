@@ -455,7 +455,7 @@ def test_passages_of_phrases_that_a_text_repeats(spark):
     rng = random.Random(17)
     new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     passage = new(60)
-    phrases = [w for k in range(0, 60, 5) for w in [*passage[k : k + 9], *new(3)]]  # every phrase of the passage comes before
+    phrases = [w for k in range(0, 60, 5) for w in [*passage[k : k + 15], *new(8)]]  # every phrase of the passage comes before
     rows = [(0, " ".join(new(20) + passage + new(20))), (1, " ".join(phrases + phrases + new(20) + passage + new(20)))]
     got = [tuple(r) for r in substring_dedup.repeated_passages(docs(spark, rows)).select("start", "end", "other_start", "other_end").collect()]
     at = 2 * len(phrases) + 20
