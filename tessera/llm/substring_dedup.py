@@ -44,11 +44,12 @@ GAP = 0.1  # cost of a skipped word, in words
 ENDS = 2 * LEAST  # words kept around a chain, for extending it
 AROUND = LEAST  # words that a holder of a frequent seed shows on each side
 SHIFT = 12  # words by which two holders' words may be shifted against each other
-TILE = 4096  # holders of a seed that a task compares with each other or with as many others
+TILE = 16384  # holders of a seed that a task compares with each other or with as many others
 LEADERS = 4  # clusters looked for by equal words before holders are compared in pairs
 CHUNK = 2048  # pairs whose words are compared at once
 PAIRS = 1 << 17  # pairs looked at at once, an eighth by bitmaps
 BITS = 4096  # of the bitmap of a holder's word pairs
+DENSE = 256  # holders to be met from which bits are added up for all of them together
 
 
 def _picks(h: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
@@ -289,6 +290,52 @@ def _pair_bits(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1).view(np.uint64), (pair >= 0).sum(axis=1) - bits.sum(axis=1)
 
 
+def _turned(bits: np.ndarray) -> np.ndarray:
+    """A row for each bit with a bit for each holder, and one of zeros, from the holders' bitmaps."""
+    out = np.zeros((BITS + 1, -(-len(bits) // 8)), np.uint8)
+    for k in range(0, len(bits), CHUNK):
+        part = np.unpackbits(bits[k : k + CHUNK].view(np.uint8), axis=1)
+        out[:BITS, k // 8 : (k + CHUNK) // 8] = np.packbits(part.T, axis=1)
+    return out
+
+
+def _sharing(turned: np.ndarray, own: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each of the bitmaps `own`, which holders of `turned` share at least so many of its bits.
+
+    Counts of all holders are kept as eight rows of binary digits; two rows of bits at a time go in by full adders. They
+    start at 128 less the least number, so that the last digit tells.
+    """
+    on = np.unpackbits(own.view(np.uint8), axis=1)
+    at = np.full((len(own), int(on.sum(axis=1, dtype=np.int64).max(initial=0))), BITS)
+    row, bit = np.nonzero(on)
+    at[row, np.arange(len(row)) - np.searchsorted(row, row)] = bit
+    start = 128 - np.clip(least, 0, 128)
+    digits = [np.repeat((start >> d & 1).astype(np.uint8)[:, None] * np.uint8(255), turned.shape[1], axis=1) for d in range(8)]
+    waits: list[np.ndarray | None] = [None] * 8
+
+    def add(x, d):
+        while d < 8 and waits[d] is not None:
+            y, waits[d] = waits[d], None
+            either = x ^ y
+            digits[d], x, d = digits[d] ^ either, (x & y) | (digits[d] & either), d + 1
+        if d < 8:
+            waits[d] = x
+
+    for k in range(at.shape[1]):
+        add(turned[at[:, k]], 0)
+    for d in range(8):
+        if waits[d] is not None:
+            add(np.zeros_like(digits[d]), d)
+    return digits[7]
+
+
+def _set_bits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the bits that are set in rows of bytes, few of which are not zero."""
+    at = np.flatnonzero(x.ravel() != 0)
+    k, bit = np.nonzero(np.unpackbits(x.ravel()[at, None], axis=1))
+    return at[k] // x.shape[1], at[k] % x.shape[1] * 8 + bit
+
+
 def met(ctx: np.ndarray, seed: np.ndarray, part: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j), i > j: links by which those holders of each seed are connected that are alike, directly or over others.
 
@@ -322,12 +369,20 @@ def met(ctx: np.ndarray, seed: np.ndarray, part: np.ndarray, least: int, percent
     hidden = lost + np.bitwise_count(bits).sum(axis=1, dtype=np.int64) - np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
     same = -(-percent * least // 100)
     need = same - (least - same) - 1  # the equal words of such a stretch lie in least - same + 1 runs at most, the rest are pairs
-    total, r, waiting = np.append(0, np.cumsum(n)), 0, [np.zeros(0, np.int64)] * 2
+    most = np.repeat(np.maximum.reduceat(n, np.unique(top)), size) if len(n) else n  # that a holder of its seed meets
+    turned_at, total, r, waiting = -1, np.append(0, np.cumsum(n)), 0, [np.zeros(0, np.int64)] * 2
     while r < len(open_) or len(waiting[0]):
         if r < len(open_):
             r0, r = r, max(r + 1, int(np.searchsorted(total, total[r] + PAIRS, "right")) - 1)
-            x = np.repeat(np.arange(r0, r), n[r0:r])
-            y = np.arange(len(x)) - np.repeat(total[r0:r] - total[r0] - top[r0:r], n[r0:r])
+            few = np.flatnonzero(most[r0:r] < DENSE) + r0
+            x = np.repeat(few, n[few])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(n[few]) - n[few] - top[few], n[few])
+            for t in np.unique(top[r0:r][most[r0:r] >= DENSE]).tolist():
+                rows = np.flatnonzero(top[r0:r] == t) + r0
+                if t != turned_at:
+                    turned, turned_at = _turned(bits[t : t + most[t]]), t
+                own, y_ = _set_bits(_sharing(turned[:, : -(-int(n[rows].max()) // 8)], bits[rows], need - lost[rows]))
+                x, y = (np.append(v, w[y_ < n[rows][own]]) for v, w in ((x, rows[own]), (y, t + y_)))
             i, j = open_[x], open_[y]
             ok = (label[i] != label[j]) & (~sides[i] | (part[i] != part[j]))
             x, y = x[ok], y[ok]

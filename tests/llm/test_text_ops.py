@@ -534,6 +534,36 @@ def test_holders_of_a_seed_are_connected_as_by_brute_force():
         assert parts(*got) == parts(i[own], j[own]) and (got[0] > got[1]).all()
 
 
+def test_bits_of_all_holders_are_counted_together(monkeypatch):
+    """The holders of a frequent seed that share enough bits are found by adders over all of them, as by counting pair by pair."""
+    S, rng = substring_dedup, np.random.default_rng(5)
+    for n in (1, 9, 300):
+        ctx = rng.integers(0, 30, (n, S.K + 2 * S.AROUND)).astype(np.uint8)
+        ctx[rng.random(n) < 0.1] = 0
+        bits, _ = S._pair_bits(ctx)
+        least = rng.integers(-3, 40, n)
+        want = np.bitwise_count(bits[:, None] & bits).sum(axis=2, dtype=np.int64) >= least[:, None]
+        row, at = S._set_bits(S._sharing(S._turned(bits), bits, least))
+        got = np.zeros((n, n + 8), bool)
+        got[row, at] = True
+        assert (got[:, :n] == want).all()
+    base = rng.integers(1, 256, (40, S.K + 2 * S.AROUND))
+    ctx = np.where(rng.random((700, base.shape[1])) < 0.12, 9, base[rng.integers(0, 40, 700)]).astype(np.uint8)
+    ctx[::3] = rng.integers(1, 256, (234, base.shape[1]))
+    seed, part = np.sort(rng.integers(0, 3, 700)), rng.integers(0, 2, 700)
+    part[seed == 1] = 0
+    asked, plain = [], S.np.bitwise_count
+    monkeypatch.setattr(S.np, "bitwise_count", lambda x: (asked.append(len(x)), plain(x))[1])
+    took = []
+    for dense in (10**9, 4):
+        monkeypatch.setattr(S, "DENSE", dense)
+        asked.clear()
+        i, j = S.met(ctx, seed, part, 50, 80)
+        took.append((i.tolist(), j.tolist(), sum(asked)))
+    assert took[0][:2] == took[1][:2] and len(took[0][0]) > 200
+    assert took[1][2] < took[0][2] / 4  # few pairs are left to look at one by one
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):
