@@ -69,3 +69,34 @@ def test_jacobi_stops_at_any_scale():
             assert np.allclose(us @ v.T, a, atol=1e-9 * scale * 1e3)
     low = np.outer(np.arange(1.0, 26), np.ones(7)) + 1e-13
     assert lowrank.column_rank(lowrank.jacobi_svd(low)[0], 1e-9) == 1
+
+
+def test_residual_joins_no_cell_to_both_factors(spark, monkeypatch):
+    """The residual of `rsvd_leading` sums AV by row before it meets U, and cells that are stored aren't stored again."""
+    from tessera.plans import registry
+
+    tags, plain = [], tall.stored
+    monkeypatch.setattr(tall, "stored", lambda df, tag: (tags.append(tag), plain(df, tag))[1])
+    rows = [(r % 23, (r * r) % 41, 1.0 + r % 7) for r in range(400)]
+    monkeypatch.setattr(registry, "supply", lambda s, d: s.createDataFrame(rows, "i long, j long, v double").groupBy("i", "j").agg({"v": "sum"}).toDF("i", "j", "v"))
+    out = registry.leading(spark, "")
+    assert "rsvd-cells" not in tags
+    a = np.zeros((23, 41))
+    for i, j, v in rows:
+        a[i, j] += v
+    got = out.first()
+    assert got["within"] and np.isclose(got["norm2"], (a * a).sum(), atol=1e-3) and np.isclose(got["sigma1"], np.linalg.norm(a, 2), atol=1e-3)
+
+    def kids(node):
+        return [node.children().apply(k) for k in range(node.children().size())]
+
+    def nested(node):
+        below = kids(node)
+        if node.nodeName() == "Join":
+            while below and any(x.nodeName() in ("Project", "Filter") for x in below):
+                below = [y for x in below for y in (kids(x) if x.nodeName() in ("Project", "Filter") else [x])]
+            if any(x.nodeName() == "Join" for x in below):
+                return True
+        return any(map(nested, kids(node)))
+
+    assert not nested(out._jdf.queryExecution().optimizedPlan())
